@@ -35,14 +35,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write to a Parquet table in the shared folder and read it back: the lineage
-    ends there, and a lost executor costs nothing that was stored."""
+    ends there, and a lost executor costs nothing that was stored. ``files``: at most so
+    many, for tables whose size is known to be small."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch for Python stages over texts: a batch stays at a few MB.
+BATCH_ROWS = "2000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory of Python stages; texts are long, so the default of 10,000 rows is too many."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def let(value: Column, body) -> Column:
     """``body(v)`` with ``value`` evaluated once, also if ``body`` uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]
@@ -66,6 +76,10 @@ def crc_mod(key: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus, F.lit(0))
 
 
+#: Edges that one file of a round holds, about.
+EDGES_A_FILE = 500_000
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b of type long) as (node, root):
     a row for each node that is not the least of its component.
@@ -75,14 +89,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     task has to hold all neighbours of a node.
     """
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
-    before = None
+    before, files = None, max(4, e.count() // EDGES_A_FILE)  # no round has more edges than there are now
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        e = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges", files)
         now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

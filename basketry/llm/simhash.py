@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -58,11 +59,17 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 def with_fingerprint(docs: DataFrame, text: str = "text", to: str = "fp", shingle: int = 4) -> DataFrame:
     """All columns of ``docs`` and the fingerprint as a signed long."""
 
-    @F.pandas_udf("long")
-    def prints(texts):
-        return texts.map(lambda x: np.uint64(fingerprint(x, shingle)).astype(np.int64).item()).astype("int64")
+    common.small_batches(docs.sparkSession)
+    names = [c for c in docs.columns if c != to]
+    at = names.index(text)
 
-    return docs.withColumn(to, prints(F.col(text)))
+    def run(batches):
+        for batch in batches:
+            prints = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(at)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*names, to])
+
+    schema = T.StructType([*docs.select(*names).schema.fields, T.StructField(to, T.LongType())])
+    return docs.select(*names).mapInArrow(run, schema)
 
 
 def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
