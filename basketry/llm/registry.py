@@ -18,6 +18,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_ids(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    own = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    taken = (F.col("copies") * F.col("size")).cast("long").alias("taken")
+    return own.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken, "copies", "rate")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
@@ -35,7 +43,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_pii, op7_quality_rules, op8_simhash)}
+    return {f.__name__: f for f in (op4_mixing, op6_pii, op7_quality_rules, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
