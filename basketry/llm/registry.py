@@ -18,6 +18,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_ids(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import tokencounts
+
+    docs = table(spark, sf_dir, "documents")
+    return tokencounts.by_section(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -42,8 +51,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import common, tokenfile
+    from .encoder import public_file
+
+    path = common.new_path(spark, "tokens")
+    manifest = tokenfile.written(table(spark, sf_dir, "documents"), path, public_file("word_bpe_49k.json"), end_id=2)
+    return tokenfile.summaries(manifest, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op6_pii, op7_quality_rules, op8_simhash)}
+    return {f.__name__: f for f in (op3_token_counts, op4_mixing, op6_pii, op7_quality_rules, op8_simhash, op9_token_file)}
 
 
 def oracle_sql() -> dict[str, str]:
