@@ -18,6 +18,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_ids(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import common, langid
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = common.crc_mod(F.col("doc_id"), 4) == 2
+    model = langid.fitted(docs, ~held_out)
+    own = langid.identified(docs.select("doc_id", "text"), model)
+    return own.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,8 +70,18 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.summaries(manifest, path)
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import common, qda
+
+    held_out = common.crc_mod(F.col("id"), 3) == 1
+    stats = common.stored(qda.with_statistics(table(spark, sf_dir, "documents")), "statistics")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    own = qda.scored(stats, qda.fitted(stats, labels, ~held_out))
+    return own.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op4_mixing, op6_pii, op7_quality_rules, op8_simhash, op9_token_file)}
+    return {f.__name__: f for f in (op1_language_id, op3_token_counts, op4_mixing, op6_pii, op7_quality_rules, op8_simhash, op9_token_file, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
