@@ -45,6 +45,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken, "copies", "rate")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
+    return decontam.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
@@ -81,7 +87,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_token_counts, op4_mixing, op6_pii, op7_quality_rules, op8_simhash, op9_token_file, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_language_id, op3_token_counts, op4_mixing, op5_decontamination, op6_pii, op7_quality_rules, op8_simhash, op9_token_file, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
