@@ -28,6 +28,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import linededup
+
+    return linededup.by_document(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -87,7 +93,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_token_counts, op4_mixing, op5_decontamination, op6_pii, op7_quality_rules, op8_simhash, op9_token_file, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_token_counts, op4_mixing, op5_decontamination, op6_pii, op7_quality_rules, op8_simhash, op9_token_file, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
