@@ -16,7 +16,7 @@ bitmap (u8, bit i of the level at byte i // 8, low bits first) and directory (u3
 of set bits before each 512 bits).
 
 Defined cases: null text counts as empty; a document always has its end id; null ids come
-first; rows that share an id stand in order of their texts; an empty table gives no files.
+first; rows that share an id stand in order of a hash of their texts; an empty table gives no files.
 """
 
 from __future__ import annotations
@@ -173,7 +173,8 @@ def written(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", text
             yield write(part, shard, ids, held, counts)
 
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]  # the range's samples go to the driver: no texts
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = rows.withColumn("part", F.spark_partition_id())
     manifest = common.stored(rows.mapInArrow(run, "part int, shard int, file string, docs long, tokens long"), "manifest")
     parts = manifest.groupBy("part").agg(F.sum("tokens").alias("n"))
