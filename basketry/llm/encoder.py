@@ -5,6 +5,10 @@ pieces in turn. Pieces repeat, so their ids and offsets come from a table that h
 number of them; the rest is array work. The cut is exact for both kinds of files here:
 white-space-dropping tokenizers are cut at spaces, tabs and line ends, byte-level ones by
 their own pre-tokenization pattern.
+
+Where only ids are wanted and the file lower-cases and marks word ends, pieces of letters with
+or without one mark of punctuation behind share their lower-case letters, and these are
+encoded many at a time, as each ends with exactly one token of the word-end kind.
 """
 
 from __future__ import annotations
@@ -15,7 +19,10 @@ from itertools import chain
 import numpy as np
 
 #: Pieces that the table holds before it starts anew, and the length from which they are not kept.
-MOST_PIECES, MOST_CHARS = 600_000, 64
+MOST_PIECES, MOST_CHARS = 800_000, 64
+#: Marks that may stand behind letters, and the first character past the Latin blocks, up to
+#: which lower-casing is a matter of single characters.
+MARKS, LAST_LATIN = ",.;:!?", "\u0250"
 
 
 def public_file(name: str) -> str:
@@ -42,6 +49,8 @@ class PieceEncoder:
     each text. ``cut``: "space", or the pattern whose matches are the pieces of a text."""
 
     def __init__(self, path: str, cut: str = "space", spans: bool = True):
+        import json
+
         import regex
         from tokenizers import Tokenizer
 
@@ -52,6 +61,15 @@ class PieceEncoder:
         else:
             self.cut, self.gap = regex.compile(cut).findall, 0
             self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        own = json.loads(self.tokenizer.to_str())
+        suffix = own["model"].get("end_of_word_suffix")
+        self.shares = cut == "space" and not spans and bool(suffix) and '"Lowercase"' in json.dumps(own.get("normalizer"))
+        if self.shares:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends_word[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
+            self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in MARKS}
+            self.shares = all(len(x) == 1 for x in self.marks.values())
         self.clear()
 
     def clear(self) -> None:
@@ -61,10 +79,72 @@ class PieceEncoder:
         self.chars = np.zeros(1 << 16, np.int32)
         self.used, self.flat = 0, [np.zeros(1 << 18, np.int32) for _ in range(3 if self.spans else 1)]
         self.long = False
+        self.stems, self.stem_n, self.stem_at, self.stem_flat = _Table(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def reserve(self, pieces: int, ids: int) -> None:
+        """Room for so many pieces and ids."""
+        while pieces > len(self.n):
+            self.n, self.at, self.chars = (np.append(x, np.zeros_like(x)) for x in (self.n, self.at, self.chars))
+        while ids > len(self.flat[0]):
+            self.flat = [np.append(x, np.zeros_like(x)) for x in self.flat]
+
+    def stem(self, piece: str) -> tuple[str, int] | None:
+        """Lower-case letters of a piece and the id of a mark behind them, or 0."""
+        mark = 0
+        if piece[-1:] in self.marks and piece[-2:-1].isalpha():
+            piece, mark = piece[:-1], self.marks[piece[-1]][0]
+        if piece.isalpha() and (piece.isascii() or max(piece) < LAST_LATIN):
+            low = piece.lower()
+            return (low, mark) if low.isalpha() else None
+        return None
+
+    def learn_stems(self) -> None:
+        """Encode the stems that wait: joined by spaces, cut after word ends."""
+        new, self.stems.new = self.stems.new, []
+        joined = [" ".join(new[k : k + 500]) for k in range(0, len(new), 500)]
+        got = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in got])
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(new) or ends[-1] != len(ids):
+            raise ValueError("a word of letters must end with one word-end token")
+        self.stem_at = np.append(self.stem_at, len(self.stem_flat) + np.append(0, ends[:-1]))
+        self.stem_n = np.append(self.stem_n, np.diff(ends, prepend=0))
+        self.stem_flat = np.append(self.stem_flat, ids)
 
     def learn(self) -> None:
         """Encode the pieces that wait."""
         pieces, self.table.new = self.table.new, []
+        if self.shares and pieces:
+            first, stems, lookup = len(self.table) - len(pieces), [], self.stems
+            rest = []
+            for k, piece in enumerate(pieces):
+                if found := self.stem(piece):
+                    stems.append((k, lookup[found[0]], found[1]))
+                else:
+                    rest.append(k)
+            if self.stems.new:
+                self.learn_stems()
+            self.reserve(len(self.table), 0)
+            if stems:
+                where, stem, mark = np.array(stems, np.int64).T
+                n = self.stem_n[stem]
+                each = n + (mark > 0)
+                ends = np.cumsum(each)
+                self.reserve(len(self.table), self.used + int(ends[-1]))
+                at = self.used + ends - each
+                self.n[first + where], self.at[first + where], self.chars[first + where] = each, at, [len(pieces[k]) for k in where.tolist()]
+                inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                self.flat[0][np.repeat(at, n) + inside] = self.stem_flat[np.repeat(self.stem_at[stem], n) + inside]
+                self.flat[0][(at + n)[mark > 0]] = mark[mark > 0]
+                self.used += int(ends[-1])
+            for k in rest:
+                ids = self.tokenizer.encode(pieces[k], add_special_tokens=False).ids
+                self.reserve(len(self.table), self.used + len(ids))
+                self.n[first + k], self.at[first + k], self.chars[first + k] = len(ids), self.used, len(pieces[k])
+                self.flat[0][self.used : self.used + len(ids)] = ids
+                self.used += len(ids)
+            self.long |= any(len(p) > MOST_CHARS for p in pieces)
+            return
         first, last = len(self.table) - len(pieces), len(self.table)
         for at in range(0, len(pieces), 50_000):
             some = pieces[at : at + 50_000]
@@ -72,10 +152,7 @@ class PieceEncoder:
             ids = [e.ids for e in got]
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             end = self.used + int(n.sum())
-            while last > len(self.n):
-                self.n, self.at, self.chars = (np.append(x, np.zeros_like(x)) for x in (self.n, self.at, self.chars))
-            while end > len(self.flat[0]):
-                self.flat = [np.append(x, np.zeros_like(x)) for x in self.flat]
+            self.reserve(last, end)
             own = slice(first + at, first + at + len(some))
             self.n[own], self.at[own] = n, self.used + np.cumsum(n) - n
             self.chars[own] = np.fromiter(map(len, some), np.int64, len(some))

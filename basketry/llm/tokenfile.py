@@ -196,7 +196,7 @@ def summaries(manifest: DataFrame, path: str) -> DataFrame:
                 ids = pa.array(own.doc_ids, mask=own.nulls.astype(bool))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(own.offsets[:-1] + row["start"]), pa.array(np.diff(own.offsets)), pa.array(crcs)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.repartition("file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartition(max(1, manifest.count()), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_lists(manifest: DataFrame, path: str) -> DataFrame:
@@ -214,4 +214,4 @@ def token_lists(manifest: DataFrame, path: str) -> DataFrame:
                     tokens = pa.ListArray.from_arrays((own.offsets[at : to + 1] - own.offsets[at]).astype(np.int32), flat)
                     yield pa.RecordBatch.from_arrays([pa.array(own.doc_ids[at:to], mask=own.nulls[at:to].astype(bool)), tokens], ["doc_id", "tokens"])
 
-    return manifest.repartition("file").mapInArrow(run, "doc_id long, tokens array<int>")
+    return manifest.repartition(max(1, manifest.count()), "file").mapInArrow(run, "doc_id long, tokens array<int>")
