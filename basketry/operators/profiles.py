@@ -36,8 +36,9 @@ def distributions(rows: DataFrame, value: str, weight: str | None = "w", user: s
 
 
 def top_shares(dist: DataFrame, k: int = 10, user: str = "customer_id") -> DataFrame:
-    """The k largest shares of each user, shares kept as of the whole."""
-    place = F.row_number().over(W.partitionBy(user).orderBy(F.desc("p"), "value"))
+    """The k largest shares of each user, shares kept as of the whole; shares that agree to
+    nine digits go by value."""
+    place = F.row_number().over(W.partitionBy(user).orderBy(F.desc(F.round("p", 9)), "value"))
     return dist.withColumn("place", place).where(F.col("place") <= k)
 
 

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exploration, sql
+from . import exploration, retail, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {name: sql.run(plan) for name, plan in exploration.PLANS.items()}
+    return {name: sql.run(plan) for name, plan in exploration.PLANS.items()} | retail.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql.text(plan, sql.OTHER) for name, plan in exploration.PLANS.items()}
+    return {name: sql.text(plan, sql.OTHER) for name, plan in exploration.PLANS.items()} | retail.CHECKS
