@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exploration, retail, sql
+from . import catalogue, exploration, retail, sql  # noqa: F401  catalogue adds to retail's queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
