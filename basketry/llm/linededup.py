@@ -181,7 +181,7 @@ def by_document(docs: DataFrame, id: str = "doc_id", text: str = "text", edits:
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``docs`` with the lines that are kept, blank ones left out; of rows that share an id
     each keeps the lines that any of them does."""
-    own = marked(docs, id, text, edits, least_chars).where("kept").groupBy(F.col("id").alias("_id")).agg(F.collect_set("pos").alias("_keep"))
-    lines = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: F.array_contains(F.col("_keep"), i))
-    joined = docs.join(own, F.col(id).eqNullSafe(F.col("_id")), "left").withColumn("_keep", F.coalesce("_keep", F.array().cast("array<int>")))
+    own = marked(docs, id, text, edits, least_chars).where("kept").groupBy(F.col("id").alias("__id")).agg(F.collect_set("pos").alias("__keep"))
+    lines = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: F.array_contains(F.col("__keep"), i))
+    joined = docs.join(own, F.col(id).eqNullSafe(F.col("__id")), "left").withColumn("__keep", F.coalesce("__keep", F.array().cast("array<int>")))
     return joined.withColumn(text, F.array_join(lines, "\n")).select(*docs.columns)

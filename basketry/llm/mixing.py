@@ -138,6 +138,6 @@ def replicated(docs: DataFrame, id: str = "doc_id", text: str = "text", source:
 
     Copies are joined by id, so rows that share an id take the largest number among them.
     """
-    taken = mixed(docs, id, text, source, weights, most).groupBy("id").agg(F.max("copies").alias("_copies"))
-    own = docs.join(taken.withColumnRenamed("id", "_id"), F.col(id).eqNullSafe(F.col("_id"))).where("_copies > 0")
-    return own.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    taken = mixed(docs, id, text, source, weights, most).groupBy("id").agg(F.max("copies").alias("__copies"))
+    own = docs.join(taken.withColumnRenamed("id", "__id"), F.col(id).eqNullSafe(F.col("__id"))).where("__copies > 0")
+    return own.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

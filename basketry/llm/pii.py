@@ -5,11 +5,12 @@ confirm them and words nearby move their score. Spans of the base kinds always s
 that the method adds (``iban``, short cards, phones without a plus) need a score of at least
 ``LEAST`` and may not overlap a base span. Positions are code points, ends exclusive.
 
-Patterns never restart inside a run that has already failed and hold no repeated groups
-without a bound, so a long run of digits or letters is read once and needs no deep stack.
+Patterns never restart inside a run that has already failed, and unbounded groups repeat
+possessively, so a long run of digits or letters is read once and needs no deep stack.
 
 Defined cases: null text counts as empty and has no spans; repeated rows get the same spans;
-an empty table gives no rows.
+an empty table gives no rows. Input columns ``pii_base``, ``pii_added`` and those that begin
+with ``__pii`` give way.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ _LOCAL = "[A-Za-z0-9._%+-]"
 #: Each finds the leftmost non-overlapping matches; a match begins where its run begins or
 #: where the match before ended (\G).
 PATTERNS = {
-    "email": f"(?:\\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++\\.[A-Za-z0-9-][A-Za-z0-9.-]*+",
+    "email": f"(?:\\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++",
     "ip": "(?:\\G|(?<![0-9]))[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++",
-    "card": "[0-9][0-9\\x20-]+",
+    "card": "[0-9](?:[\\x20-]?[0-9])++",
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
     "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
-    "local_phone": "(?<![0-9+().-])\\(?[0-9]{2,4}\\)?[\\x20.-][0-9]{3,4}[\\x20.-][0-9]{3,4}(?![0-9])",
+    "local_phone": "(?<![0-9A-Za-z+().-])(?<![0-9][\\x20.-])\\(?[0-9]{2,4}\\)?[\\x20.-][0-9]{3,4}[\\x20.-][0-9]{3,4}(?![0-9]|[\\x20.-][0-9])",
 }
 #: Score before context, and words that raise it if they stand within CONTEXT code points.
 SCORES = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.7, "short_card": 0.3, "local_phone": 0.3}
@@ -87,22 +88,14 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), lambda a, c: (a * F.when(c.between("0", "9"), 10).otherwise(100) + value(c)) % 97) == 1
 
 
-def trimmed_email(spans: Column) -> Column:
-    """The host's last label can't be followed by dots; what the pattern took of them goes."""
-    host_end = lambda m: F.regexp_extract(m, "^[^@]*+@[A-Za-z0-9-]++(?:\\.(?=[A-Za-z0-9-])|[A-Za-z0-9-])*+", 0)
-    return F.transform(spans, lambda s: common.let(host_end(s["match"]), lambda m: F.struct(s["start"].alias("start"), (s["start"] + F.length(m)).alias("end"), m.alias("match"))))
-
-
 def proposals(text: Column) -> dict[str, Column]:
     """Confirmed spans of each kind. Cheap conditions keep patterns off texts that can't match."""
     empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
     if_in = lambda condition, spans: F.when(condition, spans).otherwise(empty)
-    # separators that don't stand between two digits end a number; a line end takes their place
-    numbers = F.regexp_replace(text, "(?<![0-9])[\\x20-]|[\\x20-](?![0-9])", "\n")
     digit = text.rlike("[0-9]")
     octets = lambda m: F.forall(F.split(m, "\\."), lambda p: F.length(F.regexp_replace(p, "^0+", "")) <= 3) & F.forall(F.split(m, "\\."), lambda p: F.coalesce(F.substring(F.regexp_replace(p, "^0+", ""), 1, 4).try_cast("int"), F.lit(0)) <= 255)
     n = lambda m: F.length(digits(m))
-    runs = if_in(text.rlike("[0-9](?:[\\x20-]?[0-9]){12}"), located(numbers, PATTERNS["card"]))
+    runs = if_in(text.rlike("[0-9](?:[\\x20-]?[0-9]){12}"), located(text, PATTERNS["card"]))
     return {
         "email": if_in(F.contains(text, F.lit("@")), located(text, PATTERNS["email"])),
         "ip": if_in(text.rlike("[0-9]\\.[0-9]"), F.filter(located(text, PATTERNS["ip"]), lambda s: octets(s["match"]))),
@@ -128,16 +121,16 @@ def scored(text: Column, kind: str, spans: Column) -> Column:
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``base`` and ``added``: arrays of (kind, start, end, score), base kinds
+    """``docs`` with ``pii_base`` and ``pii_added``: arrays of (kind, start, end, score), base kinds
     in the order of KINDS, each kind by start."""
-    own = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    t = F.col("_t")
-    own = own.withColumns({f"_{k}": v for k, v in proposals(t).items()}).withColumn("_email", F.when(F.size("_email") > 0, trimmed_email(F.col("_email"))).otherwise(F.col("_email")))
-    own = own.withColumn("base", F.concat(*[scored(t, k, F.col(f"_{k}")) for k in KINDS]))
-    clear = lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.concat(*[scored(t, k, F.col(f"_{k}")) for k in ADDED])
-    own = own.withColumn("added", F.filter(added, lambda s: (s["score"] >= LEAST) & clear(s)))
-    return own.drop("_t", *[f"_{k}" for k in (*KINDS, *ADDED)])
+    own = docs.withColumn("__pii_t", F.coalesce(F.col(text), F.lit("")))
+    t = F.col("__pii_t")
+    own = own.withColumns({f"__pii_{k}": v for k, v in proposals(t).items()})
+    own = own.withColumn("pii_base", F.concat(*[scored(t, k, F.col(f"__pii_{k}")) for k in KINDS]))
+    clear = lambda s: ~F.exists(F.col("pii_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    added = F.concat(*[scored(t, k, F.col(f"__pii_{k}")) for k in ADDED])
+    own = own.withColumn("pii_added", F.filter(added, lambda s: (s["score"] >= LEAST) & clear(s)))
+    return own.drop("__pii_t", *[f"__pii_{k}" for k in (*KINDS, *ADDED)])
 
 
 def joined(spans: Column) -> Column:
@@ -149,7 +142,7 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with each line's spans masked as ``[KIND]``: the text is cut at span ends
     and put together again, later spans first."""
     own = with_spans(docs, text)
-    latest = F.reverse(F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
+    latest = F.reverse(F.array_sort(F.transform(F.concat("pii_base", "pii_added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
     mask = lambda x, s: F.when(s["end"] > x["upto"], x).otherwise(F.struct(F.concat(F.substring(x["t"], F.lit(1), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"), F.substring(x["t"], s["end"] + 1, F.length(x["t"]))).alias("t"), s["start"].alias("upto")))
     first = F.struct(F.coalesce(F.col(text), F.lit("")).alias("t"), F.lit(2**31 - 1).alias("upto"))
-    return own.withColumn(text, F.when(F.col(text).isNull(), None).otherwise(F.aggregate(latest, first, mask, lambda x: x["t"]))).drop("base", "added")
+    return own.withColumn(text, F.when(F.col(text).isNull(), None).otherwise(F.aggregate(latest, first, mask, lambda x: x["t"]))).drop("pii_base", "pii_added")

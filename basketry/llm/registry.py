@@ -61,9 +61,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
     own = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    spans = F.concat("base", "added")
-    return own.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(spans).alias("spans"), F.array_join(F.transform(spans, lambda s: s["score"].cast("string")), ",").alias("scores"))
+    count = lambda kind: F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    spans = F.concat("pii_base", "pii_added")
+    return own.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.joined(F.col("pii_base")), 256).alias("base_sha256"), pii.joined(spans).alias("spans"), F.array_join(F.transform(spans, lambda s: s["score"].cast("string")), ",").alias("scores"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ dense group of n near copies yields at most n - 1 edges for each key and never n
 
 Defined cases: null, empty or blank text has fingerprint zero, which links like any other;
 repeated rows and repeated ids are rows of their own with the same component; a null id is
-never the least of a component unless all of it is null; an empty table gives no rows.
+never the least of a component unless all of it is null; an empty table gives no rows. Columns ``__fp``, ``__root`` and ``__row`` of the input give way.
 """
 
 from __future__ import annotations
@@ -249,23 +249,23 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def clusters(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """All columns of ``docs`` with ``_fp`` (signed long), ``_root`` (a fingerprint of the
-    component) and ``_row`` (a number of the row), stored in the shared folder."""
-    own = docs.withColumn("_row", F.monotonically_increasing_id())
-    own = common.stored(with_fingerprint(own, text, "_fp", shingle), "prints")
-    prints = own.select(F.col("_fp").alias("fp")).distinct()
+    """All columns of ``docs`` with ``__fp`` (signed long), ``__root`` (a fingerprint of the
+    component) and ``__row`` (a number of the row), stored in the shared folder."""
+    own = docs.withColumn("__row", F.monotonically_increasing_id())
+    own = common.stored(with_fingerprint(own, text, "__fp", shingle), "prints")
+    prints = own.select(F.col("__fp").alias("fp")).distinct()
     prints = common.stored(prints, "distinct")
     roots = common.components(links(prints, radius))
-    roots = prints.join(roots, prints.fp == roots.node, "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("_root"))
-    return own.join(roots, "_fp")
+    roots = prints.join(roots, prints.fp == roots.node, "left").select(F.col("fp").alias("__fp"), F.coalesce("root", "fp").alias("__root"))
+    return own.join(roots, "__fp")
 
 
 def component_ids(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 4, radius: int = 4) -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id: the least id reachable)."""
-    every = common.stored(clusters(docs.select(id, text), text, id, shingle, radius).select(id, "_fp", "_root"), "clusters")
-    least = every.groupBy("_root").agg(F.min(id).alias("component_id"))
-    fp = F.lpad(F.lower(F.hex("_fp")), 16, "0")
-    return every.join(least, "_root").select(id, fp.alias("fingerprint"), "component_id")
+    every = common.stored(clusters(docs.select(id, text), text, id, shingle, radius).select(id, "__fp", "__root"), "clusters")
+    least = every.groupBy("__root").agg(F.min(id).alias("component_id"))
+    fp = F.lpad(F.lower(F.hex("__fp")), 16, "0")
+    return every.join(least, "__root").select(id, fp.alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 5, radius: int = 4) -> DataFrame:
@@ -273,5 +273,5 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", shingl
     last), and of rows that share it the first stored."""
     every = clusters(docs, text, id, shingle, radius)
     every = common.stored(every, "clusters")
-    keep = every.groupBy("_root").agg(F.min(F.struct(F.col(id).isNull().alias("n"), F.col(id).alias("i"), F.col("_row").alias("r"))).alias("k"))
-    return every.join(keep.select(F.col("k.r").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    keep = every.groupBy("__root").agg(F.min(F.struct(F.col(id).isNull().alias("n"), F.col(id).alias("i"), F.col("__row").alias("r"))).alias("k"))
+    return every.join(keep.select(F.col("k.r").alias("__row")), "__row", "left_semi").select(*docs.columns)

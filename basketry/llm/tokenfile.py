@@ -157,7 +157,7 @@ def written(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", text
             at = 0
             while at < len(texts):  # a few hundred kB at a time, one long text alone
                 to, chars = at, 0
-                while to < len(texts) and (to == at or chars + len(texts[to]) <= 4_000_000):
+                while to < len(texts) and (to == at or chars + len(texts[to]) <= min(4_000_000, 2 * shard_tokens)):
                     chars += len(texts[to])
                     to += 1
                 got, _, _, n = own.encode(texts[at:to])
