@@ -105,7 +105,7 @@ def retrieved(queries: DataFrame, vectors: DataFrame, k: int, user: str = "custo
 
     n = vectors.count()
     blocks = max(1, -(-n // block))
-    keyed = vectors.select("article_id", F.col("v").cast("array<float>").alias("v"), F.pmod(F.xxhash64("article_id"), F.lit(blocks)).alias("_b"))
+    keyed = vectors.select("article_id", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("article_id"), F.lit(blocks)).alias("_b"))
     parts = None
     for b in range(blocks):
         rows = sorted(keyed.where(F.col("_b") == b).select("article_id", "v").collect())
