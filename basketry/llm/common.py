@@ -45,7 +45,7 @@ def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
 
 
 #: Rows of an Arrow batch for Python stages over texts: a batch stays at a few MB.
-BATCH_ROWS = "2000"
+BATCH_ROWS = "1000"
 
 
 def small_batches(spark: SparkSession) -> None:

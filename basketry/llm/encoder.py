@@ -19,7 +19,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces that the table holds before it starts anew, and the length from which they are not kept.
-MOST_PIECES, MOST_CHARS = 800_000, 64
+MOST_PIECES, MOST_CHARS = 300_000, 64
 #: Marks that may stand behind letters, and the first character past the Latin blocks, up to
 #: which lower-casing is a matter of single characters.
 MARKS, LAST_LATIN = ",.;:!?", "\u0250"
@@ -193,3 +193,8 @@ def encoder(path: str, cut: str = "space", spans: bool = True) -> PieceEncoder:
     if key not in _encoders:
         _encoders[key] = PieceEncoder(*key)
     return _encoders[key]
+
+
+def release() -> None:
+    """Drop what this process holds; Python workers outlive their tasks."""
+    _encoders.clear()

@@ -248,21 +248,22 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
     return rows.mapInArrow(_edges_of(radius), "a long, b long")
 
 
-def clusters(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """All columns of ``docs`` with ``__fp`` (signed long), ``__root`` (a fingerprint of the
-    component) and ``__row`` (a number of the row), stored in the shared folder."""
-    own = docs.withColumn("__row", F.monotonically_increasing_id())
-    own = common.stored(with_fingerprint(own, text, "__fp", shingle), "prints")
-    prints = own.select(F.col("__fp").alias("fp")).distinct()
-    prints = common.stored(prints, "distinct")
-    roots = common.components(links(prints, radius))
-    roots = prints.join(roots, prints.fp == roots.node, "left").select(F.col("fp").alias("__fp"), F.coalesce("root", "fp").alias("__root"))
-    return own.join(roots, "__fp")
+def printed(docs: DataFrame, text: str = "text", shingle: int = 4) -> DataFrame:
+    """``docs`` with ``__fp`` (signed long) and ``__row`` (a number of the row), stored."""
+    return common.stored(with_fingerprint(docs.withColumn("__row", F.monotonically_increasing_id()), text, "__fp", shingle), "prints")
+
+
+def roots(own: DataFrame, radius: int) -> DataFrame:
+    """(__fp, __root) of every fingerprint of ``own``: a fingerprint of its component."""
+    prints = common.stored(own.select(F.col("__fp").alias("fp")).distinct(), "distinct")
+    linked = common.components(links(prints, radius))
+    return prints.join(linked, prints.fp == linked.node, "left").select(F.col("fp").alias("__fp"), F.coalesce("root", "fp").alias("__root"))
 
 
 def component_ids(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 4, radius: int = 4) -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id: the least id reachable)."""
-    every = common.stored(clusters(docs.select(id, text), text, id, shingle, radius).select(id, "__fp", "__root"), "clusters")
+    own = printed(docs.select(id, text), text, shingle).select(id, "__fp")
+    every = common.stored(own.join(roots(own, radius), "__fp"), "clusters")
     least = every.groupBy("__root").agg(F.min(id).alias("component_id"))
     fp = F.lpad(F.lower(F.hex("__fp")), 16, "0")
     return every.join(least, "__root").select(id, fp.alias("fingerprint"), "component_id")
@@ -271,7 +272,8 @@ def component_ids(docs: DataFrame, text: str = "text", id: str = "doc_id", shing
 def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 5, radius: int = 4) -> DataFrame:
     """``docs`` with one row of each group of near copies: that with the least id (nulls
     last), and of rows that share it the first stored."""
-    every = clusters(docs, text, id, shingle, radius)
-    every = common.stored(every, "clusters")
-    keep = every.groupBy("__root").agg(F.min(F.struct(F.col(id).isNull().alias("n"), F.col(id).alias("i"), F.col("__row").alias("r"))).alias("k"))
-    return every.join(keep.select(F.col("k.r").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    own = printed(docs, text, shingle)
+    light = own.select(F.col(id).alias("i"), "__fp", "__row")
+    first = F.min(F.struct(F.col("i").isNull().alias("n"), F.col("i").alias("i"), F.col("__row").alias("r"))).alias("k")
+    keep = common.stored(light.join(roots(own, radius), "__fp").groupBy("__root").agg(first).select(F.col("k.r").alias("__row")), "kept")
+    return own.join(keep, "__row", "left_semi").select(*docs.columns)

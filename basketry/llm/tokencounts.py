@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .encoder import encoder
+from .encoder import encoder, release
 
 Section = tuple[str, int, int]
 
@@ -100,6 +100,7 @@ def by_section(docs: DataFrame, tokenizer: str, pattern: str, id: str = "doc_id"
                     to += 1
                 yield rows(texts[at:to], keys[at:to])
                 at = to
+        release()
 
     own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     return own.mapInArrow(run, "id long, section string, n_tokens long, n_crossing long, n_chars long").withColumnRenamed("id", id)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import common
-from .encoder import encoder
+from .encoder import encoder, release
 
 MAGIC = b"DAC1"
 RANK_BITS = 512
@@ -171,6 +171,7 @@ def written(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", text
                     shard, size, ids, held, counts = shard + 1, 0, [], [], []
         if ids:
             yield write(part, shard, ids, held, counts)
+        release()
 
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]  # the range's samples go to the driver: no texts
