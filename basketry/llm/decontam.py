@@ -89,28 +89,29 @@ class Index:
         n = len(self.vocabulary)
         self.first = np.searchsorted(term, np.arange(n + 1))
         self.most = np.maximum.reduceat(self.impact, self.first[:-1]) if n else np.zeros(0)
+        self.block = self.item // BLOCK
         self.block_most = np.zeros((n, -(-len(items) // BLOCK)), np.float32)
-        np.maximum.at(self.block_most, (term, self.item // BLOCK), self.impact.astype(np.float32) * (1 + 1e-6))
+        np.maximum.at(self.block_most, (term, self.block), self.impact.astype(np.float32) * np.float32(1 + 1e-6))
+        self.touches = self.block_most > 0
 
     def retrieve(self, terms: np.ndarray) -> dict[int, float]:
         """Items whose score for these distinct terms reaches the threshold."""
         bound = self.most[terms]
         if bound.sum() < self.threshold:
             return {}
-        order = np.argsort(bound)
+        order = bound.argsort()
         terms, bound = terms[order], bound[order]
-        pivot = int(np.searchsorted(np.cumsum(bound), self.threshold - 1e-9))
-        leading = [self.item[self.first[t] : self.first[t + 1]] for t in terms[pivot:]]
-        blocks = np.unique(np.concatenate(leading) // BLOCK)
-        blocks = blocks[self.block_most[np.ix_(terms, blocks)].sum(0) >= self.threshold - 1e-6]
-        if not len(blocks):
+        pivot = int(bound.cumsum().searchsorted(self.threshold - 1e-9))
+        live = (self.block_most[terms].sum(0) >= self.threshold - 1e-6) & self.touches[terms[pivot:]].any(0)
+        if not live.any():
             return {}
-        sizes = self.first[terms + 1] - self.first[terms]
-        ends = np.cumsum(sizes)
-        at = np.arange(ends[-1]) + np.repeat(self.first[terms] - (ends - sizes), sizes)
-        own = np.isin(self.item[at] // BLOCK, blocks)
-        score = np.bincount(self.item[at[own]], self.impact[at[own]], len(self.ids))
-        return {int(k): float(score[k]) for k in np.flatnonzero(score >= self.threshold - 1e-9)}
+        first = self.first[terms]
+        sizes = self.first[terms + 1] - first
+        ends = sizes.cumsum()
+        at = np.arange(ends[-1]) + (first - ends + sizes).repeat(sizes)
+        at = at[live[self.block[at]]]
+        score = np.bincount(self.item[at], self.impact[at], len(self.ids))
+        return {int(k): float(score[k]) for k in (score >= self.threshold - 1e-9).nonzero()[0]}
 
     def leaks(self, text: str | None) -> list[Leak]:
         words = WORD.findall(text.lower()) if text else []
