@@ -58,8 +58,8 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
             for move in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
                 key = F.xxhash64(F.lit(i), of, F.substring(line, start + move, size))
                 fits = (start + move >= 1) & (start + move + size - 1 <= length)
-                out.append(F.struct(F.when(fits, key).alias("key"), F.lit(less == 0).alias("equal")))
-    return F.array(*out)
+                out.append(F.when(fits, key))
+    return F.array_compact(F.array(*out))
 
 
 def sketch(line: Column) -> Column:
@@ -128,21 +128,24 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
 def occurrences(docs: DataFrame, id: str, text: str) -> DataFrame:
     """(_doc, id, pos, line) of each non-blank line; a row with null line for a document of none."""
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.regexp_replace(x, "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+\\z", "").alias("line"))), lambda x: x["line"] != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.btrim(x, F.lit(" \t\n\x0b\x0c\r")).alias("line"))), lambda x: x["line"] != "")
     own = docs.select(F.monotonically_increasing_id().alias("_doc"), F.col(id).alias("id"), lines.alias("l"))
     own = own.select("_doc", "id", F.explode_outer("l").alias("l"))
     return own.select("_doc", "id", "l.pos", "l.line")
 
 
 def classes(distinct: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(node, root) of those of ``distinct`` (line_id, line) that link to others."""
-    own = distinct.select("line_id", "line", F.length("line").alias("n")).where(F.col("n") >= least_chars)
-    index = own.select("line_id", sketch(F.col("line")).alias("sketch"), F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    probes = own.select("line_id", sketch(F.col("line")).alias("sketch"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("p"))
-    probes = probes.select(F.col("line_id").alias("other"), F.col("sketch").alias("other_sketch"), "p.key", "p.equal").where("key is not null")
+    """(node, root) of those of ``distinct`` (line_id, line, sketch) that link to others."""
+    own = distinct.select("line_id", "line", "sketch", F.length("line").alias("n")).where(F.col("n") >= least_chars)
+
+    def keyed(keys: Column) -> DataFrame:  # in two steps, or each key's row would work out the others again
+        return own.select("line_id", "sketch", keys.alias("keys")).select("line_id", "sketch", F.explode("keys").alias("key"))
+
+    index = keyed(index_keys(F.col("line"), F.col("n"), edits))
+    probes = keyed(probe_keys(F.col("line"), F.col("n"), edits)).toDF("other", "other_sketch", "key")
     near = sketch_distance(F.col("sketch"), F.col("other_sketch")) <= 2 * edits
-    once = F.when(F.col("equal"), F.col("line_id") < F.col("other")).otherwise(F.col("line_id") != F.col("other"))
-    pairs = index.join(probes, (index.key == probes.key) & once & near).select(F.col("line_id").alias("a"), F.col("other").alias("b")).distinct()
+    pairs = index.join(probes, (index.key == probes.key) & (F.col("line_id") != F.col("other")) & near)
+    pairs = pairs.select(F.least("line_id", "other").alias("a"), F.greatest("line_id", "other").alias("b")).distinct()
     pairs = common.stored(pairs, "candidates")
     ids = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct(), "ids")
     # a checked size goes to all executors; beyond it the texts are shuffled
@@ -158,7 +161,7 @@ def marked(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int =
     more than one text. Documents without lines keep one row with null pos."""
     lines = occurrences(docs, id, text)
     h = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2")]
-    distinct = common.stored(lines.where("line is not null").groupBy("line").count().select(F.monotonically_increasing_id().alias("line_id"), "line", *h), "lines")
+    distinct = common.stored(lines.where("line is not null").groupBy("line").count().select(F.monotonically_increasing_id().alias("line_id"), "line", sketch(F.col("line")).alias("sketch"), *h), "lines")
     roots = classes(distinct, edits, least_chars)
     members = roots.select(F.col("node").alias("line_id"), "root").unionByName(roots.select(F.col("root").alias("line_id"), "root").distinct())
     members = common.stored(distinct.select("line_id", "h1", "h2").join(members, "line_id").select("h1", "h2", "root"), "members")
