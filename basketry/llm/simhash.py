@@ -31,6 +31,8 @@ from . import common
 CHUNK = 1 << 16
 #: Index rows of one part key that one group holds; keys with more are dealt over blocks.
 BLOCK = 20_000
+#: Rows of one key that are held at once, beside those that are indexed.
+MOST_HELD = 400_000
 #: Cost of a shuffled row against that of a compared pair, for the allocation.
 ROW_COST, PAIR_COST = 1.0, 0.01
 
@@ -182,8 +184,11 @@ def forest(fps: np.ndarray, indexed: np.ndarray, radius: int) -> list[tuple[int,
     return out
 
 
-def _edges_of(radius: int):
-    """Stream a partition that is sorted by key and emit forest edges key by key."""
+def _edges_of(radius: int, most_held: int):
+    """Stream a partition that is sorted by key, indexed rows first, and emit forest edges key
+    by key. Of a key with more than ``most_held`` rows so many are linked at a time: its
+    indexed rows, at most about BLOCK, stay for the next, so no link is lost.
+    """
 
     def flush(key, block, fp, index):
         cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(block) != 0)) + 1
@@ -210,7 +215,13 @@ def _edges_of(radius: int):
             cols[2] = cols[2].view(np.uint64)
             same = held and held[-1][0][-1] == cols[0][-1] and held[-1][1][-1] == cols[1][-1]
             held.append(cols)
-            if same:  # one key fills the whole batch
+            if same and cols[0][0] == cols[0][-1] and cols[1][0] == cols[1][-1]:  # one key fills the whole batch
+                if sum(len(x[0]) for x in held) > most_held:
+                    every = [np.concatenate(x) for x in zip(*held, strict=True)]
+                    start = int(np.flatnonzero((every[0] != every[0][-1]) | (every[1] != every[1][-1]))[-1]) + 1 if (every[0][0], every[1][0]) != (every[0][-1], every[1][-1]) else 0
+                    yield flush(*every)
+                    stay = np.flatnonzero(every[3][start:]) + start
+                    held = [[x[stay if len(stay) else slice(-1, None)] for x in every]]
                 continue
             key, block, fp, index = (np.concatenate(x) for x in zip(*held, strict=True))
             last = int(np.flatnonzero((key != key[-1]) | (block != block[-1]))[-1]) + 1 if (key[0], block[0]) != (key[-1], block[-1]) else 0
@@ -244,8 +255,8 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
     home = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     rows = rows.join(hot, "key", "left").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "fp", home.alias("home"), "index")
     rows = rows.select("key", "block", "fp", (F.col("index") & (F.col("home") == F.col("block"))).alias("index"))
-    rows = rows.repartition("key", "block").sortWithinPartitions("key", "block")
-    return rows.mapInArrow(_edges_of(radius), "a long, b long")
+    rows = rows.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("index"))
+    return rows.mapInArrow(_edges_of(radius, MOST_HELD), "a long, b long")
 
 
 def printed(docs: DataFrame, text: str = "text", shingle: int = 4) -> DataFrame:

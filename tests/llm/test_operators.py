@@ -368,10 +368,14 @@ def test_fingerprint_against_plain_python():
         assert simhash.fingerprint(text) == sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h) and h)
 
 
-@pytest.mark.parametrize("radius,block", [(1, 20_000), (4, 20_000), (4, 7), (7, 20_000)])
-def test_links_against_all_pairs(spark, monkeypatch, radius, block):
-    """Also with keys so hot that they are dealt over blocks."""
+@pytest.mark.parametrize("radius,block,held", [(1, 20_000, 400_000), (4, 20_000, 400_000), (4, 7, 400_000), (7, 20_000, 400_000), (4, 20_000, 12)])
+def test_links_against_all_pairs(spark, monkeypatch, radius, block, held):
+    """Also with keys so hot that they are dealt over blocks or linked a part at a time."""
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "MOST_HELD", held)
+    monkeypatch.setattr(simhash, "ROW_COST", 1e6 if held < 100 else 1.0)
+    if held < 100:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     rng = random.Random(radius)
     prints = [rng.getrandbits(64) for _ in range(60)]
     for _ in range(240):
