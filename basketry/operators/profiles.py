@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .ordering import placed
 
 
 def weighted(txn: DataFrame, half_life: float = 90.0) -> DataFrame:
@@ -57,9 +58,9 @@ def diversity(dist: DataFrame, user: str = "customer_id") -> DataFrame:
 def price_quintiles(profiles: DataFrame, user: str = "customer_id") -> DataFrame:
     """1 to 5 by place of the mean price, ties by user; null prices get null."""
     priced = profiles.where("avg_price is not null")
-    place = F.row_number().over(W.orderBy("avg_price", user))
-    n = F.count("*").over(W.partitionBy())
-    own = priced.select(user, C.quintile(place, n).cast("long").alias("quintile"))
+    n = priced.agg(F.count("*").alias("n"))
+    own = placed(priced.select(user, "avg_price"), F.col("avg_price"), F.col(user)).crossJoin(F.broadcast(n))  # one row
+    own = own.select(user, C.quintile(F.col("place") + 1, F.col("n")).cast("long").alias("quintile"))
     return profiles.select(user).join(own, user, "left")
 
 

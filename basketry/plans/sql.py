@@ -57,15 +57,6 @@ class Dialect:
     def percentile(self, x: str, p: float) -> str:
         return f"percentile({x}, {p})" if self.spark else f"quantile_cont({x}, {p})"
 
-    def each(self, json: str, name: str) -> str:
-        """A lateral relation of the strings of a JSON array column."""
-        if self.spark:
-            return f"LATERAL VIEW explode(from_json({json}, 'array<string>')) e AS {name}"
-        return f", UNNEST(CAST(json({json}) AS VARCHAR[])) AS e({name})"
-
-    def any_value(self, x: str) -> str:
-        return f"any_value({x})"
-
 
 SPARK, OTHER = Dialect(True), Dialect(False)
 Plan = Callable[[Dialect], str]
@@ -95,12 +86,6 @@ def _names(where: str, name: str) -> bool:
     return bool(re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", where, re.IGNORECASE))
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
-    """Make the sample tables known by name."""
-    for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-
-
 def run(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
     """The query of a plan."""
 
