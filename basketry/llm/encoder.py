@@ -19,7 +19,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces that the table holds before it starts anew, and the length from which they are not kept.
-MOST_PIECES, MOST_CHARS = 300_000, 64
+MOST_PIECES, MOST_CHARS = 200_000, 64
 #: Marks that may stand behind letters, and the first character past the Latin blocks, up to
 #: which lower-casing is a matter of single characters.
 MARKS, LAST_LATIN = ",.;:!?", "\u0250"

@@ -132,7 +132,7 @@ class Reader:
         return self.tokens(int(self.offsets[k]), int(self.offsets[k + 1]))
 
 
-def written(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", text: str = "text", end_id: int = 2, shard_tokens: int = 1 << 22) -> DataFrame:
+def written(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", text: str = "text", end_id: int = 2, shard_tokens: int = 1 << 21) -> DataFrame:
     """Write token files under ``path``, a folder of a file system that all executors reach;
     returns their manifest (part, shard, file, docs, tokens, start), ``start`` being the
     number of tokens in all files before."""
@@ -157,7 +157,7 @@ def written(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", text
             at = 0
             while at < len(texts):  # a few hundred kB at a time, one long text alone
                 to, chars = at, 0
-                while to < len(texts) and (to == at or chars + len(texts[to]) <= min(4_000_000, 2 * shard_tokens)):
+                while to < len(texts) and (to == at or chars + len(texts[to]) <= min(500_000, 2 * shard_tokens)):
                     chars += len(texts[to])
                     to += 1
                 got, _, _, n = own.encode(texts[at:to])
