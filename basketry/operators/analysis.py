@@ -159,3 +159,10 @@ def near_items(vectors: DataFrame, groups: DataFrame, k: int = 20, least: float
     g = groups.select("article_id", "group")
     own = pairs.join(g.toDF("a", "ga"), "a").join(g.toDF("b", "gb"), "b").where("ga <> gb")
     return own.select("a", "b", "score").orderBy(F.desc("score"), "a", "b").limit(most)
+
+
+def pair_types(pairs: DataFrame, types: DataFrame, k: int = 10) -> DataFrame:
+    """(type_a, type_b, n): the k most frequent unordered pairs of types of article pairs."""
+    own = pairs.join(types.toDF("a", "ta"), "a").join(types.toDF("b", "tb"), "b")
+    n = own.groupBy(F.least("ta", "tb").alias("type_a"), F.greatest("ta", "tb").alias("type_b")).agg(F.count("*").alias("n"))
+    return n.orderBy(F.desc("n"), "type_a", "type_b").limit(k)

@@ -105,3 +105,12 @@ def hash_split(rows: DataFrame, column: str, share: float = 0.8, seed: int = 42)
     """``part``: train for about ``share`` of the values of a column, else held_out."""
     bucket = F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1000))
     return rows.withColumn("part", F.when(bucket < int(1000 * share), "train").otherwise("held_out"))
+
+
+def stratified(rows: DataFrame, label: str, id: str, each: int, total: int | None = None, seed: int = 42) -> DataFrame:
+    """``each`` rows of every label in hash order, then others in hash order up to ``total``."""
+    order = F.xxhash64(id, F.lit(seed))
+    own = rows.withColumn("_k", F.row_number().over(W.partitionBy(label).orderBy(order, id)))
+    if total is None:
+        return own.where(F.col("_k") <= each).drop("_k")
+    return own.orderBy(F.when(F.col("_k") <= each, 0).otherwise(1), order, id).limit(total).drop("_k")

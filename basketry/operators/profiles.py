@@ -112,3 +112,11 @@ def profile_texts(profiles: DataFrame) -> DataFrame:
         F.concat(F.lit("(c) channel: "), F.when(F.col("online_ratio") >= 0.5, "online").otherwise("store")),
     ]
     return profiles.select("customer_id", F.concat_ws("; ", *parts).alias("text"))
+
+
+def merged_profiles(profiles: DataFrame, active: DataFrame, sparse: DataFrame) -> DataFrame:
+    """Profiles with a text and where it comes from: that of ``active`` (customer_id, text),
+    else the template of ``sparse``, else none."""
+    own = profiles.join(active.select("customer_id", F.col("text").alias("_a")), "customer_id", "left").join(sparse.select("customer_id", F.col("text").alias("_s")), "customer_id", "left")
+    source = F.when(F.col("_a").isNotNull(), "model").when(F.col("_s").isNotNull(), "template").otherwise("none")
+    return own.select(*profiles.columns, F.coalesce("_a", "_s", F.lit("")).alias("text"), source.alias("profile_source"), F.col("_a").isNotNull().alias("is_active"))

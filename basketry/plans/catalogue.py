@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import attributes, candidates, features, ml, profiles, quality, segments
+from ..operators import analysis, attributes, candidates, features, ml, profiles, quality, segments
 from ..sources import tables
 from .retail import TYPES, Shop, query, rounded
 from .sql import TRAIN_END, VAL_END
@@ -392,3 +392,29 @@ def user_sessions(spark, sf_dir):
 
     own = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     return events.sessions(own).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query("SELECT CAST(label AS BIGINT) AS label, CAST(least(count(*), 20) AS BIGINT) AS n FROM embeddings GROUP BY label")
+def stratified_sample(spark, sf_dir):
+    """Size of each label's part of a sample of twenty each."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
+    return rounded(candidates.stratified(rows, "label", "vec_id", 20).groupBy("label").agg(F.count("*").alias("n")))
+
+
+@query("""WITH p AS (SELECT DISTINCT least(x.article_id, y.article_id) AS a, greatest(x.article_id, y.article_id) AS b FROM val x JOIN val y ON x.customer_id = y.customer_id AND x.article_id < y.article_id)
+    SELECT least(i.product_type_name, j.product_type_name) AS type_a, greatest(i.product_type_name, j.product_type_name) AS type_b, count(*) AS n FROM p JOIN articles i ON p.a = i.article_id JOIN articles j ON p.b = j.article_id GROUP BY 1, 2 ORDER BY n DESC, type_a, type_b LIMIT 10""")
+def pair_types(spark, sf_dir):
+    s = Shop(spark, sf_dir)
+    x, y = s.val.select("customer_id", F.col("article_id").alias("a")), s.val.select("customer_id", F.col("article_id").alias("b"))
+    pairs = x.join(y, "customer_id").where("a < b").select("a", "b").distinct()
+    return analysis.pair_types(pairs, s.articles.select("article_id", "product_type_name"))
+
+
+@query("""WITH a AS (SELECT customer_id, count(*) AS n FROM train GROUP BY customer_id) SELECT profile_source, count(*) AS n FROM (SELECT CASE WHEN n >= 5 THEN 'model' ELSE 'template' END AS profile_source FROM a) x GROUP BY 1""")
+def merged_profiles(spark, sf_dir):
+    """Number of profiles by the source of their text: active users have their own."""
+    s = Shop(spark, sf_dir)
+    base = profiles.base_profiles(s.train, s.articles)
+    active = profiles.profile_texts(base.where("n_purchases >= 5"))
+    own = profiles.merged_profiles(base, active, profiles.sparse_profiles(base, s.train, s.fk, "l2_style_mood"))
+    return own.groupBy("profile_source").agg(F.count("*").alias("n"))
