@@ -49,8 +49,6 @@ class PieceEncoder:
     each text. ``cut``: "space", or the pattern whose matches are the pieces of a text."""
 
     def __init__(self, path: str, cut: str = "space", spans: bool = True):
-        import json
-
         import regex
         from tokenizers import Tokenizer
 
@@ -61,10 +59,11 @@ class PieceEncoder:
         else:
             self.cut, self.gap = regex.compile(cut).findall, 0
             self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        own = json.loads(self.tokenizer.to_str())
-        suffix = own["model"].get("end_of_word_suffix")
-        self.shares = cut == "space" and not spans and bool(suffix) and '"Lowercase"' in json.dumps(own.get("normalizer"))
+        file = self.tokenizer.to_str()  # searched, not parsed: the vocabulary would be held twice
+        found = regex.search(r'"end_of_word_suffix":\s*"([^"]+)"', file)
+        self.shares = cut == "space" and not spans and bool(found) and '"Lowercase"' in file
         if self.shares:
+            suffix = found[1]
             vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
             self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends_word[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
@@ -101,9 +100,7 @@ class PieceEncoder:
     def learn_stems(self) -> None:
         """Encode the stems that wait: joined by spaces, cut after word ends."""
         new, self.stems.new = self.stems.new, []
-        joined = [" ".join(new[k : k + 500]) for k in range(0, len(new), 500)]
-        got = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, np.int32) for e in got])
+        ids = np.concatenate([np.array(self.tokenizer.encode_batch_fast([" ".join(new[k : k + 500])], add_special_tokens=False)[0].ids, np.int32) for k in range(0, len(new), 500)])
         ends = np.flatnonzero(self.ends_word[ids]) + 1
         if len(ends) != len(new) or ends[-1] != len(ids):
             raise ValueError("a word of letters must end with one word-end token")
@@ -196,5 +193,6 @@ def encoder(path: str, cut: str = "space", spans: bool = True) -> PieceEncoder:
 
 
 def release() -> None:
-    """Drop what this process holds; Python workers outlive their tasks."""
-    _encoders.clear()
+    """Empty the tables of this process; Python workers outlive their tasks."""
+    for own in _encoders.values():
+        own.clear()
