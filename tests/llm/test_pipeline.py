@@ -1,7 +1,11 @@
 """Stages of the pipeline against what they may and must drop."""
 
+import random
+
+import pytest
+
 import corpus_pipeline
-from basketry.llm import decontam
+from basketry.llm import decontam, neardup
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +27,50 @@ def test_stages_in_turn(spark):
     assert out.count() == docs.count()
     ordered = sorted((r.start, r.n_tokens) for r in out.collect())
     assert all(a + n == b for (a, n), (b, _) in zip(ordered, ordered[1:], strict=False))
+
+
+def survivors(rows):
+    """Least id of each group that pairs of five-word similarity 0.8 or more connect, by all pairs."""
+    sets = {}
+    for k, t in rows:
+        w = (t or "").encode("utf-8", "surrogatepass").lower().split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    own = {k: k for k in sets}
+
+    def find(x):
+        while own[x] != x:
+            x = own[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                own[y] = x
+    return {k for k in own if own[k] == k}
+
+
+@pytest.mark.parametrize("common", [5, 10**9])
+def test_near_dedup_stage_against_all_pairs(spark, monkeypatch, common):
+    """Copies with more and more changed words, on both sides of 0.8, under a shared license."""
+    monkeypatch.setattr(neardup, "COMMON_TEXTS", common)
+    rng = random.Random(11)
+    texts, word = [None, "", " \n", "one two", "One  two"], lambda: f"w{rng.randrange(5000)}"
+    for _ in range(12):
+        base = [word() for _ in range(rng.choice([9, 40, 150, 400]))]
+        for _ in range(10):
+            copy = list(base)
+            for _ in range(rng.randrange(1 + len(base) // 25)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy) + (" this line is the same license in very many of the texts" if rng.random() < 0.5 else ""))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    assert sorted(got) == sorted(survivors(rows)) and 40 < len(got) < 110
+
+
+def test_near_dedup_stage_on_the_sample(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == survivors(rows)
