@@ -2,7 +2,9 @@
 
 Items of the test set are indexed; every passage of every training text is a query. A score
 is the BM25 weight of the item's words that the passage holds, as a share of the item's own
-weight, so that one threshold suits items of any length. Passages are windows of twice the
+weight, so that one threshold suits items of any length. Where less than the threshold can
+already hold ``least_overlap`` of the question's shingles, or of question and answer together,
+that lesser weight is the item's bar instead: whatever counts as a leak is retrieved. Passages are windows of twice the
 longest item that advance by half, so each occurrence of an item lies whole in one of them.
 
 Retrieval is exact for the threshold. The upper bounds of a passage's words are summed from
@@ -10,7 +12,8 @@ the least; words whose sum stays below the threshold can't bring an item in on t
 only postings of the others name blocks of items; a block is scored only if the sum of its
 words' block maxima reaches the threshold. A whole text bounds all its passages, so most texts
 end there. What is retrieved counts as a leak if at least ``least_overlap`` of the shingles of
-its question, or of question and answer together, stand in the passage.
+its question, or of question and answer together, stand in the passage. A question shorter
+than a shingle is a common phrase by itself and lowers no bar.
 
 Items are taken in blocks of at most ``ITEMS`` (document frequencies are those of all items),
 each with an index of bounded size that goes to the workers.
@@ -54,6 +57,25 @@ def shingles(words: list[str], size: int) -> set[tuple[str, ...]]:
     return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
 
 
+def reachable(words: list[str], weight: dict[str, float], size: int, least: float) -> float:
+    """A weight that every passage has at least if it holds ``least`` of the shingles of
+    ``words``: all of it but the most that the shingles that may be missing can take along
+    (fractional knapsack: a word it lacks costs all shingles with it, a shingle has ``size``
+    words at most)."""
+    own = shingles(words, size)
+    missing = int(len(own) * (1 - least) + 1e-9)
+    within: dict[str, int] = {}
+    for s in own:
+        for w in set(s):
+            within[w] = within.get(w, 0) + 1
+    room, lost = float(size * missing), 0.0
+    for w, n in sorted(within.items(), key=lambda x: (-weight[x[0]] / x[1], x[0])):
+        if n <= missing and room > 0:
+            lost += weight[w] * min(1.0, room / n)
+            room -= n
+    return sum(weight[w] for w in within) - lost
+
+
 @dataclass
 class Leak:
     item: object
@@ -72,7 +94,7 @@ class Index:
         self.parts = [parts(t) for _, t in items]
         self.vocabulary: dict[str, int] = {}
         rows: list[tuple[int, int, float]] = []
-        longest = 1
+        longest, self.share = 1, np.ones(len(items))
         for k, (q, a) in enumerate(self.parts):
             words = q + a
             longest = max(longest, len(words))
@@ -80,7 +102,11 @@ class Index:
             for w in words:
                 count[w] = count.get(w, 0) + 1
             weight = {w: np.log(1 + (n_items - frequency[w] + 0.5) / (frequency[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(words) / mean_length)) for w, n in count.items()}
-            own = sum(weight.values())
+            own = whole = sum(weight.values())
+            if words:
+                may = [reachable(part, weight, shingle, least_overlap) for part in (q, words) if part is words or len(part) >= shingle]
+                own = min(whole, min(may) / threshold) if threshold > 0 else whole
+                self.share[k] = own / whole
             rows += [(self.vocabulary.setdefault(w, len(self.vocabulary)), k, x / own) for w, x in weight.items()]
         self.window, self.step = 2 * longest, longest
         rows.sort()
@@ -95,7 +121,7 @@ class Index:
         self.touches = self.block_most > 0
 
     def retrieve(self, terms: np.ndarray) -> dict[int, float]:
-        """Items whose score for these distinct terms reaches the threshold."""
+        """Items whose score for these distinct terms, over their own bar's, reaches the threshold."""
         bound = self.most[terms]
         if bound.sum() < self.threshold:
             return {}
@@ -147,7 +173,7 @@ class Index:
             return len(own & has) / len(own)
 
         question, answer, both = share(q), share(a), share(q + a)
-        return Leak(self.ids[k], score, at, question, answer) if max(question if q else 0.0, both) >= self.least else None
+        return Leak(self.ids[k], score * float(self.share[k]), at, question, answer) if max(question if q else 0.0, both) >= self.least else None
 
 
 def indexes(items: DataFrame, id: str, text: str, threshold: float, shingle: int, least_overlap: float):

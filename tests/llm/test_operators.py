@@ -271,6 +271,26 @@ def test_leaks_against_shingle_containment(spark):
     assert {r.doc_id for r in decontam.clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_question_alone_is_retrieved(spark):
+    """Questions that carry little of their item's weight, whole or with a fifth of the shingles gone."""
+    rng = random.Random(8)
+    items = [(k, prose(rng, rng.randrange(5, 40)) + " answer: " + prose(rng, rng.randrange(1, 60))) for k in range(60)]
+    docs = [(k, f"{prose(rng, rng.randrange(300))} {t.split(' answer: ')[0]} {prose(rng, rng.randrange(300))}") for k, t in items]
+    for k, t in items:
+        q = t.split(" answer: ")[0].split()
+        cut = (len(q) - 4) // 5
+        docs.append((100 + k, f"{prose(rng, 40)} {' '.join(q[cut:])} {prose(rng, 40)}"))
+        docs.append((200 + k, f"{prose(rng, 40)} {' '.join(q[: len(q) // 2])}"))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    out = decontam.found(df, bench).collect()
+    words = lambda t: re.findall(r"\w+", t.lower())
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    want = {(d, i) for d, t in docs for i, x in items if len((g := grams(words(x.split(" answer: ")[0]))) & grams(words(t))) >= 0.8 * len(g)}
+    assert {(r.doc_id, r.item_id) for r in out} == want and len(want) >= 120
+    assert all(0 < r.score <= 1 + 1e-9 for r in out) and min(r.score for r in out) < 0.6
+    assert {r.doc_id for r in decontam.clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_retrieval_is_exact_for_the_threshold():
     rng = random.Random(6)
     items = [(k, prose(rng, rng.randrange(3, 30))) for k in range(100)]
