@@ -135,7 +135,8 @@ def occurrences(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def classes(distinct: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(node, root) of those of ``distinct`` (line_id, line, sketch) that link to others."""
+    """(line_id, root, n_links) of those of ``distinct`` (line_id, line, sketch) that link to
+    others: the least line_id of the class and the number of texts within ``edits``."""
     own = distinct.select("line_id", "line", "sketch", F.length("line").alias("n")).where(F.col("n") >= least_chars)
 
     def keyed(keys: Column) -> DataFrame:  # in two steps, or each key's row would work out the others again
@@ -152,33 +153,40 @@ def classes(distinct: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CH
     texts = own.select("line_id", "line").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "line_id", "left_semi")
     texts = common.stored(texts, "texts")
     a, b = texts.select(F.col("line_id").alias("a"), F.col("line").alias("x")), texts.select(F.col("line_id").alias("b"), F.col("line").alias("y"))
-    links = pairs.join(a, "a").join(b, "b").where(within(F.col("x"), F.col("y"), edits)).select("a", "b")
-    return common.components(links)
+    links = common.stored(pairs.join(a, "a").join(b, "b").where(within(F.col("x"), F.col("y"), edits)).select("a", "b"), "links")
+    degrees = links.select(F.explode(F.array("a", "b")).alias("line_id")).groupBy("line_id").agg(F.count("*").alias("n_links"))
+    roots = common.components(links).withColumnRenamed("node", "line_id")
+    return degrees.join(roots, "line_id", "left").select("line_id", F.coalesce("root", "line_id").alias("root"), "n_links")
 
 
 def marked(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(_doc, id, pos, kept, near) of each non-blank line, stored; ``near``: its class holds
-    more than one text. Documents without lines keep one row with null pos."""
+    """(_doc, id, pos, class_id, n_links, kept, near) of each non-blank line, stored.
+    ``class_id``: 128-bit hash of the class's first line, so equal for all lines of a class;
+    ``n_links``: number of other texts within ``edits`` of the line's; ``near``: its class
+    holds more than one text. Documents without lines keep one row with null pos."""
     lines = occurrences(docs, id, text)
     h = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2")]
     distinct = common.stored(lines.where("line is not null").groupBy("line").count().select(F.monotonically_increasing_id().alias("line_id"), "line", sketch(F.col("line")).alias("sketch"), *h), "lines")
-    roots = classes(distinct, edits, least_chars)
-    members = roots.select(F.col("node").alias("line_id"), "root").unionByName(roots.select(F.col("root").alias("line_id"), "root").distinct())
-    members = common.stored(distinct.select("line_id", "h1", "h2").join(members, "line_id").select("h1", "h2", "root"), "members")
+    members = distinct.select("line_id", "h1", "h2").join(classes(distinct, edits, least_chars), "line_id")
+    members = common.stored(members.select("h1", "h2", "root", "n_links"), "members")
     own = lines.select("_doc", "id", "pos", *[F.when(F.col("line").isNotNull(), x).alias(n) for x, n in zip(h, ("h1", "h2"), strict=True)])
     own = common.stored(own, "occurrences").join(members, ["h1", "h2"], "left")
-    own = own.select("_doc", "id", "pos", F.coalesce("root", "h1").alias("c1"), F.when(F.col("root").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("c2"), F.col("root").isNotNull().alias("near"))
+    own = own.select("_doc", "id", "pos", "h1", "h2", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("root", "h1").alias("c1"), F.when(F.col("root").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("c2"), F.col("root").isNotNull().alias("near"))
     place = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i"), F.col("pos").alias("p"), F.col("_doc").alias("d"))
-    first = own.where("pos is not null").groupBy("c1", "c2", "near").agg(F.min(place).alias("first"))
-    return common.stored(own.join(first, ["c1", "c2", "near"], "left").select("_doc", "id", "pos", F.coalesce(F.col("first") == place, F.lit(False)).alias("kept"), "near"), "marked")
+    digest = F.concat(*[F.lpad(F.lower(F.hex(h)), 16, "0") for h in ("h1", "h2")])
+    first = own.where("pos is not null").groupBy("c1", "c2", "near").agg(F.min(F.struct(place.alias("place"), digest.alias("class_id"))).alias("first"))
+    kept = F.coalesce(F.col("first.place") == place, F.lit(False))
+    return common.stored(own.join(first, ["c1", "c2", "near"], "left").select("_doc", "id", "pos", "first.class_id", "n_links", kept.alias("kept"), "near"), "marked")
 
 
 def by_document(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(id, n_lines, n_kept, n_near) of every row of ``docs``: non-blank lines, those kept,
-    and those whose class holds more than one text."""
+    """(id, n_lines, n_kept, n_near, lines) of every row of ``docs``: non-blank lines, those
+    kept, those whose class holds more than one text, and each line's (pos, class_id,
+    n_links, kept) in order of place."""
     own = marked(docs, id, text, edits, least_chars)
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    return own.groupBy("_doc", F.col("id").alias(id)).agg(F.count("pos").alias("n_lines"), count(F.col("kept")).alias("n_kept"), count(F.col("near") & F.col("pos").isNotNull()).alias("n_near")).drop("_doc")
+    lines = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "class_id", "n_links", "kept")))).alias("lines")
+    return own.groupBy("_doc", F.col("id").alias(id)).agg(F.count("pos").alias("n_lines"), count(F.col("kept")).alias("n_kept"), count(F.col("near") & F.col("pos").isNotNull()).alias("n_near"), lines).drop("_doc")
 
 
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:

@@ -174,6 +174,32 @@ def test_line_dedup_against_all_pairs(spark):
     assert any(v[2] for v in want.values())
 
 
+def test_line_classes_and_links_against_all_pairs(spark):
+    rng = random.Random(10)
+    base = ["".join(rng.choice("abcdefghij ") for _ in range(rng.choice([24, 30, 61]))).strip() + "z" for _ in range(12)]
+    lines = [edited(rng, rng.choice(base), rng.randrange(4), "abcdefghij") for _ in range(100)] + ["short", "shorn", "short"]
+    docs = [*((k // 5, "\n\n".join(lines[k : k + 5])) for k in range(0, len(lines), 5)), (900, None)]
+    out = linededup.by_document(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all(r.n_lines == len(r.lines) and r.n_kept == sum(x.kept for x in r.lines) for r in out)
+    got = {(r.doc_id, x.pos): x for r in out for x in r.lines}
+    text = {(d, i): x.strip(" ") for d, t in docs for i, x in enumerate((t or "").split("\n")) if x.strip(" ")}
+    texts = set(text.values())
+    near = {a: {b for b in texts - {a} if min(len(a), len(b)) >= linededup.LEAST_CHARS and edit_distance(a, b) <= linededup.EDITS} for a in texts}
+    assert got.keys() == text.keys() and any(len(x) > 1 for x in near.values())
+    assert {k: x.n_links for k, x in got.items()} == {k: len(near[x]) for k, x in text.items()}
+
+    def reached(x):
+        seen, queue = {x}, [x]
+        while queue:
+            new = near[queue.pop()] - seen
+            seen |= new
+            queue += new
+        return frozenset(seen)
+
+    assert len({(x.class_id, reached(text[k])) for k, x in got.items()}) == len({x.class_id for x in got.values()}) == len({reached(x) for x in texts})
+    assert {x.class_id for x in got.values() if x.kept} == {x.class_id for x in got.values()}
+
+
 def test_deduplicated_lines_keep_the_first(spark):
     df = spark.createDataFrame([(2, "x\nsame line of some length\nw"), (1, "same line of some length\n\ny"), (3, None)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in linededup.deduplicated(df).collect()} == {1: "same line of some length\ny", 2: "x\nw", 3: None}
