@@ -282,7 +282,7 @@ def completeness(spark, sf_dir):
 
 @query()
 def discriminability(spark, sf_dir):
-    return rounded(quality.discriminability(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", most=100))
+    return rounded(quality.discriminability(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"))
 
 
 @query("""WITH x AS (SELECT avg(CASE WHEN l1_material IS NULL THEN 0e0 ELSE 1e0 END) AS v FROM fk)

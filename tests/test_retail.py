@@ -63,6 +63,12 @@ def test_train_pairs_avoid_purchases(spark):
     assert not bought & {(r.customer_id, r.article_id) for r in rows if r.label == 0}
 
 
+def test_discriminability_takes_the_samples_500(spark):
+    from basketry.plans import registry
+
+    assert registry.queries()["discriminability"](spark, "/root/testdata/sf0.01").first().n_pairs == 500 * 499 // 2
+
+
 def test_recent_window_counts_both_ends(txn):
     assert candidates.last_days(txn, 4).count() == 4 and candidates.last_days(txn, 3).count() == 3
 
