@@ -63,6 +63,20 @@ def test_train_pairs_avoid_purchases(spark):
     assert not bought & {(r.customer_id, r.article_id) for r in rows if r.label == 0}
 
 
+def test_train_pairs_of_heavy_customers_are_whole(spark):
+    """Customers who bought two thirds of the catalogue, all but one article, or all of it."""
+    most = {1: 6000, 2: 8999, 3: 9000, 4: 2}
+    txn = spark.createDataFrame([(u, (k * 7) % 9000) for u, n in most.items() for k in range(n) if u != 1 or k % 20 == 0 or k < 5000], "customer_id long, article_id long")
+    items = spark.createDataFrame([(k,) for k in range(9000)], "article_id long")
+    out = features.train_pairs(txn, items)
+    bought = txn.distinct().groupBy("customer_id").count()
+    got = {r.customer_id: r.n for r in out.where("label = 0").groupBy("customer_id").agg(F.count("*").alias("n")).collect()}
+    assert got == {r.customer_id: 4 * r["count"] for r in bought.collect() if r.customer_id != 3}
+    assert out.where("label = 0").join(txn, ["customer_id", "article_id"], "left_semi").count() == 0
+    spread = out.where("label = 0 and customer_id = 1").select("article_id").distinct().count()
+    assert spread > 0.9 * (9000 - bought.where("customer_id = 1").first()["count"])
+
+
 def test_discriminability_takes_the_samples_500(spark):
     from basketry.plans import registry
 
