@@ -30,7 +30,8 @@ from . import common
 #: Texts of the sample that orders the shingles (the order changes the cost, not the result);
 #: its shingles with so many texts at least come last; so many of them at most.
 SAMPLE, COMMON_TEXTS, MOST_COMMON = 5_000, 5, 100_000
-#: Node ids up to which those to be verified are broadcast.
+#: Ids (8 bytes each) up to which the nodes to be verified, and the keys of several sets, are
+#: broadcast; beyond that the larger side is shuffled.
 BROADCAST_IDS = 2_000_000
 #: Pairs of texts in an Arrow batch of the verification.
 PAIR_ROWS = "100"
@@ -135,16 +136,17 @@ def clusters(own: DataFrame, text: str, shingle: int, least: float) -> DataFrame
     nodes = common.stored(own.groupBy("__digest").agg(F.min("__row").alias("node")), "sets")
     sets = own.join(nodes.select(F.col("node").alias("__row")), "__row", "left_semi")
     keys = sets.select(F.col("__row").alias("node"), F.col("__size").alias("size"), F.posexplode("__prefix").alias("pos", "key"))
-    centre = F.min(F.struct("node", "size", "pos")).alias("c")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), centre).where("n > 1").drop("n")
-    meet = common.stored(keys.join(shared, "key"), "keys")
+    # most keys are of one set: they go before anything but the key itself is shuffled with them
+    shared = common.stored(keys.groupBy("key").count().where("count > 1").select("key"), "shared")
+    keys = common.stored(keys.join(F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared, "key", "left_semi"), "keys")
+    meet = keys.join(keys.groupBy("key").agg(F.min(F.struct("node", "size", "pos")).alias("c")), "key")
     texts = own.select(F.col("__row").alias("node"), F.col(text).alias("text"))
 
     star = meet.where(F.col("node") != F.col("c.node")).where(may_reach(F.col("size"), F.col("pos"), F.col("c.size"), F.col("c.pos"), least))
     star = common.stored(star.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct(), "star")
     first = common.components(verified(star, texts, shingle, least))
 
-    rooted = meet.drop("c").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = keys.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     rooted = common.stored(rooted.join(open_, "key", "left_semi"), "open")
     a, b = rooted.toDF(*[f"a_{c}" for c in rooted.columns]), rooted.toDF(*[f"b_{c}" for c in rooted.columns])
