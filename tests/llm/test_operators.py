@@ -143,7 +143,7 @@ def test_banded_distance(spark, edits):
 
 def test_line_dedup_against_all_pairs(spark):
     rng = random.Random(9)
-    base = ["".join(rng.choice("abcdefghij ") for _ in range(rng.choice([20, 24, 30, 61]))).strip() + "z" for _ in range(25)]
+    base = ["".join(rng.choice("abcdefghij ") for _ in range(rng.choice([8, 9, 12, 18, 20, 24, 30, 61]))).strip() + "z" for _ in range(25)]
     lines = [edited(rng, rng.choice(base), rng.randrange(4), "abcdefghij") for _ in range(160)] + ["short", "shorn", "short"]
     docs = [(k // 5, " \t" * (k % 2) + "\n".join(lines[k : k + 5])) for k in range(0, len(lines), 5)]
     got = {r.doc_id: (r.n_lines, r.n_kept, r.n_near) for r in linededup.by_document(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
@@ -158,7 +158,7 @@ def test_line_dedup_against_all_pairs(spark):
 
     for i, a in enumerate(texts):
         for b in texts[i + 1 :]:
-            if min(len(a), len(b)) >= linededup.LEAST_CHARS and edit_distance(a, b) <= linededup.EDITS:
+            if a != b and edit_distance(a, b) <= min(linededup.EDITS, min(len(a), len(b)) // linededup.CHARS_AN_EDIT):
                 root[find(a)] = find(b)
     size = {}
     for x in texts:
@@ -176,7 +176,7 @@ def test_line_dedup_against_all_pairs(spark):
 
 def test_line_classes_and_links_against_all_pairs(spark):
     rng = random.Random(10)
-    base = ["".join(rng.choice("abcdefghij ") for _ in range(rng.choice([24, 30, 61]))).strip() + "z" for _ in range(12)]
+    base = ["".join(rng.choice("abcdefghij ") for _ in range(rng.choice([8, 13, 18, 24, 30, 61]))).strip() + "z" for _ in range(12)]
     lines = [edited(rng, rng.choice(base), rng.randrange(4), "abcdefghij") for _ in range(100)] + ["short", "shorn", "short"]
     docs = [*((k // 5, "\n\n".join(lines[k : k + 5])) for k in range(0, len(lines), 5)), (900, None)]
     out = linededup.by_document(spark.createDataFrame(docs, "doc_id long, text string")).collect()
@@ -184,7 +184,7 @@ def test_line_classes_and_links_against_all_pairs(spark):
     got = {(r.doc_id, x.pos): x for r in out for x in r.lines}
     text = {(d, i): x.strip(" ") for d, t in docs for i, x in enumerate((t or "").split("\n")) if x.strip(" ")}
     texts = set(text.values())
-    near = {a: {b for b in texts - {a} if min(len(a), len(b)) >= linededup.LEAST_CHARS and edit_distance(a, b) <= linededup.EDITS} for a in texts}
+    near = {a: {b for b in texts - {a} if a != b and edit_distance(a, b) <= min(linededup.EDITS, min(len(a), len(b)) // linededup.CHARS_AN_EDIT)} for a in texts}
     assert got.keys() == text.keys() and any(len(x) > 1 for x in near.values())
     assert {k: x.n_links for k, x in got.items()} == {k: len(near[x]) for k, x in text.items()}
 
@@ -200,6 +200,12 @@ def test_line_classes_and_links_against_all_pairs(spark):
     assert {x.class_id for x in got.values() if x.kept} == {x.class_id for x in got.values()}
 
 
+def test_line_dedup_of_clashing_names_and_an_empty_table(spark, empty):
+    df = spark.createDataFrame([(1, "a line of some length", 5, 6), (2, "a line of some length\nx", None, 7)], "doc_id long, text string, __id int, __keep int")
+    assert sorted(map(tuple, linededup.deduplicated(df).collect())) == [(1, "a line of some length", 5, 6), (2, "x", None, 7)]
+    assert linededup.deduplicated(empty).count() == 0
+
+
 def test_deduplicated_lines_keep_the_first(spark):
     df = spark.createDataFrame([(2, "x\nsame line of some length\nw"), (1, "same line of some length\n\ny"), (3, None)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in linededup.deduplicated(df).collect()} == {1: "same line of some length\ny", 2: "x\nw", 3: None}
