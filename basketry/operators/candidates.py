@@ -34,14 +34,26 @@ def popular_for_all(txn: DataFrame, users: DataFrame, k: int) -> DataFrame:
 
 
 def repurchase(txn: DataFrame, articles: DataFrame, users: DataFrame, k: int) -> DataFrame:
-    """Own past articles and their siblings by product code, at 1 and 0.5 times the count."""
+    """Own past articles and their siblings by product code, at 1 and 0.5 times the count.
+
+    All siblings of a product that a customer doesn't own share one score and one last day, so
+    products are ranked first and only those spread that can bring an article among the k best
+    (ties kept whole), each to k articles and as many as the customer owns of it.
+    """
+    by_product = W.partitionBy("product_code")
+    of = articles.where(F.col("product_code").isNotNull()).select("article_id", "product_code")
+    of = of.withColumns({"at": F.row_number().over(by_product.orderBy("article_id")), "size": F.count("*").over(by_product)})
     own = txn.join(users.select("customer_id").distinct(), "customer_id", "left_semi")
-    own = own.groupBy("customer_id", "article_id").agg(F.count("*").alias("n"), F.max("t_dat").alias("last"))
-    of = articles.select("article_id", "product_code")
-    sibling = of.select(F.col("article_id").alias("other"), "product_code")
-    score = F.col("n") * F.when(F.col("other") == F.col("article_id"), 1.0).otherwise(0.5)
-    spread = own.join(of, "article_id").join(sibling, "product_code").select("customer_id", F.col("other").alias("article_id"), score.alias("score"), "last")
-    best = spread.groupBy("customer_id", "article_id").agg(F.max("score").alias("score"), F.max("last").alias("last"))
+    own = own.groupBy("customer_id", "article_id").agg(F.count("*").alias("n"), F.max("t_dat").alias("last")).join(of.drop("at"), "article_id")
+    product = W.partitionBy("customer_id", "product_code")
+    own = own.withColumns({"half": 0.5 * F.max("n").over(product), "last": F.max("last").over(product)})
+    products = own.groupBy("customer_id", "product_code", "size", "half", "last").agg(F.count("*").alias("owned"))
+    upto = F.sum("size").over(W.partitionBy("customer_id").orderBy(F.desc("half"), F.desc("last")))  # ties included
+    before = upto - F.sum("size").over(W.partitionBy("customer_id", "half", "last"))
+    kept = products.withColumn("before", before).where(F.col("before") < k).drop("before", "size")
+    spread = kept.join(of.drop("size"), "product_code").where(F.col("at") <= k + F.col("owned")).select("customer_id", "article_id", F.col("half").alias("score"), "last")
+    mine = own.select("customer_id", "article_id", F.greatest(F.col("n").cast("double"), "half").alias("score"), "last")
+    best = mine.unionByName(spread).groupBy("customer_id", "article_id").agg(F.max("score").alias("score"), F.max("last").alias("last"))
     place = F.row_number().over(W.partitionBy("customer_id").orderBy(F.desc("score"), F.desc("last"), "article_id"))
     return best.withColumn("place", place).where(F.col("place") <= k)
 
