@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .ordering import midranks, placed, running
 
 
 def mutual_information(rows: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
@@ -96,38 +97,65 @@ def bracket(n: Column) -> Column:
     return F.when(n == 1, "1").when(n < 5, "2-4").when(n < 10, "5-9").when(n < 20, "10-19").when(n < 50, "20-49").otherwise("50+")
 
 
-def retrieved(queries: DataFrame, vectors: DataFrame, k: int, user: str = "customer_id", block: int = 4096) -> DataFrame:
+def retrieved(queries: DataFrame, vectors: DataFrame, k: int, user: str = "customer_id", block: int = 4096, batch: int = 8192) -> DataFrame:
     """(user, article_id, score, place): the k best articles by inner product for each query
-    (user, centroid). Articles come in blocks of at most ``block``; every block is one pass of
-    matrix products over all queries, and blocks' results meet in a last top k."""
+    (user, centroid). Articles are dealt over blocks and queries over batches of bounded size;
+    each block meets each batch in one matrix product, and blocks' results in a last top k."""
     import numpy as np
     import pandas as pd
 
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    keyed = vectors.select("article_id", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("article_id"), F.lit(blocks)).alias("_b"))
-    parts = None
-    for b in range(blocks):
-        rows = sorted(keyed.where(F.col("_b") == b).select("article_id", "v").collect())
-        if not rows:
-            continue
-        ids, matrix = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
-
-        def score(batches, ids=ids, matrix=matrix):
-            for batch in batches:
-                if not len(batch):
-                    continue
-                s = np.round(np.stack(batch["centroid"].to_numpy()) @ matrix.T, 9)
-                most = min(k, len(ids))
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :most]
-                yield pd.DataFrame({user: np.repeat(batch[user].to_numpy(), most), "article_id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-
-        one = queries.select(user, "centroid").mapInPandas(score, f"{user} long, article_id long, score double")
-        parts = one if parts is None else parts.unionByName(one)
+    blocks, batches = max(1, -(-vectors.count() // block)), max(1, -(-queries.count() // batch))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(user, F.col("centroid").alias("_q"), F.pmod(F.xxhash64(user), F.lit(batches)).cast("int").alias("_batch"), every(blocks).alias("_block"))
+    v = vectors.select("article_id", F.col("v").cast("array<double>").alias("_v"), F.pmod(F.xxhash64("article_id"), F.lit(blocks)).cast("int").alias("_block"), every(batches).alias("_batch"))
+
+    def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or v.empty:
+            return pd.DataFrame({user: [], "article_id": [], "score": []}).astype({user: "int64", "article_id": "int64", "score": "float64"})
+        v = v.sort_values("article_id")
+        ids = v["article_id"].to_numpy(np.int64)
+        s = np.round(np.stack(q["_q"].to_numpy()) @ np.stack(v["_v"].to_numpy()).T, 9)
+        most = min(k, len(ids))
+        order = np.argsort(-s, axis=1, kind="stable")[:, :most]  # of equals the lower id
+        return pd.DataFrame({user: np.repeat(q[user].to_numpy(), most), "article_id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+
+    keys = ["_block", "_batch"]
+    parts = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(best, f"{user} long, article_id long, score double")
     place = F.row_number().over(W.partitionBy(user).orderBy(F.desc("score"), "article_id"))
     return parts.withColumn("place", place).where(F.col("place") <= k)
 
 
+def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Rank correlation of two columns; equal values share their mean place."""
+    ranked = midranks(midranks(rows.select(a, b), a, "_a"), b, "_b")
+    return ranked.agg(F.corr("_a", "_b").alias("rho"))
+
+
+def gini(rows: DataFrame, count: str) -> DataFrame:
+    """Gini coefficient of a column of counts, from how often each count occurs."""
+    n = rows.groupBy(F.col(count).alias("c")).agg(F.count("*").alias("m"))
+    ranked = running(n, F.col("c"), amount=F.col("m"), to="before")
+    sums = ranked.agg(F.sum(F.col("c") * (F.col("m") * F.col("before") + F.col("m") * (F.col("m") + 1) / 2)).alias("ic"), F.sum("m").alias("n"), F.sum(F.col("c") * F.col("m")).alias("c"))
+    return sums.select((2 * F.col("ic") / (F.col("n") * F.col("c")) - (F.col("n") + 1) / F.col("n")).alias("gini"))
+
+
+def pareto(rows: DataFrame, id: str, count: str) -> DataFrame:
+    """(id, n, place, share): running share of all counts, the largest first, of equals the lower id."""
+    by = (F.desc(count), F.col(id))
+    own = placed(running(rows.select(id, F.col(count)), *by, amount=F.col(count), to="_upto"), *by)
+    total = rows.agg(F.sum(count).alias("_total"))
+    own = own.crossJoin(F.broadcast(total))  # one row
+    return own.select(id, F.col(count).alias("n"), (F.col("place") + 1).alias("place"), ((F.col("_upto") + F.col(count)) / F.col("_total")).alias("share"))
+
+
+def ecdf(rows: DataFrame, column: str) -> DataFrame:
+    """(value, share of rows up to it) of each distinct value."""
+    n = rows.groupBy(column).agg(F.count("*").alias("_m"))
+    total = n.agg(F.sum("_m").alias("_total"))
+    own = running(n, F.col(column), amount=F.col("_m"), to="_before").crossJoin(F.broadcast(total))  # one row
+    return own.select(column, ((F.col("_before") + F.col("_m")) / F.col("_total")).alias("share"))
+
+
 def coherence(history: DataFrame, vectors: DataFrame, least: int = 2) -> DataFrame:
     """(customer_id, n, coherence): mean inner product of all pairs of a user's purchases, by
     the identity (|sum v|^2 - sum |v|^2) / (n (n - 1)); no pairs are made."""

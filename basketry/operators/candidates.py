@@ -84,8 +84,17 @@ def blend(sources: list[DataFrame], k: int) -> DataFrame:
     return best.withColumn("place", place).where(F.col("place") <= k)
 
 
-def rerank_features(candidates: DataFrame, users: DataFrame, items: DataFrame, txn: DataFrame, articles: DataFrame, reference: str) -> DataFrame:
-    """Scores, user and item numbers, cross and history features of every candidate."""
+USER_NUMBERS = ["n_purchases", "avg_price", "price_std", "n_types", "n_colours", "days_since_first", "days_since_last", "online_ratio"]
+USER_CODES = ["age_code", "club_code", "news_code"]
+
+
+def rerank_features(candidates: DataFrame, users: DataFrame, items: DataFrame, txn: DataFrame, articles: DataFrame, reference: str, facts: DataFrame | None = None, taste: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """Features of every candidate: score, rank and gap; all numbers and codes of user and item;
+    crosses of both; the pair's and the product type's history.
+
+    ``facts`` (article_id, ...) adds encoded attributes, of which unknown articles have 0;
+    ``taste`` (customer_id, centroid) with ``vectors`` (article_id, v) adds their cosine.
+    """
     by_user = W.partitionBy("customer_id").orderBy(F.desc("score"), "article_id")
     own = candidates.select("customer_id", "article_id", "score")
     own = own.withColumn("rank", (F.row_number().over(by_user) - 1).cast("long")).withColumn("gap", F.first("score").over(by_user) - F.col("score"))
@@ -93,18 +102,27 @@ def rerank_features(candidates: DataFrame, users: DataFrame, items: DataFrame, t
     pairs = txn.groupBy("customer_id", "article_id").agg(F.count("*").alias("pair_n"), F.datediff(ref, F.max("t_dat")).cast("long").alias("pair_days"))
     types = articles.select("article_id", "product_type_name")
     kinds = txn.join(types, "article_id").groupBy("customer_id", "product_type_name").agg(F.count("*").alias("type_n"))
-    own = own.join(users.select("customer_id", "n_purchases", F.col("avg_price").alias("user_price"), "days_since_last", "age_code"), "customer_id", "left")
-    own = own.join(items.select("article_id", "n_sold", F.col("avg_price").alias("item_price"), "section_name_code"), "article_id", "left")
+    codes = [c for c in items.columns if c.endswith("_code")]
+    named = lambda df, names, prefix, key: df.select(key, *[F.col(c).alias(f"{prefix}_{c}") for c in names])
+    own = own.join(named(users, USER_NUMBERS + USER_CODES, "u", "customer_id"), "customer_id", "left").join(named(items, ["n_sold", "avg_price", *codes], "i", "article_id"), "article_id", "left")
     own = own.join(pairs, ["customer_id", "article_id"], "left").join(types, "article_id", "left").join(kinds, ["customer_id", "product_type_name"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return own.select(
+    price = F.when(F.col("i_avg_price") > 0, zero("u_avg_price") / (F.col("i_avg_price") + 1e-8)).otherwise(0.0)
+    out = own.select(
         "customer_id", "article_id", "score", "rank", "gap",
-        zero("n_purchases").alias("n_purchases"), zero("n_sold").alias("n_sold"),
-        F.when(F.col("item_price") > 0, F.col("user_price") / (F.col("item_price") + 1e-8)).otherwise(0.0).alias("price_ratio"),
-        (zero("age_code") * 100 + zero("section_name_code")).alias("age_section"),
-        (F.coalesce("days_since_last", F.lit(999)) * zero("n_sold")).alias("recency_popularity"),
-        zero("pair_n").alias("pair_n"), F.coalesce("pair_days", F.lit(999)).alias("pair_days"), zero("type_n").alias("type_n"),
+        *[zero(f"u_{c}").alias(f"u_{c}") for c in USER_NUMBERS + USER_CODES], *[zero(f"i_{c}").alias(f"i_{c}") for c in ["n_sold", "avg_price", *codes]],
+        (zero("u_age_code") * 100 + zero("i_section_name_code")).alias("age_section"), price.alias("price_ratio"),
+        (zero("u_days_since_last") * zero("i_n_sold")).alias("recency_popularity"),
+        F.when(F.col("pair_n") > 0, 1).otherwise(0).cast("long").alias("has_pair"), zero("pair_n").alias("pair_n"), F.coalesce("pair_days", F.lit(999)).alias("pair_days"),
+        F.when(F.col("type_n") > 0, 1).otherwise(0).cast("long").alias("has_type"), zero("type_n").alias("type_n"), price.alias("pair_price_ratio"),
     )
+    if facts is not None:
+        out = out.join(facts, "article_id", "left").fillna(0, [c for c in facts.columns if c != "article_id"])
+    if taste is not None and vectors is not None:
+        near = C.dot(F.col("centroid"), F.col("v")) / ((C.norm(F.col("centroid")) + 1e-8) * (C.norm(F.col("v")) + 1e-8))
+        out = out.join(taste.select("customer_id", "centroid"), "customer_id", "left").join(vectors.select("article_id", "v"), "article_id", "left")
+        out = out.withColumn("cosine", F.coalesce(near, F.lit(0.0))).drop("centroid", "v")
+    return out
 
 
 def labelled(candidates: DataFrame, truth: DataFrame) -> DataFrame:

@@ -1,20 +1,48 @@
-"""Places in a total order without a single-task window."""
+"""Places and running sums in a total order without a single-task window."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def placed(rows: DataFrame, *by: Column, to: str = "place") -> DataFrame:
-    """``rows`` with their 0-based place in the order of ``by``.
+def settled(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the checkpoint folder and read back, so that what was counted on them
+    still holds after a lost executor. A local session without one gets a folder of its own."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        own = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not own and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
+        context.setCheckpointDir(own or f"file:///tmp/basketry-{uuid.uuid4().hex}")
+    return rows.checkpoint()
+
 
-    Rows are dealt by range; each range numbers its own and starts where those before end, so
-    no task sees more than a range. The dealt rows are kept, as ranges are counted first.
+def running(rows: DataFrame, *by: Column, amount: Column, to: str) -> DataFrame:
+    """``rows`` with the sum of ``amount`` over all rows before in the order of ``by``.
+
+    Rows are dealt by range; each range sums up its own and starts from what those before hold,
+    so no task sees more than a range.
     """
-    own = rows.repartitionByRange(*by).sortWithinPartitions(*by)
-    numbered = own.withColumns({"__part": F.spark_partition_id(), "__in": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).persist()
-    sizes = numbered.groupBy("__part").agg(F.count("*").alias("__n"))
+    own = rows.withColumn("__amount", amount).repartitionByRange(*by).withColumn("__part", F.spark_partition_id())
+    own = settled(own)
+    sizes = own.groupBy("__part").agg(F.sum("__amount").alias("__n"))
     starts = sizes.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__start"))  # a row for each range
-    return numbered.join(starts, "__part").withColumn(to, F.col("__start") + F.col("__in")).drop("__part", "__in", "__start")
+    before = F.sum("__amount").over(W.partitionBy("__part").orderBy(*by).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__amount")
+    return own.withColumn("__in", before).join(F.broadcast(starts), "__part").withColumn(to, F.col("__start") + F.col("__in")).drop("__part", "__in", "__start", "__amount")
+
+
+def placed(rows: DataFrame, *by: Column, to: str = "place") -> DataFrame:
+    """``rows`` with their 0-based place in the order of ``by``."""
+    return running(rows, *by, amount=F.lit(1).cast("long"), to=to)
+
+
+def midranks(rows: DataFrame, column: str, to: str) -> DataFrame:
+    """``rows`` with the mean of the 1-based places that equal values of ``column`` share."""
+    values = rows.groupBy(F.col(column).alias("__value")).agg(F.count("*").alias("__count"))
+    ranked = running(values, F.col("__value"), amount=F.col("__count"), to="__before")
+    ranked = ranked.select("__value", (F.col("__before") + (F.col("__count") + 1) / 2).alias(to))
+    return rows.join(ranked, F.col(column) == F.col("__value")).drop("__value")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
-GENERIC = ("unknown", "n/a", "none", "not specified", "various", "general")
+# fixed values: how a text begins that says nothing
+GENERIC = ("Unknown", "N/A", "Not available", "No data", "Insufficient")
 
 
 def coverage(rows: DataFrame, fields: list[str]) -> DataFrame:
@@ -45,30 +46,49 @@ def enum_summary(dist: DataFrame) -> DataFrame:
 
 
 def completeness(rows: DataFrame, fields: list[str], generic: tuple[str, ...] = GENERIC, least_chars: int = 100) -> DataFrame:
-    """Share of rows with every field specific, mean share of specific fields, share of rows
-    whose fields have under ``least_chars`` characters in all."""
-    value = lambda f: F.lower(F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))))
-    specific = lambda f: ~(reduce(lambda a, b: a | b, [value(f).startswith(g) for g in generic]) | (value(f) == ""))
-    n = reduce(lambda a, b: a + b, [F.when(specific(f), 1).otherwise(0) for f in fields])
-    chars = reduce(lambda a, b: a + b, [F.length(value(f)) for f in fields])
-    return rows.agg(F.avg(F.when(n == len(fields), 1.0).otherwise(0.0)).alias("all_specific"), F.avg(n / len(fields)).alias("mean_specific"), F.avg(F.when(chars < least_chars, 1.0).otherwise(0.0)).alias("short"))
+    """(what, value): share of rows whose field is filled and not generic, for each field;
+    ``overall``, their mean; ``n_generic``, rows with any generic field; ``n_short``, rows whose
+    fields have under ``least_chars`` characters in all."""
+    text = lambda f: F.coalesce(F.col(f).cast("string"), F.lit(""))
+    is_generic = lambda f: reduce(lambda a, b: a | b, [F.lower(F.trim(text(f))).startswith(g.lower()) for g in generic])
+    shares = [F.avg(F.when((F.trim(text(f)) != "") & ~is_generic(f), 1.0).otherwise(0.0)) for f in fields]
+    chars = reduce(lambda a, b: a + b, [F.length(text(f)) for f in fields])
+    any_generic = reduce(lambda a, b: a | b, [is_generic(f) for f in fields])
+    own = rows.agg(*[s.alias(f) for s, f in zip(shares, fields, strict=True)], F.sum(F.when(any_generic, 1.0).otherwise(0.0)).alias("n_generic"), F.sum(F.when(chars < least_chars, 1.0).otherwise(0.0)).alias("n_short"))
+    own = own.withColumn("overall", reduce(lambda a, b: a + b, [F.col(f) for f in fields]) / len(fields))
+    return own.select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.coalesce(c, F.lit(0.0)).alias("value")) for c in [*fields, "overall", "n_generic", "n_short"]])).alias("x")).select("x.*")
+
+
+def unique_ratios(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, ratio): distinct values over filled rows of each field, 0 if none is filled."""
+    ratio = lambda f: F.when(F.count(f) > 0, F.count_distinct(f) / F.count(f)).otherwise(0.0)
+    parts = [rows.agg(F.lit(f).alias("field"), ratio(f).alias("ratio")) for f in fields]  # one row each
+    return reduce(DataFrame.unionByName, parts)
+
+
+def word_trigrams(rows: DataFrame, text: str) -> DataFrame:
+    """``n_trigrams``: distinct triples of neighbouring words of a lower-cased text."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "\\s+"), lambda w: w != "")
+    starts = F.when(F.size("_w") > 2, F.sequence(F.lit(1), F.size("_w") - 2)).otherwise(F.array().cast("array<int>"))
+    own = rows.withColumn("_w", words)
+    return own.withColumn("n_trigrams", F.size(F.array_distinct(F.transform(starts, lambda i: F.slice("_w", i, 3))))).drop("_w")
 
 
 def discriminability(rows: DataFrame, id: str, text: str, most: int = 500, seed: int = 42) -> DataFrame:
     """Mean and median TF-IDF cosine of pairs of at most ``most`` texts (chosen by hash; the
-    sample is the feature), and the share of their distinct word trigrams."""
-    sample = rows.where(F.col(text).isNotNull()).orderBy(F.xxhash64(id, F.lit(seed)), id).limit(most).select(F.col(id).alias("id"), F.regexp_extract_all(F.lower(text), F.lit("(?U)\\w\\w+"), F.lit(0)).alias("w"))
-    tf = sample.select("id", F.explode("w").alias("t")).groupBy("id", "t").agg(F.count("*").alias("n"))
+    sample is the feature), and their mean number of distinct word trigrams."""
+    sample = rows.where(F.col(text).isNotNull()).orderBy(F.xxhash64(id, F.lit(seed)), id).limit(most)
+    grams = word_trigrams(sample, text).agg(F.avg("n_trigrams").alias("mean_trigrams"))
+    own = sample.select(F.col(id).alias("id"), F.regexp_extract_all(F.lower(text), F.lit("(?U)\\w\\w+"), F.lit(0)).alias("w"))
+    tf = own.select("id", F.explode("w").alias("t")).groupBy("id", "t").agg(F.count("*").alias("n"))
     df = tf.groupBy("t").agg(F.count("*").alias("df"))
-    n = sample.agg(F.count("*").alias("docs"))
+    n = own.agg(F.count("*").alias("docs"))
     weight = tf.join(df, "t").crossJoin(F.broadcast(n)).withColumn("x", F.col("n") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
-    unit = weight.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy("id")))).select("id", "t", "x").persist()
-    ids = sample.select("id")
-    pairs = ids.select(F.col("id").alias("a")).join(ids.select(F.col("id").alias("b")), F.col("a") < F.col("b"))  # of the bounded sample
+    unit = weight.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy("id")))).select("id", "t", "x")
+    pairs = own.select(F.col("id").alias("a")).join(own.select(F.col("id").alias("b")), F.col("a") < F.col("b"))  # of the bounded sample
     dots = unit.toDF("a", "t", "x").join(unit.toDF("b", "t", "y"), "t").where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
     cosine = pairs.join(dots, ["a", "b"], "left").select(F.coalesce("s", F.lit(0.0)).alias("s"))
-    grams = sample.select(F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.concat_ws(" ", F.slice(F.col("w"), i + 1, 3)))).alias("g"))
-    return cosine.agg(F.avg("s").alias("mean_cosine"), F.percentile("s", F.lit(0.5)).alias("median_cosine"), F.count("*").alias("n_pairs")).crossJoin(F.broadcast(grams.agg((F.count_distinct("g") / F.count("*")).alias("distinct_trigrams"))))
+    return cosine.agg(F.avg("s").alias("mean_cosine"), F.percentile("s", F.lit(0.5)).alias("median_cosine"), F.count("*").alias("n_pairs")).crossJoin(F.broadcast(grams))  # one row each
 
 
 def verdicts(measures: DataFrame, criteria: list[tuple[str, str, float]]) -> DataFrame:

@@ -147,8 +147,7 @@ def slot_unification(spark, sf_dir):
 @query("""SELECT article_id, CASE WHEN l1_material IS NULL THEN NULL WHEN l1_material LIKE 'ECONOMY%' THEN 'Warm' ELSE 'Neutral-Cool' END AS tone FROM fk""")
 def tone_lookup(spark, sf_dir):
     own = Shop(spark, sf_dir).fk
-    names = [r[0] for r in own.select("l1_material").distinct().where("l1_material like 'ECONOMY%'").collect()]
-    return own.select("article_id", attributes.looked_up(F.col("l1_material"), {n: "Warm" for n in names} or {"-": "-"}, "Neutral-Cool").alias("tone"))
+    return own.select("article_id", attributes.looked_up(F.split_part("l1_material", F.lit(" "), F.lit(1)), {"ECONOMY": "Warm"}, "Neutral-Cool").alias("tone"))
 
 
 @query("""WITH r AS (SELECT article_id, l3_visual_weight AS v, CASE l2_trendiness WHEN 'Classic' THEN 1 WHEN 'Current' THEN 2 END AS l1, CASE l2_trendiness WHEN 'Classic' THEN 3 WHEN 'Current' THEN 4 END AS h1,
@@ -274,10 +273,52 @@ def enum_summary(spark, sf_dir):
     return rounded(quality.enum_summary(quality.enum_distribution(Shop(spark, sf_dir).fk, ["l2_trendiness"], ["l2_style_mood"])))
 
 
-@query("""WITH x AS (SELECT CASE WHEN l1_material IS NULL THEN 0 ELSE 1 END AS a, coalesce(length(trim(l1_material)), 0) + length(l2_trendiness) AS c FROM fk)
-    SELECT round(avg(CASE WHEN a = 1 THEN 1e0 ELSE 0e0 END), 6) AS all_specific, round(avg((a + 1) / 2e0), 6) AS mean_specific, round(avg(CASE WHEN c < 100 THEN 1e0 ELSE 0e0 END), 6) AS short FROM x""")
+GENERIC_SQL = "(lower(trim(t)) LIKE 'unknown%' OR lower(trim(t)) LIKE 'n/a%' OR lower(trim(t)) LIKE 'not available%' OR lower(trim(t)) LIKE 'no data%' OR lower(trim(t)) LIKE 'insufficient%')"
+
+
+@query(f"""WITH x AS (SELECT article_id, coalesce(l1_material, '') AS a, CASE WHEN article_id % 10 = 0 THEN 'Unknown so far' WHEN article_id % 10 = 1 THEN ' n/a' ELSE l2_trendiness END AS b, CASE WHEN article_id % 4 = 0 THEN repeat('word ', 30) ELSE 'Insufficiently' END AS c FROM fk),
+    y AS (SELECT avg(CASE WHEN trim(a) <> '' AND NOT {GENERIC_SQL.replace("(t)", "(a)")} THEN 1e0 ELSE 0e0 END) AS a, avg(CASE WHEN trim(b) <> '' AND NOT {GENERIC_SQL.replace("(t)", "(b)")} THEN 1e0 ELSE 0e0 END) AS b, avg(CASE WHEN trim(c) <> '' AND NOT {GENERIC_SQL.replace("(t)", "(c)")} THEN 1e0 ELSE 0e0 END) AS c,
+        sum(CASE WHEN {GENERIC_SQL.replace("(t)", "(a)")} OR {GENERIC_SQL.replace("(t)", "(b)")} OR {GENERIC_SQL.replace("(t)", "(c)")} THEN 1e0 ELSE 0e0 END) AS g, sum(CASE WHEN length(a) + length(b) + length(c) < 100 THEN 1e0 ELSE 0e0 END) AS s FROM x)
+    SELECT 'a' AS what, round(a, 6) AS value FROM y UNION ALL SELECT 'b', round(b, 6) FROM y UNION ALL SELECT 'c', round(c, 6) FROM y UNION ALL SELECT 'overall', round((a + b + c) / 3, 6) FROM y UNION ALL SELECT 'n_generic', g FROM y UNION ALL SELECT 'n_short', s FROM y""")
 def completeness(spark, sf_dir):
-    return rounded(quality.completeness(Shop(spark, sf_dir).fk, ["l1_material", "l2_trendiness"]))
+    own = Shop(spark, sf_dir).fk
+    odd = F.when(F.col("article_id") % 10 == 0, "Unknown so far").when(F.col("article_id") % 10 == 1, " n/a").otherwise(F.col("l2_trendiness"))
+    own = own.select(F.col("l1_material").alias("a"), odd.alias("b"), F.when(F.col("article_id") % 4 == 0, F.repeat(F.lit("word "), F.lit(30))).otherwise("Insufficiently").alias("c"))
+    return rounded(quality.completeness(own, ["a", "b", "c"]))
+
+
+@query("""SELECT 'l1_material' AS field, round(count(DISTINCT l1_material) * 1e0 / count(l1_material), 6) AS ratio FROM fk UNION ALL SELECT 'l2_trendiness', round(count(DISTINCT l2_trendiness) * 1e0 / count(l2_trendiness), 6) FROM fk""")
+def unique_ratios(spark, sf_dir):
+    return rounded(quality.unique_ratios(Shop(spark, sf_dir).fk, ["l1_material", "l2_trendiness"]))
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents)
+    SELECT doc_id, CAST(len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')))) AS BIGINT) AS n_trigrams FROM w""")
+def word_trigrams(spark, sf_dir):
+    return rounded(quality.word_trigrams(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text").select("doc_id", "n_trigrams"))
+
+
+DOMAIN_SQL = {
+    "Error:coordination_x_visual_weight": "l3_coordination_role = 'Basic' AND l3_visual_weight > 3 OR l3_coordination_role = 'Statement' AND l3_visual_weight < 3",
+    "Error:silhouette_x_visual_weight": "super_category = 'Apparel' AND (l3_silhouette = 'I-line' AND l3_visual_weight > 3 OR l3_silhouette = 'O-line' AND l3_visual_weight < 3)",
+    "Error:fit_x_visual_weight": "super_category = 'Apparel' AND (l1_fit IN ('Slim', 'Skinny') AND l3_visual_weight > 3 OR l1_fit IN ('Oversized', 'Loose', 'Boxy') AND l3_visual_weight < 3)",
+    "Error:sleeve_x_season": "super_category = 'Apparel' AND l1_sleeve_type = 'Sleeveless' AND l2_season_fit = 'Winter'",
+    "Error:neckline_x_sleeve": "super_category = 'Apparel' AND l1_neckline = 'Strapless' AND (l1_sleeve_type IS NULL OR l1_sleeve_type NOT IN ('Sleeveless', 'N/A'))",
+    "Error:sole_x_season": "super_category = 'Footwear' AND l1_sole_type = 'Foam' AND l2_season_fit = 'Winter'",
+    "Error:function_x_form_factor": "super_category = 'Accessories' AND l1_primary_function = 'Storage' AND l1_form_factor IN ('Mini', 'Compact')",
+    "Error:wearing_x_size_scale": "super_category = 'Accessories' AND l1_wearing_method IN ('Wrist', 'Finger') AND (l1_size_scale IS NULL OR l1_size_scale NOT IN ('Petite', 'Small'))",
+    "Warning:mood_x_occasion": """l2_style_mood LIKE '%"Bohemian"%' AND (l2_occasion LIKE '%"Work"%' OR l2_occasion LIKE '%"Formal"%')""",
+    "Warning:heel_x_occasion": """super_category = 'Footwear' AND l1_heel_type = 'Stiletto' AND l2_occasion LIKE '%"Outdoor"%'""",
+    "Warning:coordination_x_harmony": "l3_coordination_role = 'Basic' AND l3_color_harmony NOT IN ('Monochromatic', 'Neutral', 'Earth-tone') OR l3_coordination_role = 'Accent' AND l3_color_harmony = 'Monochromatic'",
+    "Warning:lineage_x_mood": " OR ".join(f"""l3_style_lineage LIKE '%"{a}"%' AND l2_style_mood LIKE '%"{b}"%'""" for a, b in attributes.CONTRADICTIONS),
+}
+
+
+@query("WITH o AS (SELECT article_id, super_category, replace(l2_style_mood, 'Sporty', 'Bohemian') AS l2_style_mood, * EXCLUDE (article_id, super_category, l2_style_mood) FROM fx), b AS (" + " UNION ALL ".join(f"SELECT article_id, '{k}' AS broken FROM o WHERE {v}" for k, v in DOMAIN_SQL.items()) + ") SELECT article_id, broken FROM b")
+def domain_rules(spark, sf_dir):
+    """Broken rules of articles with synthetic attributes."""
+    own = Shop(spark, sf_dir).fx.withColumn("l2_style_mood", F.replace("l2_style_mood", F.lit("Sporty"), F.lit("Bohemian")))
+    return attributes.validated(own, [], attributes.domain_rules()).select("article_id", F.explode("broken").alias("broken"))
 
 
 @query()
@@ -347,7 +388,7 @@ def boosted_reranking(spark, sf_dir):
     items = features.item_features(s.train, s.articles, ["section_name"])
     rows = candidates.rerank_features(_blend(s), users, items, s.train, s.articles, TRAIN_END)
     rows = candidates.hash_split(candidates.labelled(rows, s.val), "customer_id")
-    scored = ml.boosted_scores(rows, ["score", "rank", "gap", "n_purchases", "n_sold", "price_ratio", "pair_n", "pair_days", "type_n"], "label", trees=5)
+    scored = ml.boosted_scores(rows, ["score", "rank", "gap", "u_n_purchases", "i_n_sold", "price_ratio", "pair_n", "pair_days", "type_n"], "label", trees=5)
     from pyspark.sql import Window as W
 
     place = F.row_number().over(W.partitionBy("customer_id").orderBy(F.desc("model_score"), "article_id"))

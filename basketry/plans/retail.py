@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import analysis, candidates, features, metrics, profiles
+from ..operators import analysis, attributes, candidates, features, metrics, profiles
 from .sql import OTHER, TRAIN_END, Plan, text, view
 
 QUERIES: dict = {}
@@ -47,15 +47,15 @@ class Shop:
         return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("article_id"), F.col("embedding").alias("v"))
 
 
-USER = f"""user_stats AS (SELECT t.customer_id, count(*) AS n_purchases, avg(price) AS avg_price, coalesce(stddev_samp(price), 0) AS price_std, count(DISTINCT t.article_id) AS n_articles,
-    count(DISTINCT a.product_type_name) AS n_types, date_diff('day', min(t_dat), DATE '{TRAIN_END}') AS days_since_first, date_diff('day', max(t_dat), DATE '{TRAIN_END}') AS days_since_last,
+USER = f"""user_stats AS (SELECT t.customer_id, count(*) AS n_purchases, avg(price) AS avg_price, coalesce(stddev_samp(price), 0) AS price_std, count(DISTINCT a.product_type_name) AS n_types,
+    count(DISTINCT a.colour_group_name) AS n_colours, date_diff('day', min(t_dat), DATE '{TRAIN_END}') AS days_since_first, date_diff('day', max(t_dat), DATE '{TRAIN_END}') AS days_since_last,
     avg(CASE WHEN sales_channel_id = 2 THEN 1e0 ELSE 0e0 END) AS online_ratio FROM train t JOIN articles a ON t.article_id = a.article_id GROUP BY t.customer_id)"""
 
 
-@query(f"""WITH {USER} SELECT u.customer_id, n_purchases, round(avg_price + 1e-8, 4) AS avg_price, round(price_std + 1e-8, 4) AS price_std, n_articles, n_types, days_since_first, days_since_last,
+@query(f"""WITH {USER} SELECT u.customer_id, n_purchases, round(avg_price + 1e-8, 4) AS avg_price, round(price_std + 1e-8, 4) AS price_std, n_types, n_colours, days_since_first, days_since_last,
     round(online_ratio + 1e-8, 4) AS online_ratio, CAST(CASE WHEN age < 18 THEN 1 WHEN age < 25 THEN 2 WHEN age < 35 THEN 3 WHEN age < 45 THEN 4 WHEN age < 55 THEN 5 WHEN age < 65 THEN 6 ELSE 0 END AS BIGINT) AS age_code,
-    CAST(CASE WHEN club_member_status IS NULL THEN 0 WHEN club_member_status = 'BUILDING' THEN 1 WHEN club_member_status = 'AUTOMOBILE' THEN 2 WHEN club_member_status = 'MACHINERY' THEN 3 ELSE 4 END AS BIGINT) AS club_code,
-    CAST(CASE WHEN fashion_news_frequency IS NULL THEN 0 WHEN fashion_news_frequency = 'NONE' THEN 1 ELSE 2 END AS BIGINT) AS news_code
+    CAST(CASE WHEN club_member_status IS NULL THEN 0 WHEN club_member_status = 'ACTIVE' THEN 1 WHEN club_member_status = 'PRE-CREATE' THEN 2 WHEN club_member_status = 'LEFT CLUB' THEN 3 ELSE 4 END AS BIGINT) AS club_code,
+    CAST(CASE WHEN fashion_news_frequency IS NULL THEN 0 WHEN fashion_news_frequency = 'NONE' THEN 1 WHEN fashion_news_frequency = 'Regularly' THEN 2 ELSE 3 END AS BIGINT) AS news_code
     FROM user_stats u LEFT JOIN customers c ON u.customer_id = c.customer_id""")
 def user_features(spark, sf_dir):
     s = Shop(spark, sf_dir)
@@ -161,21 +161,64 @@ def candidate_labels(spark, sf_dir):
     return rounded(candidates.labelled(_blend(s).select("customer_id", "article_id"), s.val))
 
 
-@query(f"""WITH {BLEND}, {USER}, sold AS (SELECT article_id, count(*) AS n, avg(price) AS p FROM train GROUP BY article_id),
+AGE_CODE = "CASE WHEN u.customer_id IS NULL THEN 0 WHEN age < 18 THEN 1 WHEN age < 25 THEN 2 WHEN age < 35 THEN 3 WHEN age < 45 THEN 4 WHEN age < 55 THEN 5 WHEN age < 65 THEN 6 ELSE 0 END"
+CLUB_CODE = "CASE WHEN u.customer_id IS NULL OR club_member_status IS NULL THEN 0 WHEN club_member_status = 'ACTIVE' THEN 1 WHEN club_member_status = 'PRE-CREATE' THEN 2 WHEN club_member_status = 'LEFT CLUB' THEN 3 ELSE 4 END"
+NEWS_CODE = "CASE WHEN u.customer_id IS NULL OR fashion_news_frequency IS NULL THEN 0 WHEN fashion_news_frequency = 'NONE' THEN 1 WHEN fashion_news_frequency = 'Regularly' THEN 2 ELSE 3 END"
+ITEM_COLUMNS = ["product_type_name", "colour_group_name", "garment_group_name", "section_name", "index_name"]
+FACT_SQL = """facts AS (SELECT a.article_id, (SELECT count(*) FROM (SELECT DISTINCT coalesce(l1_material, 'UNKNOWN') AS v FROM fk UNION SELECT 'UNKNOWN') x WHERE v < coalesce(f.l1_material, 'UNKNOWN')) AS l1_material_code,
+    (SELECT count(*) FROM (SELECT DISTINCT l2_trendiness AS v FROM fk UNION SELECT 'UNKNOWN') x WHERE v < coalesce(f.l2_trendiness, 'UNKNOWN')) AS l2_trendiness_code, CAST(coalesce(f.l2_perceived_quality, 0) AS DOUBLE) AS l2_perceived_quality,
+    CAST(coalesce(f.l3_visual_weight, 0) AS DOUBLE) AS l3_visual_weight, CASE WHEN f.l2_style_mood IS NULL THEN 0 ELSE 1 + length(f.l2_style_mood) - length(replace(f.l2_style_mood, ',', '')) END AS l2_style_mood_n,
+    CASE WHEN f.l2_style_mood LIKE '%"Casual"%' THEN 1 ELSE 0 END AS "l2_style_mood_Casual", CASE WHEN f.l2_style_mood LIKE '%"Classic"%' THEN 1 ELSE 0 END AS "l2_style_mood_Classic", CASE WHEN f.l2_style_mood LIKE '%"Sporty"%' THEN 1 ELSE 0 END AS "l2_style_mood_Sporty"
+    FROM articles a LEFT JOIN fk f ON a.article_id = f.article_id)"""
+FACT_COLUMNS = ["l1_material_code", "l2_trendiness_code", "l2_perceived_quality", "l3_visual_weight", "l2_style_mood_n", "l2_style_mood_Casual", "l2_style_mood_Classic", "l2_style_mood_Sporty"]
+
+
+def _facts(s: Shop) -> DataFrame:
+    enums, lists = ["l1_material", "l2_trendiness"], ["l2_style_mood"]
+    return attributes.encoded_facts(s.articles, s.fk, attributes.encoders(s.fk, enums, lists), enums, ["l2_perceived_quality", "l3_visual_weight"], lists, lists)
+
+
+@query(f"WITH {FACT_SQL} SELECT * FROM facts")
+def encoded_attributes(spark, sf_dir):
+    return rounded(_facts(Shop(spark, sf_dir)))
+
+
+@query(f"""WITH {BLEND}, {USER}, {FACT_SQL}, sold AS (SELECT article_id, count(*) AS n, avg(price) AS p FROM train GROUP BY article_id),
     pairs AS (SELECT customer_id, article_id, count(*) AS n, date_diff('day', max(t_dat), DATE '{TRAIN_END}') AS days FROM train GROUP BY 1, 2),
     kinds AS (SELECT t.customer_id, a.product_type_name, count(*) AS n FROM train t JOIN articles a ON t.article_id = a.article_id GROUP BY 1, 2),
-    sections AS (SELECT article_id, product_type_name, dense_rank() OVER (ORDER BY section_name) AS code FROM articles)
-    SELECT b.customer_id, b.article_id, round(b.score, 4) AS score, CAST(b.place - 1 AS BIGINT) AS rank, round(max(b.score) OVER (PARTITION BY b.customer_id) - b.score, 4) AS gap, coalesce(u.n_purchases, 0) AS n_purchases, coalesce(s.n, 0) AS n_sold,
-    round(CASE WHEN s.p > 0 THEN u.avg_price / (s.p + 1e-8) ELSE 0 END, 4) AS price_ratio,
-    CAST(CASE WHEN u.customer_id IS NULL THEN 0 WHEN age < 18 THEN 1 WHEN age < 25 THEN 2 WHEN age < 35 THEN 3 WHEN age < 45 THEN 4 WHEN age < 55 THEN 5 WHEN age < 65 THEN 6 ELSE 0 END * 100 + c.code AS BIGINT) AS age_section,
-    CAST(coalesce(u.days_since_last, 999) * coalesce(s.n, 0) AS BIGINT) AS recency_popularity, coalesce(p.n, 0) AS pair_n, CAST(coalesce(p.days, 999) AS BIGINT) AS pair_days, coalesce(k.n, 0) AS type_n
-    FROM blended b LEFT JOIN user_stats u ON b.customer_id = u.customer_id LEFT JOIN sold s ON b.article_id = s.article_id LEFT JOIN customers cu ON b.customer_id = cu.customer_id
-    LEFT JOIN sections c ON b.article_id = c.article_id LEFT JOIN pairs p ON b.customer_id = p.customer_id AND b.article_id = p.article_id LEFT JOIN kinds k ON b.customer_id = k.customer_id AND c.product_type_name = k.product_type_name""")
+    codes AS (SELECT article_id, product_type_name, {", ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE dense_rank() OVER (ORDER BY {c} NULLS LAST) END AS {c}_code" for c in ITEM_COLUMNS)} FROM articles),
+    x AS (SELECT b.customer_id, b.article_id, b.score, b.place, {", ".join(f"coalesce(u.{c}, 0) AS u_{c}" for c in ("n_purchases", "avg_price", "price_std", "n_types", "n_colours", "days_since_first", "days_since_last", "online_ratio"))},
+        {AGE_CODE} AS u_age_code, {CLUB_CODE} AS u_club_code, {NEWS_CODE} AS u_news_code, coalesce(s.n, 0) AS i_n_sold, coalesce(s.p, 0) AS i_avg_price, {", ".join(f"c.{c}_code AS i_{c}_code" for c in ITEM_COLUMNS)},
+        p.n AS pn, p.days AS pdays, k.n AS kn, {", ".join(f'f."{c}"' for c in FACT_COLUMNS)}
+        FROM blended b LEFT JOIN user_stats u ON b.customer_id = u.customer_id LEFT JOIN sold s ON b.article_id = s.article_id LEFT JOIN customers cu ON b.customer_id = cu.customer_id
+        LEFT JOIN codes c ON b.article_id = c.article_id LEFT JOIN pairs p ON b.customer_id = p.customer_id AND b.article_id = p.article_id
+        LEFT JOIN kinds k ON b.customer_id = k.customer_id AND c.product_type_name = k.product_type_name LEFT JOIN facts f ON b.article_id = f.article_id)
+    SELECT customer_id, article_id, round(score, 4) AS score, CAST(place - 1 AS BIGINT) AS rank, round(max(score) OVER (PARTITION BY customer_id) - score, 4) AS gap,
+    u_n_purchases, round(u_avg_price + 1e-8, 4) AS u_avg_price, round(u_price_std + 1e-8, 4) AS u_price_std, u_n_types, u_n_colours, u_days_since_first, u_days_since_last, round(u_online_ratio + 1e-8, 4) AS u_online_ratio,
+    CAST(u_age_code AS BIGINT) AS u_age_code, CAST(u_club_code AS BIGINT) AS u_club_code, CAST(u_news_code AS BIGINT) AS u_news_code, i_n_sold, round(i_avg_price + 1e-8, 4) AS i_avg_price, {", ".join(f"CAST(i_{c}_code AS BIGINT) AS i_{c}_code" for c in ITEM_COLUMNS)},
+    CAST(u_age_code * 100 + i_section_name_code AS BIGINT) AS age_section, round(CASE WHEN i_avg_price > 0 THEN u_avg_price / (i_avg_price + 1e-8) ELSE 0 END + 1e-8, 4) AS price_ratio, CAST(u_days_since_last * i_n_sold AS BIGINT) AS recency_popularity,
+    CASE WHEN pn > 0 THEN 1 ELSE 0 END AS has_pair, coalesce(pn, 0) AS pair_n, CAST(coalesce(pdays, 999) AS BIGINT) AS pair_days, CASE WHEN kn > 0 THEN 1 ELSE 0 END AS has_type, coalesce(kn, 0) AS type_n,
+    round(CASE WHEN i_avg_price > 0 THEN u_avg_price / (i_avg_price + 1e-8) ELSE 0 END + 1e-8, 4) AS pair_price_ratio, {", ".join(f'round("{c}" + 1e-8, 4) AS "{c}"' if c in ("l2_perceived_quality", "l3_visual_weight") else f'"{c}"' for c in FACT_COLUMNS)} FROM x""")
 def rerank_features(spark, sf_dir):
+    s = Shop(spark, sf_dir)
+    users = features.user_features(s.train, s.articles, s.customers, TRAIN_END)
+    items = features.item_features(s.train, s.articles, ITEM_COLUMNS)
+    own = candidates.rerank_features(_blend(s), users, items, s.train, s.articles, TRAIN_END, _facts(s))
+    kept = [c for c in ("score", "gap") if c in own.columns]
+    return rounded(own.withColumns({c: F.col(c) - 1e-8 for c in kept}), 4, 1e-8)
+
+
+@query(f"""WITH {RECENT}, h AS (SELECT t.customer_id, e.embedding AS v FROM train t JOIN embeddings e ON t.article_id = e.vec_id), f AS (SELECT customer_id, unnest(v) AS x, unnest(range(64)) AS i FROM h),
+    c AS (SELECT customer_id, i, sum(CAST(x AS DOUBLE)) AS x FROM f GROUP BY 1, 2), n AS (SELECT customer_id, sqrt(sum(x * x)) AS n FROM c GROUP BY 1), g AS (SELECT vec_id, unnest(embedding) AS y, unnest(range(64)) AS i FROM embeddings),
+    d AS (SELECT r.customer_id, r.article_id, sum(c.x * g.y) AS xy, sqrt(sum(CAST(g.y AS DOUBLE) * g.y)) AS yy, max(n.n) AS xx FROM recent r JOIN c ON r.customer_id = c.customer_id JOIN g ON g.vec_id = r.article_id AND g.i = c.i JOIN n ON n.customer_id = r.customer_id GROUP BY 1, 2)
+    SELECT r.customer_id, r.article_id, round(coalesce(xy / (xx * yy), 0), 4) + 0e0 AS cosine FROM recent r LEFT JOIN d ON r.customer_id = d.customer_id AND r.article_id = d.article_id""")
+def rerank_cosine(spark, sf_dir):
+    """Cosine of each recent candidate with its user's taste."""
     s = Shop(spark, sf_dir)
     users = features.user_features(s.train, s.articles, s.customers, TRAIN_END)
     items = features.item_features(s.train, s.articles, ["section_name"])
-    return rounded(candidates.rerank_features(_blend(s), users, items, s.train, s.articles, TRAIN_END), 4)
+    own = candidates.rerank_features(candidates.recent_popular(s.train, s.val, 14, 50), users, items, s.train, s.articles, TRAIN_END, taste=analysis.centroids(s.train, s.vectors), vectors=s.vectors)
+    return own.select("customer_id", "article_id", (F.round("cosine", 4) + 0.0).alias("cosine"))
 
 
 POPULAR = "pred AS (SELECT article_id, row_number() OVER (ORDER BY n DESC, article_id) AS place FROM (SELECT article_id, count(*) AS n FROM train GROUP BY article_id) x)"
@@ -327,6 +370,41 @@ def half_stability(spark, sf_dir):
     return rounded(analysis.half_stability(s.train.join(s.articles, "article_id"), "product_type_name"))
 
 
+SOLD = "s AS (SELECT article_id, count(*) AS c FROM txn GROUP BY article_id)"
+BOUGHT = "u AS (SELECT customer_id, count(*) AS n, avg(price) AS p FROM txn GROUP BY customer_id)"
+
+
+def _sold(s: Shop) -> DataFrame:
+    return s.txn.groupBy("article_id").agg(F.count("*").alias("c"))
+
+
+def _bought(s: Shop) -> DataFrame:
+    return s.txn.groupBy("customer_id").agg(F.count("*").alias("n"), F.avg("price").alias("p"))
+
+
+@query(f"""WITH {SOLD}, r AS (SELECT c, row_number() OVER (ORDER BY c, article_id) AS i, count(*) OVER () AS n FROM s)
+    SELECT round((2e0 * sum(CAST(i AS DOUBLE) * c)) / (max(n) * CAST(sum(c) AS DOUBLE)) - (max(n) + 1e0) / max(n), 6) AS gini FROM r""")
+def gini(spark, sf_dir):
+    return rounded(analysis.gini(_sold(Shop(spark, sf_dir)), "c"))
+
+
+@query(f"""WITH {SOLD}, r AS (SELECT article_id, c, row_number() OVER (ORDER BY c DESC, article_id) AS place, sum(c) OVER (ORDER BY c DESC, article_id ROWS UNBOUNDED PRECEDING) AS upto, sum(c) OVER () AS total FROM s)
+    SELECT article_id, c AS n, place, round(CAST(upto AS DOUBLE) / CAST(total AS DOUBLE), 6) AS share FROM r""")
+def pareto(spark, sf_dir):
+    return rounded(analysis.pareto(_sold(Shop(spark, sf_dir)), "article_id", "c"))
+
+
+@query(f"WITH {BOUGHT} SELECT DISTINCT n, round(cume_dist() OVER (ORDER BY n), 6) AS share FROM u")
+def ecdf(spark, sf_dir):
+    return rounded(analysis.ecdf(_bought(Shop(spark, sf_dir)), "n"))
+
+
+@query(f"""WITH {BOUGHT}, r AS (SELECT rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2e0 AS rn, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2e0 AS rp FROM u)
+    SELECT round(corr(rn, rp), 6) AS rho FROM r""")
+def spearman(spark, sf_dir):
+    return rounded(analysis.spearman(_bought(Shop(spark, sf_dir)), "n", "p"))
+
+
 FLAT = "e AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings)"
 
 

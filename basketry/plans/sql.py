@@ -26,8 +26,8 @@ VIEWS = {
         CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE CONCAT('I', CAST(p_partkey % 3 AS STRING)) END AS index_name
         FROM part""",
     "customers": """SELECT c_custkey AS customer_id, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE CAST(15 + c_custkey % 70 AS INT) END AS age,
-        CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS club_member_status,
-        CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'Regularly' ELSE 'NONE' END AS fashion_news_frequency FROM customer""",
+        CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_mktsegment = 'BUILDING' THEN 'ACTIVE' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'PRE-CREATE' WHEN c_mktsegment = 'MACHINERY' THEN 'LEFT CLUB' ELSE c_mktsegment END AS club_member_status,
+        CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN 'Monthly' WHEN c_custkey % 2 = 0 THEN 'Regularly' ELSE 'NONE' END AS fashion_news_frequency FROM customer""",
     "fk": """SELECT p_partkey AS article_id,
         CASE p_size % 3 WHEN 0 THEN 'Apparel' WHEN 1 THEN 'Footwear' ELSE 'Accessories' END AS super_category,
         CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE p_type END AS l1_material,
@@ -37,6 +37,14 @@ VIEWS = {
         CAST(1 + p_partkey % 5 AS INT) AS l3_visual_weight,
         CASE p_partkey % 4 WHEN 0 THEN 'Monochromatic' WHEN 1 THEN 'Analogous' ELSE 'Neutral' END AS l3_color_harmony
         FROM part WHERE p_partkey % 23 <> 0""",
+    "fx": """SELECT article_id, super_category, l2_style_mood, l3_visual_weight, l3_color_harmony, CASE article_id % 4 WHEN 0 THEN 'Basic' WHEN 1 THEN 'Statement' WHEN 2 THEN 'Accent' END AS l3_coordination_role,
+        CASE article_id % 3 WHEN 0 THEN 'I-line' WHEN 1 THEN 'O-line' ELSE 'A-line' END AS l3_silhouette, CASE article_id % 5 WHEN 0 THEN 'Slim' WHEN 1 THEN 'Oversized' WHEN 2 THEN 'Regular' WHEN 3 THEN 'Boxy' ELSE 'Skinny' END AS l1_fit,
+        CASE article_id % 6 WHEN 0 THEN 'Sleeveless' WHEN 1 THEN 'Long' WHEN 2 THEN 'N/A' WHEN 3 THEN 'Short' END AS l1_sleeve_type, CASE WHEN article_id % 7 < 3 THEN 'Strapless' ELSE 'Crew' END AS l1_neckline,
+        CASE WHEN article_id % 9 < 3 THEN 'Winter' WHEN article_id % 9 < 8 THEN 'Summer' END AS l2_season_fit, CASE WHEN article_id % 8 < 4 THEN 'Foam' ELSE 'Rubber' END AS l1_sole_type,
+        CASE WHEN article_id % 10 < 5 THEN 'Storage' ELSE 'Decoration' END AS l1_primary_function, CASE article_id % 4 WHEN 0 THEN 'Mini' WHEN 1 THEN 'Compact' ELSE 'Large' END AS l1_form_factor,
+        CASE article_id % 5 WHEN 0 THEN 'Wrist' WHEN 1 THEN 'Finger' ELSE 'Shoulder' END AS l1_wearing_method, CASE article_id % 11 WHEN 0 THEN 'Petite' WHEN 1 THEN 'Small' WHEN 2 THEN 'Large' END AS l1_size_scale,
+        CASE WHEN article_id % 6 < 3 THEN 'Stiletto' ELSE 'Flat' END AS l1_heel_type, CASE article_id % 4 WHEN 0 THEN '["Work","Party"]' WHEN 1 THEN '["Outdoor"]' WHEN 2 THEN '["Daily"]' END AS l2_occasion,
+        CASE article_id % 5 WHEN 0 THEN '["Punk","Grunge"]' WHEN 1 THEN '["Streetwear"]' WHEN 2 THEN '["Minimal"]' END AS l3_style_lineage FROM fk""",
     "train": f"SELECT * FROM txn WHERE t_dat <= DATE '{TRAIN_END}'",
     "val": f"SELECT * FROM txn WHERE t_dat > DATE '{TRAIN_END}' AND t_dat <= DATE '{VAL_END}'",
     "test": f"SELECT * FROM txn WHERE t_dat > DATE '{VAL_END}'",

@@ -27,7 +27,7 @@ def txn(spark):
 
 @pytest.fixture(scope="module")
 def articles(spark):
-    return spark.createDataFrame([("a1", "T1", "p1"), ("a2", "T2", "p1"), ("a3", "T2", None)], "article_id string, product_type_name string, product_code string")
+    return spark.createDataFrame([("a1", "T1", "p1", "c"), ("a2", "T2", "p1", "d"), ("a3", "T2", None, None)], "article_id string, product_type_name string, product_code string, colour_group_name string")
 
 
 def test_user_statistics_drop_unknown_articles(txn, articles):
