@@ -172,20 +172,18 @@ def sample(docs: DataFrame, id: str, text: str, lang: str, rows_a_language: int)
                 b, c = bag(t.as_py())
                 yield pa.RecordBatch.from_arrays([pa.array([key.as_py()]), pa.array([name.as_py()]), pa.array([b.tobytes()]), pa.array([c.tobytes()])], ["key", "lang", "b", "c"])
 
-    rows = chosen.mapInArrow(run, "key long, lang string, b binary, c binary").collect()
+    rows = common.mapped(chosen, run, "key long, lang string, b binary, c binary").collect()
     rows.sort(key=lambda r: (r.key, r.lang, bytes(r.b)))
     return [(r.lang, np.frombuffer(r.b, np.int32), np.frombuffer(r.c, np.float32)) for r in rows]
 
 
 def fitted(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", lang: str = "lang", rows_a_language: int = 500) -> Model:
     """A model of the rows of ``docs`` where ``learn`` holds."""
-    common.small_batches(docs.sparkSession)
     return train(sample(docs.where(learn), id, text, lang, rows_a_language))
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, lang_score and lang_rejected (columns of these names give way)."""
-    common.small_batches(docs.sparkSession)
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())]
     keep = [c for c in docs.columns if c not in {f.name for f in new}]
     at = keep.index(text)
@@ -202,4 +200,4 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             rejected = np.array([n == "und" for n in names], bool) | (score < model.threshold)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], [*keep, *(f.name for f in new)])
 
-    return docs.select(*keep).mapInArrow(run, T.StructType([*docs.select(*keep).schema.fields, *new]))
+    return common.mapped(docs.select(*keep), run, T.StructType([*docs.select(*keep).schema.fields, *new]))

@@ -109,15 +109,13 @@ def fit(x: np.ndarray, y: np.ndarray, to_pooled: float = 0.2, to_diagonal: float
 
 def with_statistics(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, stats) of each row."""
-    common.small_batches(docs.sparkSession)
-
     def run(batches):
         for batch in batches:
             flat = np.concatenate([statistics(t.as_py()) for t in batch.column(1)]) if batch.num_rows else np.zeros(0)
             ends = np.arange(0, len(flat) + 1, len(FEATURES), dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat)], ["id", "stats"])
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, stats array<double>")
+    return common.mapped(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), run, "id long, stats array<double>")
 
 
 def fitted(stats: DataFrame, labels: DataFrame, learn: Column, most_rows: int = 20_000) -> Model:

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -19,7 +22,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import common, langid
+    from . import langid
 
     docs = table(spark, sf_dir, "documents")
     held_out = common.crc_mod(F.col("doc_id"), 4) == 2
@@ -74,7 +77,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import common, tokenfile
+    from . import tokenfile
     from .encoder import public_file
 
     path = common.new_path(spark, "tokens")
@@ -83,7 +86,7 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import common, qda
+    from . import qda
 
     held_out = common.crc_mod(F.col("id"), 3) == 1
     stats = common.stored(qda.with_statistics(table(spark, sf_dir, "documents")), "statistics")
