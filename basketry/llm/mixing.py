@@ -1,32 +1,46 @@
 """Mix sources to target weights by entropy balancing, in DataFrame functions only.
 
-Documents carry rates; among all rates whose words meet the target of every constraint, those
-of least relative entropy (words as base measure) are exponentials of the constraints'
-multipliers. The multipliers solve a convex dual by Newton's method: each round sums words
-times rates for every constraint over all cells (the words are summed by source beforehand)
-and moves each multiplier by gradient over curvature. Rates are then rounded into whole
-copies along a ranking by size, so that over- and underweights cancel, and a few single
-documents take up what remains.
-
-Defined cases: null or blank text has size 0 and is taken as 0 words; a null source is a
-source of its own, last in order; repeated rows are documents of their own; sources without
-words have target 0; an empty table gives no rows.
+Every document has a rate, 1 at first. Among all rates from 0 to ``most`` whose words meet the
+target of each source, those of least relative entropy are exponentials of the source's
+multiplier times the document's words, held at ``most``. The multipliers solve the convex dual
+by Newton's method: each round sums rate-weighted words (gradient) and their squares
+(curvature) over all documents, counted by source and size beforehand, which is exact as equal
+sizes of a source have equal rates. A bracket around each multiplier takes over where a step
+would leave it.
+
+A rate becomes whole copies by a dither that a hash of the document fixes: copy k is taken if
+(k - dither) / rate stays below the source's level. The level is a weighted quantile of these
+places, found by three passes of finer and finer buckets; a few single documents then take up
+what remains. So copies follow from the row and from a few numbers of its source alone:
+neither ranks nor texts are shuffled, and reruns agree.
+
+Defined cases: null or blank text has size 0 and is taken once, as 0 words; a null source is
+a source of its own, last in order; rows that share id and text share their fate; sources
+without words have target 0; an empty table gives no rows. ``replicated`` may be given columns
+of any names; they pass through.
 """
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from . import common
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: No document is taken more often, no source's target is a larger multiple of its size.
 MOST_COPIES = 3
-#: Rows of one group of like sizes in one task; larger groups are split by a hash.
-GROUP_ROWS = 50_000
-REPAIRS = 3
+#: Sources up to which their numbers are broadcast; beyond that rows are joined by source.
+BROADCAST_SOURCES = 200_000
+#: Buckets of a pass for the level (the first covers levels up to 4), repairs by one document,
+#: and the share of a target by which its source's words may be off without one.
+BUCKETS, PASSES, REPAIRS, NEAR = 1024, 3, 10, 1e-4
+#: Documents of like size among which a repair chooses.
+EACH = 8
 
 
 def ordered(df: DataFrame, *by: Column) -> DataFrame:
@@ -64,80 +78,148 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     return own.withColumn("target", F.least(cap, share * F.lit(level)))
 
 
-def multipliers(cells: DataFrame, most_rounds: int = 60, settled: float = 1e-10) -> DataFrame:
-    """(source, multiplier) with sum of words * exp(multiplier) = target for every source.
+def rate(most: float) -> Column:
+    """Rate of a document from ``size``, ``scale`` and ``multiplier``."""
+    return F.greatest(F.lit(1e-300), F.least(F.lit(float(most)), F.exp(F.col("multiplier") * F.col("size") / F.col("scale"))))
 
-    ``cells``: source, words, target. Newton on the dual, whose curvature is diagonal as
-    sources don't overlap; a step is held within 1 so that a far target can't throw it off.
-    """
-    own = common.stored(cells.withColumn("multiplier", F.lit(0.0)), "dual")
-    live = (F.col("words") > 0) & (F.col("target") > 0)
+
+def multipliers(cells: DataFrame, by_source: DataFrame, most: float = MOST_COPIES, most_rounds: int = 100, settled: float = 1e-10) -> DataFrame:
+    """``by_source`` (source, source_size, target, scale) with the ``multiplier`` for which
+    the sum of n * size * rate over the source's ``cells`` (source, size, n) is its target."""
+    full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
+    # twice what brings a document of one word to the most
+    state = by_source.withColumn("multiplier", F.when(full, 2 * log(most) * F.col("scale")).otherwise(0.0))
+    state = common.stored(state.withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double"), "open": ~full & (F.col("target") > 0)}), "dual", 4)
+    words = F.col("n") * F.col("size") * rate(most)
+    slope = F.when(rate(most) < most, words * F.col("size") / F.col("scale")).otherwise(0.0)
     for _ in range(most_rounds):
-        sums = own.where(live).groupBy("source", "target", "multiplier").agg(F.sum(F.col("words") * F.exp("multiplier")).alias("now"))
-        # gradient (target - now) over curvature (now)
-        step = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("target") - F.col("now")) / F.col("now")))
-        new = common.stored(sums.select("source", "target", (F.col("multiplier") + step).alias("multiplier"), F.abs((F.col("target") - F.col("now")) / F.col("target")).alias("off")), "dual", 4)
-        off = new.agg(F.max("off")).first()[0]
-        if off is None or off < settled:
+        sums = same_source(cells, few(state.where("open"))).groupBy("source").agg(F.sum(words).alias("now"), F.sum(slope).alias("slope"))
+        own = same_source(state, sums, "left")
+        off, m = F.col("target") - F.col("now"), F.col("multiplier")
+        own = own.withColumns({"low": F.when(off > 0, m).otherwise(F.col("low")), "high": F.when(off > 0, F.col("high")).otherwise(m)})
+        newton = m + off / F.when(F.col("slope") > 0, F.col("slope"))
+        fits = newton.isNotNull() & F.coalesce(newton > F.col("low"), F.lit(True)) & F.coalesce(newton < F.col("high"), F.lit(True))
+        middle = F.coalesce((F.col("low") + F.col("high")) / 2, m + F.signum(off) * (1 + F.abs(m)))
+        still = F.col("open") & (F.abs(off) > settled * F.col("target"))
+        moved = own.withColumns({"open": still, "multiplier": F.when(still, F.when(fits, newton).otherwise(middle)).otherwise(m)})
+        state = common.stored(moved.select(state.columns), "dual", 4)
+        if not state.where("open").limit(1).count():
             break
-        own = same_source(cells, new.select("source", "multiplier"))
-    return new.select("source", "multiplier")
+    # rounded, as sums of doubles differ in their last digits from run to run
+    return state.select(*by_source.columns, F.round("multiplier", 9).alias("multiplier"))
 
 
-def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """(id, source, size, source_size, target, rate, copies) of every document."""
-    key = F.xxhash64(F.col(id), F.xxhash64(text))
-    own = common.stored(docs.select(F.col(id).alias("id"), F.col(source).alias("source"), common.n_words(F.col(text)).alias("size"), key.alias("key")), "sizes")
-    own = own.withColumn("band", F.floor(4 * F.log2(F.col("size") + 1)).cast("int"))
-    by_source = targets(own.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    dual = multipliers(by_source.select("source", F.col("source_size").alias("words"), "target"))
-    rate = F.least(F.lit(float(most)), F.coalesce(F.exp("multiplier"), F.lit(0.0)))
-    rate = F.when(F.abs(rate - F.round(rate)) < 1e-7, F.round(rate)).otherwise(rate)
-    by_source = common.stored(same_source(by_source, dual, "left").select("source", "source_size", "target", rate.alias("rate")), "rates", 4)
-
-    # places along the sizes: groups of like size, large ones split by a hash of the document
-    groups = own.groupBy("source", "band").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("splits"))
-    split = F.pmod(F.col("key"), F.col("splits"))
-    own = _same(own, groups, ["source", "band"]).withColumn("split", split).drop("splits")
-    places = own.groupBy("source", "band", "split").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.partitionBy("source").orderBy("band", "split")) - F.col("n")
-    own = own.withColumn("in_group", F.row_number().over(W.partitionBy("source", "band", "split").orderBy("size", "key")))
-    own = _same(own, places.select("source", "band", "split", before.alias("before")), ["source", "band", "split"])
-    own = same_source(own, by_source).withColumn("place", F.col("before") + F.col("in_group"))
-    upto = lambda n: F.floor(F.col("rate") * n + 0.5)
-    copies = F.least(F.lit(most), upto(F.col("place")) - upto(F.col("place") - 1)).cast("int")
-    own = common.stored(own.select("id", "source", "size", "source_size", "target", "rate", "place", copies.alias("copies")), "copies")
-
-    fixes = None
+def few(by_source: DataFrame) -> DataFrame:
+    """Marked for broadcast if its size is small enough."""
+    return F.broadcast(by_source) if by_source.count() <= BROADCAST_SOURCES else by_source
+
+
+def place(k: int, most: float) -> Column:
+    """Level from which on copy ``k`` of a document is taken."""
+    return (k - F.col("dither")) / rate(most)
+
+
+def levels(own: DataFrame, by_source: DataFrame, most: int) -> DataFrame:
+    """``by_source`` with ``level``: up to it the copies of the source's documents stay within its target."""
+    state = common.stored(by_source.withColumns({"level": F.lit(0.0), "width": F.lit(4.0), "taken": F.lit(0.0)}), "levels", 4)
+    for _ in range(PASSES):
+        at = same_source(own.where("size > 0"), few(state)).select("source", "size", "level", "width", F.explode(F.array(*[place(k, most) for k in range(1, most + 1)])).alias("at"))
+        at = at.where((F.col("at") >= F.col("level")) & (F.col("at") < F.col("level") + F.col("width")))
+        bucket = F.least(F.lit(BUCKETS - 1), F.floor((F.col("at") - F.col("level")) / F.col("width") * BUCKETS))
+        sums = at.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
+        # a row for each bucket
+        upto = sums.withColumn("upto", F.sum("words").over(W.partitionBy("source").orderBy("bucket")))
+        whole = same_source(upto, state.select("source", "target", "taken")).where(F.col("taken") + F.col("upto") <= F.col("target"))
+        whole = whole.groupBy("source").agg(F.max("bucket").alias("last"), F.max("upto").alias("more"))
+        # the first bucket that has places and doesn't fit holds the level; without one all fit
+        over = same_source(upto, state.select("source", "target", "taken")).where(F.col("taken") + F.col("upto") > F.col("target")).groupBy("source").agg(F.min("bucket").alias("next"))
+        width = F.col("width") / BUCKETS
+        new = same_source(same_source(state, whole, "left"), over, "left")
+        new = new.withColumns({"level": F.col("level") + F.when(F.col("next").isNull(), F.col("width")).otherwise(F.col("next") * width), "width": F.when(F.col("next").isNull(), F.lit(0.0)).otherwise(width), "taken": F.col("taken") + F.coalesce("more", F.lit(0.0))})
+        state = common.stored(new.select(state.columns), "levels", 4)
+    return state.drop("width", "taken")
+
+
+def copied(own: DataFrame, by_source: DataFrame, most: int) -> DataFrame:
+    """``own`` (with source, size and dither) with the columns of ``by_source``, ``rate`` and ``copies``."""
+    both = same_source(own, few(by_source))
+    taken = sum((F.when(place(k, most) < F.col("level"), 1).otherwise(0) for k in range(1, most + 1)), F.lit(0))
+    return both.withColumns({"rate": rate(most), "copies": F.when(F.col("size") == 0, 1).otherwise(taken).cast("int")})
+
+
+def fixed(own: DataFrame, fixes: DataFrame) -> DataFrame:
+    """``copies`` after the repairs: a few documents of each source."""
+    own = own.join(few(fixes.withColumnsRenamed({"source": "_source", "key": "_key"})), F.col("source").eqNullSafe(F.col("_source")) & (F.col("key") == F.col("_key")), "left")
+    return own.withColumn("copies", F.col("copies") + F.coalesce("fix", F.lit(0))).drop("_source", "_key", "fix")
+
+
+def repairs(own: DataFrame, most: int) -> DataFrame:
+    """(source, key, fix): documents to be taken once more or less, at most ``REPAIRS`` of each
+    source, each the one that brings the source's words nearest to its target.
+
+    One pass finds how far each source is off and, for each direction and size (quarters of
+    powers of two), up to ``EACH`` documents that may change; the rest works on these alone.
+    """
+    off = own.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("off"), F.first("target").alias("target"))
+    off = common.stored(off.where(F.abs("off") > NEAR * F.col("target")).select("source", "off"), "off", 4)
+    live = own.where("size > 0").select("source", "size", "key", F.explode(F.filter(F.array(F.when(F.col("copies") < most, 1), F.when(F.col("copies") > 0, -1)), lambda x: x.isNotNull())).alias("fix"))
+    may = live.groupBy("source", "fix", F.floor(4 * F.log2("size")).alias("band"), F.pmod("key", F.lit(EACH)).alias("part")).agg(F.min("key").alias("key"))
+    may = common.stored(same_source(may, off.select("source")).select("source", "fix", "key"), "may", 4)
+    # rows that share a key go together
+    keys = few(may.select(F.col("source").alias("_source"), F.col("key").alias("_key")).distinct())
+    words = own.join(keys, F.col("source").eqNullSafe(F.col("_source")) & (F.col("key") == F.col("_key"))).groupBy("source", "key").agg(F.sum("size").alias("words"))
+    may = common.stored(_same(may, words, ["source", "key"]), "may", 4)
+    fixes = own.sparkSession.createDataFrame([], T.StructType([own.schema["source"], T.StructField("key", T.LongType()), T.StructField("fix", T.IntegerType())]))
     for _ in range(REPAIRS):
-        now = own if fixes is None else _with_fixes(own, fixes)
-        off = now.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("off"))
-        may = same_source(now, off).where("size > 0").where((F.col("off") > 0) & (F.col("copies") < most) | (F.col("off") < 0) & (F.col("copies") > 0))
-        left = F.abs(F.abs("off") - F.col("size"))
-        pick = may.where(left < F.abs("off")).groupBy("source").agg(F.min(F.struct(left.alias("left"), F.col("place").alias("place"), F.signum("off").cast("int").alias("fix"))).alias("p"))
-        pick = pick.select("source", "p.place", "p.fix")
-        fixes = common.stored(pick if fixes is None else fixes.unionByName(pick).groupBy("source", "place").agg(F.sum("fix").cast("int").alias("fix")), "fixes", 4)
-    return _with_fixes(own, fixes).drop("place")
+        left = F.abs(F.col("off") - F.col("fix") * F.col("words"))
+        here = _same(may, fixes.select("source", "key", F.lit(True).alias("done")), ["source", "key"], "left").where("done is null").drop("done")
+        pick = same_source(here, off).where(left < F.abs("off")).groupBy("source").agg(F.min(F.struct(left.alias("left"), "key", "fix", "words")).alias("p"))
+        pick = common.stored(pick.select("source", "p.key", "p.fix", "p.words"), "picks", 4)
+        if not pick.limit(1).count():
+            break
+        fixes = common.stored(fixes.unionByName(pick.select("source", "key", "fix")), "fixes", 4)
+        off = common.stored(same_source(off, pick, "left").select("source", (F.col("off") - F.coalesce(F.col("fix") * F.col("words"), F.lit(0))).alias("off")), "off", 4)
+    return fixes
 
 
 def _same(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join on ``on`` where null meets null."""
+    """Join on ``source`` and a key, where null meets null for the source."""
+    source, key = on
     b = b.withColumnsRenamed({c: f"_{c}" for c in on})
-    match = F.col(on[0]).eqNullSafe(F.col(f"_{on[0]}"))
-    for c in on[1:]:
-        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    match = F.col(source).eqNullSafe(F.col(f"_{source}")) & (F.col(key) == F.col(f"_{key}"))
     return a.join(b, match, how).drop(*[f"_{c}" for c in on])
 
 
-def _with_fixes(own: DataFrame, fixes: DataFrame) -> DataFrame:
-    return _same(own, fixes, ["source", "place"], "left").withColumn("copies", F.col("copies") + F.coalesce("fix", F.lit(0))).drop("fix")
+def sized(docs: DataFrame, id: str, text: str, source: str) -> dict[str, Column]:
+    """Columns that the mix works on, by name."""
+    key = F.xxhash64(F.col(id), F.xxhash64(text))
+    dither = F.shiftrightunsigned(F.xxhash64(key), 11) * 2.0**-53
+    return {"source": F.col(source), "size": common.n_words(F.col(text)), "key": key, "dither": dither}
 
 
-def replicated(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it (columns unchanged).
+def solved(docs: DataFrame, id: str, text: str, source: str, weights: tuple[float, ...], most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents by size, numbers of the sources, repairs)."""
+    own = common.stored(docs.select(F.col(id).alias("id"), *[c.alias(n) for n, c in sized(docs, id, text, source).items()]), "sizes")
+    cells = common.stored(own.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
+    sums = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n"))
+    by_source = targets(sums.select("source", "source_size"), weights, most)
+    scale = F.greatest(F.lit(1.0), F.col("source_size") / F.col("n"))
+    by_source = same_source(by_source, sums.select("source", "n")).select("source", "source_size", "target", scale.alias("scale"))
+    by_source = common.stored(by_source, "sources", 4)
+    by_source = levels(own, multipliers(cells, by_source, most), most)
+    return own, by_source, repairs(copied(own, by_source, most), most)
 
-    Copies are joined by id, so rows that share an id take the largest number among them.
-    """
-    taken = mixed(docs, id, text, source, weights, most).groupBy("id").agg(F.max("copies").alias("__copies"))
-    own = docs.join(taken.withColumnRenamed("id", "__id"), F.col(id).eqNullSafe(F.col("__id"))).where("__copies > 0")
-    return own.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """(id, source, size, source_size, target, rate, copies) of every document."""
+    own, by_source, fixes = solved(docs, id, text, source, weights, most)
+    return fixed(copied(own, by_source, most), fixes).select("id", "source", "size", "source_size", "target", "rate", "copies")
+
+
+def replicated(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it (columns unchanged)."""
+    _, by_source, fixes = solved(docs, id, text, source, weights, most)
+    row = common.free(docs, "__row")
+    own = docs.select(F.struct(*docs.columns).alias(row), *[c.alias(n) for n, c in sized(docs, id, text, source).items()])
+    own = fixed(copied(own, by_source, most), fixes).where("copies > 0")
+    return own.select(row, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(f"{row}.*")
