@@ -1,28 +1,31 @@
 """Encoding whole texts with a public tokenizer file, each distinct piece once.
 
 A text is cut into pieces that no token crosses, so the ids of the whole are those of its
-pieces in turn. Pieces repeat, so their ids and offsets come from a table that holds a bounded
-number of them; the rest is array work. The cut is exact for both kinds of files here:
-white-space-dropping tokenizers are cut at spaces, tabs and line ends, byte-level ones by
-their own pre-tokenization pattern.
-
-Where only ids are wanted and the file lower-cases and marks word ends, pieces of letters with
-or without one mark of punctuation behind share their lower-case letters, and these are
-encoded many at a time, as each ends with exactly one token of the word-end kind.
+pieces in turn. Pieces repeat, so their ids come from a table that holds a bounded number of
+them and outlives a task; where it is full, the half that came most often stays. The rest is
+array work. The cut is exact for both kinds of files here: white-space-dropping tokenizers are
+cut at spaces, tabs and line ends, byte-level ones by their own pre-tokenization pattern.
+
+``ColumnEncoder`` gives ids of whole columns and finds their distinct pieces in Arrow;
+``PieceEncoder`` gives offsets as well.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces that the table holds before it starts anew, and the length from which they are not kept.
-MOST_PIECES, MOST_CHARS = 200_000, 64
-#: Marks that may stand behind letters, and the first character past the Latin blocks, up to
-#: which lower-casing is a matter of single characters.
-MARKS, LAST_LATIN = ",.;:!?", "\u0250"
+#: Pieces and ids that a table with offsets holds before its rarer half goes, and the length
+#: from which pieces are not kept after their text.
+MOST_PIECES, MOST_IDS, MOST_CHARS = 200_000, 1 << 21, 64
+#: Pieces that a table of a column encoder holds.
+MOST_WORDS = 300_000
+#: Letters of the Latin blocks, whose lower case is one letter (all but U+0130), and the marks
+#: that may stand behind them.
+LATIN, MARKS = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]+", ",.;:!?"
 
 
 def public_file(name: str) -> str:
@@ -32,120 +35,183 @@ def public_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def gathered(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places of the runs that begin at ``at`` and hold ``n`` entries, one after the other."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - (ends - n), n)
+
+
+class ColumnEncoder:
+    """Ids of columns of text for a white-space-dropping tokenizer.
+
+    The table is an Arrow array of pieces beside arrays of their ids, a few MB in all. If the
+    file lower-cases and marks word ends, A-Z are lowered first; letters with one mark behind
+    them count as letters and mark, and new words of letters are encoded many at a time, as each
+    ends with exactly one token of the word-end kind.
+    """
+
+    def __init__(self, path: str):
+        import regex
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        file = self.tokenizer.to_str()  # searched, not parsed: the vocabulary would be held twice
+        found = regex.search(r'"end_of_word_suffix":\s*"([^"]+)"', file)
+        self.shares = bool(found) and '"Lowercase"' in file
+        if self.shares:
+            suffix = found[1]
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends_word[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
+            marks = [self.tokenizer.encode(m, add_special_tokens=False).ids for m in MARKS]
+            self.marks = np.array([x[0] for x in marks], np.int32)
+            self.shares = all(len(x) == 1 for x in marks)
+        #: What begins the strings that a text may hold for special tokens, which aren't lowered.
+        self.special = sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.known, self.flat = pa.array([], pa.string()), np.zeros(0, np.int32)
+        self.n, self.at, self.seen = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def trim(self) -> None:
+        """Keep the half that came most often, and no long pieces."""
+        keep = np.sort(np.argsort(-self.seen, kind="stable")[: MOST_WORDS // 2])
+        keep = keep[pc.less_equal(pc.binary_length(self.known), MOST_CHARS).to_numpy(zero_copy_only=False)[keep]]
+        self.flat = self.flat[gathered(self.at[keep], self.n[keep].astype(np.int64))]
+        self.known, self.n, self.seen = self.known.take(pa.array(keep)), self.n[keep], self.seen[keep] // 2
+        self.at = np.cumsum(self.n, dtype=np.int64) - self.n
+
+    def learn(self, new: pa.Array) -> None:
+        """Encode distinct pieces and add them to the table."""
+        n = np.zeros(len(new), np.int64)
+        words = pc.match_substring_regex(new, f"^{LATIN}$").to_numpy(zero_copy_only=False) if self.shares else np.zeros(len(new), bool)
+        parts: list[np.ndarray] = []
+        for flags, together in ((words, 500), (~words, 1)):
+            where = np.flatnonzero(flags)
+            own = new.take(pa.array(where)).to_pylist()
+            lines = [" ".join(own[k : k + together]) for k in range(0, len(own), together)]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+            each = np.fromiter(map(len, got), np.int64, len(got))
+            ids = np.fromiter(chain.from_iterable(got), np.int32, int(each.sum()))
+            if together > 1 and len(own):
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(ends) != len(own) or ends[-1] != len(ids):
+                    raise ValueError("a word of letters must end with one word-end token")
+                each = np.diff(ends, prepend=0)
+            n[where] = each
+            parts.append(ids)
+        order = np.append(np.flatnonzero(words), np.flatnonzero(~words))
+        n = n[order]
+        self.at = np.append(self.at, len(self.flat) + np.cumsum(n) - n)
+        self.n, self.seen = np.append(self.n, n.astype(np.int32)), np.append(self.seen, np.zeros(len(n), np.int64))
+        self.flat = np.concatenate([self.flat, *parts])
+        self.known = pa.concat_arrays([self.known, new.take(pa.array(order))])
+
+    def numbers(self, pieces: pa.Array) -> np.ndarray:
+        """Place in the table of each of distinct pieces; what is new is learned."""
+        own = pc.index_in(pieces, self.known)
+        if own.null_count:
+            self.learn(pieces.filter(pc.is_null(own)))
+            own = own.fill_null(-1).to_numpy().astype(np.int64)
+            own[own < 0] = pc.index_in(pieces.filter(pa.array(own < 0)), self.known).to_numpy()
+            return own
+        return own.to_numpy().astype(np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text) of a column without nulls."""
+        if len(self.known) > MOST_WORDS:
+            self.trim()
+        if self.shares and not any(pc.any(pc.match_substring(texts, x)).as_py() for x in self.special):
+            texts = pc.ascii_lower(texts)
+        lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", " "), "\t", " "), " ")
+        found = lists.flatten().dictionary_encode()
+        pieces, which = found.dictionary, found.indices.to_numpy()
+        marked = np.zeros(len(pieces), bool)
+        if self.shares:
+            marked = pc.match_substring_regex(pieces, f"^{LATIN}[{MARKS}]$").to_numpy(zero_copy_only=False)
+            own = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(pieces, 0, -1), pieces).dictionary_encode()
+            pieces_of, place = own.dictionary, own.indices.to_numpy()
+        else:
+            pieces_of, place = pieces, np.arange(len(pieces))
+        number = self.numbers(pieces_of)[place]
+        np.add.at(self.seen, number, np.bincount(which, minlength=len(number)))
+        # ids of each distinct piece, its mark behind them
+        plain = self.n[number].astype(np.int64)
+        n = plain + marked
+        at = np.cumsum(n) - n
+        ids = np.zeros(int(n.sum()), np.int32)
+        ids[gathered(at, plain)] = self.flat[gathered(self.at[number], plain)]
+        if marked.any():
+            mark = pc.index_in(pc.utf8_slice_codeunits(pieces.filter(pa.array(marked)), -1), pa.array(list(MARKS))).to_numpy()
+            ids[(at + plain)[marked]] = self.marks[mark]
+        n = n[which]
+        upto = np.append(0, np.cumsum(n))
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        return ids[gathered(at[which], n)], upto[bounds[1:]] - upto[bounds[:-1]]
+
+
 class _Table(dict):
-    """Number of each piece; an unknown piece gets the next number and waits to be learned."""
+    """Number of each piece; an unknown piece gets the next number and waits to be learned.
+    ``size``: numbers given so far."""
 
-    def __init__(self):
-        self.new: list[str] = []
+    def __init__(self, pieces=()):
+        super().__init__(zip(pieces, range(len(pieces)), strict=True))
+        self.size, self.new = len(self), []
 
     def __missing__(self, piece: str) -> int:
         self.new.append(piece)
-        self[piece] = n = len(self)
+        self[piece] = n = self.size
+        self.size = n + 1
         return n
 
 
 class PieceEncoder:
-    """``encode(texts)``: ids, their character spans if asked for, and the number of ids of
-    each text. ``cut``: "space", or the pattern whose matches are the pieces of a text."""
+    """Ids and their character spans. ``cut``: "space", or the pattern whose matches are the
+    pieces of a text."""
 
-    def __init__(self, path: str, cut: str = "space", spans: bool = True):
+    def __init__(self, path: str, cut: str = "space"):
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spans = Tokenizer.from_file(path), spans
+        self.tokenizer = Tokenizer.from_file(path)
         if cut == "space":
-            self.cut: Callable[[str], list[str]] = lambda t: t.replace("\n", " ").replace("\t", " ").split(" ")
+            self.cut = lambda t: t.replace("\n", " ").replace("\t", " ").split(" ")
             self.gap = 1  # a dropped character stands between pieces
         else:
             self.cut, self.gap = regex.compile(cut).findall, 0
             self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        file = self.tokenizer.to_str()  # searched, not parsed: the vocabulary would be held twice
-        found = regex.search(r'"end_of_word_suffix":\s*"([^"]+)"', file)
-        self.shares = cut == "space" and not spans and bool(found) and '"Lowercase"' in file
-        if self.shares:
-            suffix = found[1]
-            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.ends_word[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
-            self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in MARKS}
-            self.shares = all(len(x) == 1 for x in self.marks.values())
-        self.clear()
-
-    def clear(self) -> None:
         self.table = _Table()
         self.n = np.zeros(1 << 16, np.int32)  # ids of each piece
         self.at = np.zeros(1 << 16, np.int64)  # where they begin
         self.chars = np.zeros(1 << 16, np.int32)
-        self.used, self.flat = 0, [np.zeros(1 << 18, np.int32) for _ in range(3 if self.spans else 1)]
-        self.long = False
-        self.stems, self.stem_n, self.stem_at, self.stem_flat = _Table(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.seen = np.zeros(1 << 16, np.int64)  # how often they came
+        self.used, self.flat = 0, [np.zeros(1 << 18, np.int32) for _ in range(3)]
+
+    def trim(self) -> None:
+        """Keep the half that came most often."""
+        number = np.fromiter(self.table.values(), np.int64, len(self.table))
+        often = self.seen[number]
+        keep = np.zeros(len(number), bool)
+        keep[np.argsort(-often, kind="stable")[: max(1, min(MOST_PIECES, len(number)) // 2)]] = True
+        names, number = list(compress(self.table, keep)), number[keep]
+        where = gathered(self.at[number], self.n[number].astype(np.int64))
+        self.flat, self.used = [np.append(x[where], np.int32(0)) for x in self.flat], len(where)
+        self.n, self.chars, self.seen = self.n[number], self.chars[number], often[keep] // 2
+        self.at = np.cumsum(self.n, dtype=np.int64) - self.n
+        self.table = _Table(names)
 
     def reserve(self, pieces: int, ids: int) -> None:
         """Room for so many pieces and ids."""
         while pieces > len(self.n):
-            self.n, self.at, self.chars = (np.append(x, np.zeros_like(x)) for x in (self.n, self.at, self.chars))
+            self.n, self.at, self.chars, self.seen = (np.append(x, np.zeros_like(x)) for x in (self.n, self.at, self.chars, self.seen))
         while ids > len(self.flat[0]):
             self.flat = [np.append(x, np.zeros_like(x)) for x in self.flat]
 
-    def stem(self, piece: str) -> tuple[str, int] | None:
-        """Lower-case letters of a piece and the id of a mark behind them, or 0."""
-        mark = 0
-        if piece[-1:] in self.marks and piece[-2:-1].isalpha():
-            piece, mark = piece[:-1], self.marks[piece[-1]][0]
-        if piece.isalpha() and (piece.isascii() or max(piece) < LAST_LATIN):
-            low = piece.lower()
-            return (low, mark) if low.isalpha() else None
-        return None
-
-    def learn_stems(self) -> None:
-        """Encode the stems that wait: joined by spaces, cut after word ends."""
-        new, self.stems.new = self.stems.new, []
-        ids = np.concatenate([np.array(self.tokenizer.encode_batch_fast([" ".join(new[k : k + 500])], add_special_tokens=False)[0].ids, np.int32) for k in range(0, len(new), 500)])
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(ends) != len(new) or ends[-1] != len(ids):
-            raise ValueError("a word of letters must end with one word-end token")
-        self.stem_at = np.append(self.stem_at, len(self.stem_flat) + np.append(0, ends[:-1]))
-        self.stem_n = np.append(self.stem_n, np.diff(ends, prepend=0))
-        self.stem_flat = np.append(self.stem_flat, ids)
-
     def learn(self) -> None:
-        """Encode the pieces that wait."""
+        """Encode the pieces that wait; long ones hardly come again and aren't kept by name."""
         pieces, self.table.new = self.table.new, []
-        if self.shares and pieces:
-            first, stems, lookup = len(self.table) - len(pieces), [], self.stems
-            rest = []
-            for k, piece in enumerate(pieces):
-                if found := self.stem(piece):
-                    stems.append((k, lookup[found[0]], found[1]))
-                else:
-                    rest.append(k)
-            if self.stems.new:
-                self.learn_stems()
-            self.reserve(len(self.table), 0)
-            if stems:
-                where, stem, mark = np.array(stems, np.int64).T
-                n = self.stem_n[stem]
-                each = n + (mark > 0)
-                ends = np.cumsum(each)
-                self.reserve(len(self.table), self.used + int(ends[-1]))
-                at = self.used + ends - each
-                self.n[first + where], self.at[first + where], self.chars[first + where] = each, at, [len(pieces[k]) for k in where.tolist()]
-                inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                self.flat[0][np.repeat(at, n) + inside] = self.stem_flat[np.repeat(self.stem_at[stem], n) + inside]
-                self.flat[0][(at + n)[mark > 0]] = mark[mark > 0]
-                self.used += int(ends[-1])
-            for k in rest:
-                ids = self.tokenizer.encode(pieces[k], add_special_tokens=False).ids
-                self.reserve(len(self.table), self.used + len(ids))
-                self.n[first + k], self.at[first + k], self.chars[first + k] = len(ids), self.used, len(pieces[k])
-                self.flat[0][self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-            self.long |= any(len(p) > MOST_CHARS for p in pieces)
-            return
-        first, last = len(self.table) - len(pieces), len(self.table)
+        first, last = self.table.size - len(pieces), self.table.size
         for at in range(0, len(pieces), 50_000):
             some = pieces[at : at + 50_000]
-            got = (self.tokenizer.encode_batch if self.spans else self.tokenizer.encode_batch_fast)(some, add_special_tokens=False)
+            got = self.tokenizer.encode_batch(some, add_special_tokens=False)
             ids = [e.ids for e in got]
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             end = self.used + int(n.sum())
@@ -154,45 +220,37 @@ class PieceEncoder:
             self.n[own], self.at[own] = n, self.used + np.cumsum(n) - n
             self.chars[own] = np.fromiter(map(len, some), np.int64, len(some))
             self.flat[0][self.used : end] = np.fromiter(chain.from_iterable(ids), np.int32, end - self.used)
-            if self.spans and end > self.used:
-                both = np.array([x for e in got for x in e.offsets], np.int32)
-                self.flat[1][self.used : end], self.flat[2][self.used : end] = both[:, 0], both[:, 1]
+            both = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in got)), np.int32, 2 * (end - self.used))
+            self.flat[1][self.used : end], self.flat[2][self.used : end] = both[::2], both[1::2]
             self.used = end
-        self.long |= any(len(p) > MOST_CHARS for p in pieces)
+        for piece in pieces:
+            if len(piece) > MOST_CHARS:
+                del self.table[piece]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None, np.ndarray]:
-        if len(self.table) > MOST_PIECES or self.used > 1 << 24 or self.long:  # long pieces hardly come again
-            self.clear()
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start and end of their characters in the text, number of ids of each text)."""
+        if self.table.size > MOST_PIECES or self.used > MOST_IDS:
+            self.trim()
         cut = [self.cut(t) for t in texts]
         in_text = np.fromiter(map(len, cut), np.int64, len(cut))
         pieces = np.fromiter(map(self.table.__getitem__, chain.from_iterable(cut)), np.int64, int(in_text.sum()))
         self.learn()
-        n, at = self.n[pieces].astype(np.int64), self.at[pieces]
-        upto = np.append(0, np.cumsum(n))
-        where = np.arange(upto[-1]) + np.repeat(at - upto[:-1], n)
-        bounds = np.append(0, np.cumsum(in_text))
-        counts = upto[bounds[1:]] - upto[bounds[:-1]]
-        start = end = None
-        if self.spans:
-            chars = self.chars[pieces].astype(np.int64) + self.gap
-            places = np.append(0, np.cumsum(chars))
-            move = np.repeat(places[:-1] - np.repeat(places[bounds[:-1]], in_text), n)
-            start, end = self.flat[1][where] + move, self.flat[2][where] + move
-        return self.flat[0][where], start, end, counts
+        if len(pieces):
+            self.seen[: self.table.size] += np.bincount(pieces, minlength=self.table.size)
+        n = self.n[pieces].astype(np.int64)
+        where = gathered(self.at[pieces], n)
+        upto, bounds = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(in_text))
+        places = np.append(0, np.cumsum(self.chars[pieces].astype(np.int64) + self.gap))
+        move = np.repeat(places[:-1] - np.repeat(places[bounds[:-1]], in_text), n)
+        return self.flat[0][where], self.flat[1][where] + move, self.flat[2][where] + move, upto[bounds[1:]] - upto[bounds[:-1]]
 
 
-_encoders: dict[tuple[str, str, bool], PieceEncoder] = {}
+_encoders: dict[tuple[str, str | None], ColumnEncoder | PieceEncoder] = {}
 
 
-def encoder(path: str, cut: str = "space", spans: bool = True) -> PieceEncoder:
-    """The encoder of this Python process for a file."""
-    key = path, cut, spans
+def encoder(path: str, cut: str | None = None) -> ColumnEncoder | PieceEncoder:
+    """The encoder of this Python process for a file; with offsets if ``cut`` is given."""
+    key = path, cut
     if key not in _encoders:
-        _encoders[key] = PieceEncoder(*key)
+        _encoders[key] = PieceEncoder(path, cut) if cut else ColumnEncoder(path)
     return _encoders[key]
-
-
-def release() -> None:
-    """Empty the tables of this process; Python workers outlive their tasks."""
-    for own in _encoders.values():
-        own.clear()

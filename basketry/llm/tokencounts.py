@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .encoder import encoder, release
+from .encoder import encoder
 
 Section = tuple[str, int, int]
 
@@ -65,10 +65,8 @@ def attribute(start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndar
 def by_section(docs: DataFrame, tokenizer: str, pattern: str, id: str = "doc_id", text: str = "text", sections: Callable[[str], Iterator[Section]] = line_kinds) -> DataFrame:
     """(id, section, n_tokens, n_crossing, n_chars): one row for each kind of section of a
     row of ``docs``; n_crossing of its tokens reach over its bounds."""
-    common.small_batches(docs.sparkSession)
-
     def rows(texts: list[str], keys: list) -> pa.RecordBatch:
-        ids, start, end, counts = encoder(tokenizer, pattern, True).encode(texts)
+        ids, start, end, counts = encoder(tokenizer, pattern).encode(texts)
         bounds = np.append(0, np.cumsum([len(t) + 1 for t in texts]))
         move = np.repeat(bounds[:-1], counts)
         spans = [(k, name, bounds[k] + a, bounds[k] + b) for k, t in enumerate(texts) for name, a, b in sections(t) if b > a]
@@ -100,7 +98,6 @@ def by_section(docs: DataFrame, tokenizer: str, pattern: str, id: str = "doc_id"
                     to += 1
                 yield rows(texts[at:to], keys[at:to])
                 at = to
-        release()
 
     own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    return own.mapInArrow(run, "id long, section string, n_tokens long, n_crossing long, n_chars long").withColumnRenamed("id", id)
+    return common.mapped(own, run, "id long, section string, n_tokens long, n_crossing long, n_chars long").withColumnRenamed("id", id)

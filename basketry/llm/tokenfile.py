@@ -28,17 +28,20 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import common
-from .encoder import encoder, release
+from .encoder import encoder
 
 MAGIC = b"DAC1"
 RANK_BITS = 512
 WIDTHS = (8, 8, 16)
+#: Characters encoded at a time.
+CHARS = 1_000_000
 
 
 def packed(ids: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -132,14 +135,22 @@ class Reader:
         return self.tokens(int(self.offsets[k]), int(self.offsets[k + 1]))
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a URI as Hadoop writes it."""
+    scheme, sep, rest = path.partition("://")
+    if not sep and path.startswith("file:"):
+        scheme, sep, rest = "file", "://", "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + sep + rest)
+
+
 def written(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", text: str = "text", end_id: int = 2, shard_tokens: int = 1 << 21) -> DataFrame:
-    """Write token files under ``path``, a folder of a file system that all executors reach;
+    """Write token files under ``path``, a folder of a file system that all executors reach
+    (local, HDFS, S3, ABFS or GCS; a path without a scheme is of Hadoop's default one);
     returns their manifest (part, shard, file, docs, tokens, start), ``start`` being the
     number of tokens in all files before."""
-    common.small_batches(docs.sparkSession)
-
+    path = common.qualified(docs.sparkSession, path)
     def write(part, shard, ids, held, counts):
-        where, folder = fs.FileSystem.from_uri(path)
+        where, folder = opened(path)
         where.create_dir(folder, recursive=True)
         name = f"{folder}/{part:08d}-{shard:06d}-{uuid.uuid4().hex}.dac"
         with where.open_output_stream(name) as out:
@@ -150,17 +161,17 @@ def written(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", text
     arrow = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
 
     def run(batches):
-        own, shard, part, size = encoder(tokenizer, "space", False), 0, 0, 0
+        own, shard, part, size = encoder(tokenizer), 0, 0, 0
         ids, held, counts = [], [], []
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            at = 0
-            while at < len(texts):  # a few hundred kB at a time, one long text alone
+            texts = pc.fill_null(batch.column("text"), "")
+            size_of, at = pc.utf8_length(texts).to_numpy(), 0
+            while at < len(texts):  # a few MB at a time, one long text alone
                 to, chars = at, 0
-                while to < len(texts) and (to == at or chars + len(texts[to]) <= min(500_000, 2 * shard_tokens)):
-                    chars += len(texts[to])
+                while to < len(texts) and (to == at or chars + size_of[to] <= min(CHARS, 2 * shard_tokens)):
+                    chars += size_of[to]
                     to += 1
-                got, _, _, n = own.encode(texts[at:to])
+                got, n = own.encode(texts[at:to])
                 ends = np.cumsum(n)
                 held.append(np.insert(got, ends, end_id))
                 counts.append(n + 1)
@@ -171,24 +182,30 @@ def written(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", text
                     shard, size, ids, held, counts = shard + 1, 0, [], [], []
         if ids:
             yield write(part, shard, ids, held, counts)
-        release()
 
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]  # the range's samples go to the driver: no texts
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = rows.withColumn("part", F.spark_partition_id())
-    manifest = common.stored(rows.mapInArrow(run, "part int, shard int, file string, docs long, tokens long"), "manifest")
+    manifest = common.stored(common.mapped(rows, run, "part int, shard int, file string, docs long, tokens long"), "manifest")
     parts = manifest.groupBy("part").agg(F.sum("tokens").alias("n"))
     before = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # a row for each task
     inside = F.sum("tokens").over(W.partitionBy("part").orderBy("shard")) - F.col("tokens")
     return manifest.withColumn("inside", inside).join(before, "part").select("part", "shard", "file", "docs", "tokens", (F.col("before") + F.col("inside")).alias("start"))
 
 
+def dealt(manifest: DataFrame) -> DataFrame:
+    """Files over so many tasks as a shuffle has, or over one each if they are fewer."""
+    most = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.repartition(max(1, min(most, manifest.count())), "file")
+
+
 def summaries(manifest: DataFrame, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, read from the files."""
+    path = common.qualified(manifest.sparkSession, path)
 
     def run(batches):
-        where, _ = fs.FileSystem.from_uri(path)
+        where, _ = opened(path)
         for batch in batches:
             for row in batch.to_pylist():
                 with where.open_input_stream(row["file"]) as f:
@@ -197,14 +214,15 @@ def summaries(manifest: DataFrame, path: str) -> DataFrame:
                 ids = pa.array(own.doc_ids, mask=own.nulls.astype(bool))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(own.offsets[:-1] + row["start"]), pa.array(np.diff(own.offsets)), pa.array(crcs)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.repartition(max(1, manifest.count()), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return dealt(manifest).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_lists(manifest: DataFrame, path: str) -> DataFrame:
     """(doc_id, tokens) of each document, read from the files."""
+    path = common.qualified(manifest.sparkSession, path)
 
     def run(batches):
-        where, _ = fs.FileSystem.from_uri(path)
+        where, _ = opened(path)
         for batch in batches:
             for row in batch.to_pylist():
                 with where.open_input_stream(row["file"]) as f:
@@ -215,4 +233,4 @@ def token_lists(manifest: DataFrame, path: str) -> DataFrame:
                     tokens = pa.ListArray.from_arrays((own.offsets[at : to + 1] - own.offsets[at]).astype(np.int32), flat)
                     yield pa.RecordBatch.from_arrays([pa.array(own.doc_ids[at:to], mask=own.nulls[at:to].astype(bool)), tokens], ["doc_id", "tokens"])
 
-    return manifest.repartition(max(1, manifest.count()), "file").mapInArrow(run, "doc_id long, tokens array<int>")
+    return dealt(manifest).mapInArrow(run, "doc_id long, tokens array<int>")
