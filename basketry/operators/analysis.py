@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .metrics import auc
 from .ordering import midranks, placed, running
 
 
@@ -194,3 +197,50 @@ def pair_types(pairs: DataFrame, types: DataFrame, k: int = 10) -> DataFrame:
     own = pairs.join(types.toDF("a", "ta"), "a").join(types.toDF("b", "tb"), "b")
     n = own.groupBy(F.least("ta", "tb").alias("type_a"), F.greatest("ta", "tb").alias("type_b")).agg(F.count("*").alias("n"))
     return n.orderBy(F.desc("n"), "type_a", "type_b").limit(k)
+
+
+def stability_summary(cosines: DataFrame, least: int = 10) -> DataFrame:
+    """Mean of ``half_stability``, 0 for fewer than ``least`` users."""
+    own = cosines.agg(F.avg("cosine").alias("m"), F.count("*").alias("n_users"))
+    return own.select(F.when(F.col("n_users") >= least, F.col("m")).otherwise(0.0).alias("stability"), "n_users")
+
+
+def value_index(distances: DataFrame, dist: DataFrame) -> DataFrame:
+    """How much users differ over how varied each is: mean distance over mean entropy, 0 without any."""
+    both = distances.agg(F.avg("distance").alias("mean_distance")).crossJoin(F.broadcast(entropy_summary(dist)))  # one row each
+    index = F.when(F.col("mean_entropy") > 0, F.col("mean_distance") / F.col("mean_entropy")).otherwise(0.0)
+    return both.select("mean_distance", "mean_entropy", index.alias("value_index"))
+
+
+def coherence_by_bracket(each: DataFrame) -> DataFrame:
+    """Mean and population deviation of ``coherence`` by activity bracket."""
+    return each.groupBy(bracket(F.col("n")).alias("bracket")).agg(F.avg("coherence").alias("mean_coherence"), F.stddev_pop("coherence").alias("sd_coherence"), F.count("*").alias("n_users"))
+
+
+def cka_matrix(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, cka) of all pairs of vector columns, each pair once and with itself."""
+    parts = [linear_cka(rows, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "cka") for k, a in enumerate(columns) for b in columns[k:]]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def separation(history: DataFrame, truth: DataFrame, vectors: DataFrame, negatives: int = 50, seed: int = 42) -> DataFrame:
+    """AUC of later purchases against articles that a user never bought, by inner product with
+    the user's centroid, and both means.
+
+    Negatives are drawn by hash, twice as many as needed, and those bought are left out; a user
+    who bought much of the catalogue has fewer.
+    """
+    users = centroids(history, vectors).select("customer_id", "centroid")
+    wanted = truth.select("customer_id", "article_id").distinct().join(users, "customer_id", "left_semi")
+    items = placed(vectors.select("article_id"), F.col("article_id"), to="_k")
+    n = items.count()
+    draws = wanted.select("customer_id").distinct().select("customer_id", F.explode(F.sequence(F.lit(0), F.lit(2 * negatives - 1))).alias("_draw"))
+    draws = draws.withColumn("_k", F.pmod(F.xxhash64("customer_id", "_draw", F.lit(seed)), F.lit(n))).join(items, "_k")
+    known = history.select("customer_id", "article_id").unionByName(truth.select("customer_id", "article_id")).distinct()
+    first = draws.groupBy("customer_id", "article_id").agg(F.min("_draw").alias("_draw")).join(known, ["customer_id", "article_id"], "left_anti")
+    place = F.row_number().over(W.partitionBy("customer_id").orderBy("_draw"))
+    chosen = first.withColumn("_p", place).where(F.col("_p") <= negatives).select("customer_id", "article_id", F.lit(0).alias("label"))
+    both = wanted.withColumn("label", F.lit(1)).unionByName(chosen).join(users, "customer_id").join(vectors.select("article_id", "v"), "article_id")
+    scored = both.select("label", C.dot(F.col("centroid"), F.col("v")).alias("score"))
+    means = scored.agg(F.avg(F.when(F.col("label") == 1, F.col("score"))).alias("mean_positive"), F.avg(F.when(F.col("label") == 0, F.col("score"))).alias("mean_negative"))
+    return auc(scored).crossJoin(F.broadcast(means))  # one row each

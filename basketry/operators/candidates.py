@@ -144,3 +144,24 @@ def stratified(rows: DataFrame, label: str, id: str, each: int, total: int | Non
     if total is None:
         return own.where(F.col("_k") <= each).drop("_k")
     return own.orderBy(F.when(F.col("_k") <= each, 0).otherwise(1), order, id).limit(total).drop("_k")
+
+
+def candidate_arrays(candidates: DataFrame, users: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """(user_idx, items, scores): for each of ``users`` (customer_id, user_idx) the indices of
+    the k best known articles (``items``: article_id, item_idx) and their scores, zeros behind."""
+    place = F.row_number().over(W.partitionBy("customer_id").orderBy(F.desc("score"), "article_id"))
+    best = candidates.join(items.select("article_id", "item_idx"), "article_id").withColumn("_p", place).where(F.col("_p") <= k)
+    own = best.groupBy("customer_id").agg(F.array_sort(F.collect_list(F.struct("_p", "item_idx", "score"))).alias("_x"))
+    here = F.coalesce("_x", F.array().cast(own.schema["_x"].dataType))
+    padded = lambda c, zero: F.concat(F.transform(here, lambda x: x[c]), F.array_repeat(F.lit(zero), k - F.size(here)))
+    return users.join(own, "customer_id", "left").select("user_idx", padded("item_idx", 0).alias("items"), padded("score", 0.0).alias("scores"))
+
+
+def sampled(rows: DataFrame, n: int, id: str, seed: int = 42) -> DataFrame:
+    """n rows in hash order: the same for every run."""
+    return rows.orderBy(F.xxhash64(id, F.lit(seed)), id).limit(n)
+
+
+def steps(rows: int, batch: int) -> int:
+    """Full batches of an epoch."""
+    return rows // batch

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
+
 
 def normalized_edges(txn: DataFrame) -> DataFrame:
     """(customer_id, article_id, weight): distinct purchases weighted by one over the root of
@@ -38,14 +42,42 @@ def pairwise_loss(positive: Column, negative: Column) -> Column:
     return F.log1p(F.exp(-F.abs(positive - negative))) + F.greatest(negative - positive, F.lit(0.0))
 
 
+def l2_penalty(a: Column, b: Column, weight: float) -> Column:
+    """Mean over rows of weight * (|a|^2 + |b|^2) / 2 of two vector columns; an aggregate."""
+    return F.lit(weight) * F.avg(C.dot(a, a) + C.dot(b, b)) / 2
+
+
+def align_loss(a: Column, b: Column) -> Column:
+    """Mean squared difference of two vector columns over rows and dimensions; an aggregate."""
+    d = F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
+    return F.sum(C.dot(d, d)) / F.sum(F.size(a))
+
+
+def diversity_loss(a: Column, b: Column) -> Column:
+    """Mean cosine of two vector columns; an aggregate."""
+    return F.avg(C.dot(a, b) / ((C.norm(a) + 1e-8) * (C.norm(b) + 1e-8)))
+
+
+def expert_block(rows: DataFrame, facts: str, reasons: str, fact_gate: str, reason_gate: str, to: str = "experts") -> DataFrame:
+    """``rows`` with one array of both experts' outputs and their two gates behind."""
+    return rows.withColumn(to, F.concat(*[F.col(c).cast("array<double>") for c in (facts, reasons)], F.array(F.col(fact_gate).cast("double"), F.col(reason_gate).cast("double"))))
+
+
 def als_recommendations(txn: DataFrame, k: int = 12, rank: int = 16, seed: int = 42) -> DataFrame:
     """(customer_id, article_id, score, place) by implicit ALS, bought articles left out."""
     from pyspark.ml.recommendation import ALS
 
     counts = txn.groupBy("customer_id", "article_id").agg(F.count("*").cast("float").alias("n")).select(F.col("customer_id").cast("int"), F.col("article_id").cast("int"), "n")
     model = ALS(userCol="customer_id", itemCol="article_id", ratingCol="n", implicitPrefs=True, rank=rank, maxIter=5, seed=seed, coldStartStrategy="drop").fit(counts)
-    most = counts.groupBy("customer_id").count().agg(F.max("count")).first()[0] or 0
-    recs = model.recommendForAllUsers(k + int(most)).select("customer_id", F.explode("recommendations").alias("r")).select("customer_id", "r.article_id", F.col("r.rating").alias("score"))
+    # users are asked in classes of like basket, so that a heavy one costs the others nothing
+    baskets = counts.groupBy("customer_id").agg(F.ceil(F.log2(F.count("*") + 1)).cast("int").alias("class"))
+    parts = []
+    for (size,) in sorted(baskets.select("class").distinct().collect()):  # a few dozen at most
+        some = baskets.where(F.col("class") == size).select("customer_id")
+        parts.append(model.recommendForUserSubset(some, k + (1 << size)))
+    if not parts:
+        return counts.select("customer_id", "article_id", F.col("n").alias("score"), F.lit(1).alias("place")).where("false")
+    recs = reduce(DataFrame.unionByName, parts).select("customer_id", F.explode("recommendations").alias("r")).select("customer_id", "r.article_id", F.col("r.rating").alias("score"))
     fresh = recs.join(counts, ["customer_id", "article_id"], "left_anti")
     place = F.row_number().over(W.partitionBy("customer_id").orderBy(F.desc("score"), "article_id"))
     return fresh.withColumn("place", place).where(F.col("place") <= k)

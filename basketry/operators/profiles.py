@@ -71,6 +71,19 @@ def recent_items(txn: DataFrame, k: int = 20, users: DataFrame | None = None) ->
     return own.withColumn("place", place).where(F.col("place") <= k)
 
 
+def recent_with_facts(txn: DataFrame, articles: DataFrame, facts: DataFrame, columns: list[str], k: int = 20, users: DataFrame | None = None) -> DataFrame:
+    """``recent_items`` with the article's type and its facts; purchases of articles without
+    either stay, with nulls."""
+    own = recent_items(txn, k, users).join(articles.select("article_id", "product_type_name"), "article_id", "left")
+    return own.join(facts.select("article_id", *columns), "article_id", "left").select("customer_id", "place", "article_id", "t_dat", "product_type_name", *columns)
+
+
+def recent_lists(recent: DataFrame, columns: list[str], user: str = "customer_id") -> DataFrame:
+    """(user, items): structs of ``columns`` in order of place, nulls kept, so that all fields stay aligned."""
+    items = F.array_sort(F.collect_list(F.struct("place", *columns)))
+    return recent.groupBy(user).agg(F.transform(items, lambda x: F.struct(*[x[c].alias(c) for c in columns])).alias("items"))
+
+
 def style_profiles(txn: DataFrame, facts: DataFrame, columns: list[str], by: str | None = "super_category") -> DataFrame:
     """(customer_id, scope, attribute, value, p): shares of attribute values of a user's
     purchases, over all (``shared``) and within each value of ``by``."""

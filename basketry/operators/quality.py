@@ -106,3 +106,14 @@ def judge_summary(scores: DataFrame, dimensions: list[str], passing: float = 3.5
     own = scores.select(*[c.alias(d) for d, c in held.items()])
     mean = reduce(lambda a, b: a + b, [F.col(d) for d in dimensions]) / len(dimensions)
     return own.agg(*[F.avg(d).alias(d) for d in dimensions], F.avg(F.when(mean >= passing, 1.0).otherwise(0.0)).alias("pass_rate"), F.count("*").alias("n"))
+
+
+def report(parts: dict[str, DataFrame]) -> DataFrame:
+    """(part, what, value): measures of several reports, each (what, value), in one table."""
+    own = [df.select(F.lit(name).alias("part"), F.col("what").cast("string").alias("what"), F.col("value").cast("double").alias("value")) for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, own)
+
+
+def as_measures(row: DataFrame) -> DataFrame:
+    """(what, value) of the columns of a one-row table."""
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("double").alias("value")) for c in row.columns])).alias("x")).select("x.*")

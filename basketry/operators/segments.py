@@ -31,13 +31,15 @@ def profile_vectors(profiles: DataFrame, maps: dict[str, list[str]], user: str =
     return profiles.select(user, F.array(*parts, clean("online_ratio", 0.5), clean("diversity", 0.0)).alias("vector"))
 
 
-def attribute_vectors(txn: DataFrame, facts: DataFrame, enums: dict[str, list[str]], lists: dict[str, list[str]], means: list[str], user: str = "customer_id") -> DataFrame:
+def attribute_vectors(txn: DataFrame, facts: DataFrame, enums: dict[str, list[str]], lists: dict[str, list[str]], means: list[str], raw: dict[str, list[str]] | None = None, user: str = "customer_id") -> DataFrame:
     """(user, vector): shares of enum and list values among a user's purchases, each section
-    summing to 1 or 0, and means of 1-to-5 scales over 5 (missing: 0.5); one aggregation."""
-    own = txn.join(facts, "article_id", "left").select(user, *enums, *means, *[C.json_list(F.col(c)).alias(c) for c in lists])
+    summing to 1 or 0, means of 1-to-5 scales over 5 (missing: 0.5) and plain counts of the
+    list values of ``raw``; one aggregation."""
+    raw = raw or {}
+    own = txn.join(facts, "article_id", "left").select(user, *enums, *means, *[C.json_list(F.col(c)).alias(c) for c in {**lists, **raw}])
     one = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("double")
     sums = {f"{c}_{k}": one(F.col(c) == v) for c, vs in enums.items() for k, v in enumerate(vs)}
-    sums |= {f"{c}_{k}": one(F.array_contains(c, v)) for c, vs in lists.items() for k, v in enumerate(vs)}
+    sums |= {f"{c}_{k}": one(F.array_contains(c, v)) for c, vs in {**lists, **raw}.items() for k, v in enumerate(vs)}
     sums |= {f"{c}_mean": F.coalesce(F.avg(c) / 5, F.lit(0.5)) for c in means}
     agg = own.groupBy(user).agg(*[v.alias(k) for k, v in sums.items()])
 
@@ -46,7 +48,7 @@ def attribute_vectors(txn: DataFrame, facts: DataFrame, enums: dict[str, list[st
         return [F.when(total > 0, F.col(f"{c}_{k}") / total).otherwise(0.0) for k in range(n)]
 
     parts = [x for c, vs in (enums | lists).items() for x in section(c, len(vs))]
-    return agg.select(user, F.array(*parts, *[F.col(f"{c}_mean") for c in means]).alias("vector"))
+    return agg.select(user, F.array(*parts, *[F.col(f"{c}_mean") for c in means], *[F.col(f"{c}_{k}") for c, vs in raw.items() for k in range(len(vs))]).alias("vector"))
 
 
 def statistics(rows: DataFrame, label: str, columns: list[str]) -> DataFrame:

@@ -37,7 +37,8 @@ def split_statistics(d: Dialect) -> str:
 
 @plan
 def activity_groups(d: Dialect) -> str:
-    return """SELECT customer_id, count(*) AS n, CASE WHEN count(*) >= 5 THEN 'active' ELSE 'sparse' END AS activity FROM train GROUP BY customer_id"""
+    active, sparse = 30, 12  # least numbers of purchases; users below the second are left out
+    return f"""SELECT customer_id, count(*) AS n, CASE WHEN count(*) >= {active} THEN 'active' ELSE 'sparse' END AS activity FROM train GROUP BY customer_id HAVING count(*) >= {sparse}"""
 
 
 @plan
@@ -176,10 +177,14 @@ def user_recency(d: Dialect) -> str:
 
 @plan
 def dashboard(d: Dialect) -> str:
-    return """SELECT (SELECT count(*) FROM txn) AS n, (SELECT count(DISTINCT customer_id) FROM txn) AS users, (SELECT count(DISTINCT article_id) FROM txn) AS items,
-        (SELECT count(*) FROM customers) AS customers, (SELECT count(*) FROM articles) AS articles, (SELECT count(*) FROM articles WHERE index_name IS NULL) AS no_index,
-        (SELECT count(*) FROM customers WHERE customer_id NOT IN (SELECT customer_id FROM txn)) AS never_bought,
-        (SELECT count(*) FROM articles WHERE article_id NOT IN (SELECT article_id FROM txn)) AS never_sold"""
+    parts = ("train", "val", "test")
+    users = ", ".join(f"{p}_u AS (SELECT DISTINCT customer_id AS k FROM {p})" for p in parts)
+    items = ", ".join(f"{p}_i AS (SELECT DISTINCT article_id AS k FROM {p})" for p in parts)
+    count = lambda what, name: f"(SELECT count(*) FROM {what}) AS {name}"
+    counts = [count(f"{p}_u", f"{p}_users") for p in parts] + [count(f"{p}_i", f"{p}_items") for p in parts]
+    for p in parts[1:]:
+        counts += [count(f"train_u WHERE k IN (SELECT k FROM {p}_u)", f"train_{p}_users"), count(f"{p}_u WHERE k NOT IN (SELECT k FROM train_u)", f"{p}_new_users"), count(f"{p}_i WHERE k NOT IN (SELECT k FROM train_i)", f"{p}_new_items")]
+    return f"WITH {users}, {items} SELECT {', '.join(counts)}"
 
 
 @plan
@@ -220,6 +225,12 @@ def coverage_cube(d: Dialect) -> str:
         SELECT coalesce(facts, 'all') AS facts, coalesce(idx, 'all') AS idx, count(*) AS n FROM a GROUP BY CUBE (facts, idx)"""
 
 
+@plan
+def missing_types(d: Dialect) -> str:
+    return """WITH m AS (SELECT a.product_type_name AS type FROM articles a LEFT JOIN fk f ON a.article_id = f.article_id WHERE f.article_id IS NULL), n AS (SELECT type, count(*) AS n FROM m GROUP BY type)
+        SELECT type, n, round(n * 1e0 / (SELECT count(*) FROM m), 6) AS share FROM n ORDER BY n DESC, type LIMIT 10"""
+
+
 @plan
 def co_occurrence(d: Dialect) -> str:
     return """WITH u AS (SELECT DISTINCT t.customer_id, a.section_name AS s FROM txn t JOIN articles a ON t.article_id = a.article_id),
@@ -262,8 +273,9 @@ def lifespan_by_type(d: Dialect) -> str:
 
 @plan
 def text_statistics(d: Dialect) -> str:
+    words = "length(trim(text)) - length(replace(trim(text), ' ', '')) + 1"
     return f"""SELECT count(*) AS n, round(avg(CASE WHEN text IS NULL THEN 1e0 ELSE 0e0 END), 6) AS nulls, round(avg(CASE WHEN length(text) < 20 THEN 1e0 ELSE 0e0 END), 6) AS short,
-        round(avg(CASE WHEN length(text) > 100 THEN 1e0 ELSE 0e0 END), 6) AS long, {d.percentile("length(text)", 0.5)} AS median_chars FROM documents"""
+        round(avg(CASE WHEN length(text) > 100 THEN 1e0 ELSE 0e0 END), 6) AS long, {d.percentile("length(text)", 0.5)} AS median_chars, {d.percentile(words, 0.5)} AS median_words FROM documents"""
 
 
 @plan

@@ -106,3 +106,35 @@ def image_paths(articles: DataFrame, id: str = "article_id") -> DataFrame:
 def encoded_images(files: DataFrame) -> DataFrame:
     """(path, content) of a binaryFile scan as base64 text."""
     return files.select("path", F.base64("content").alias("content"))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header; lists, maps and structs as JSON text."""
+    as_json(df).write.mode("overwrite").csv(path, header=True)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    return spark.read.json(path, schema=schema, mode="FAILFAST")
+
+
+def processed(rows: DataFrame, work, key: str, path: str, batches: int = 10) -> DataFrame:
+    """Results of ``work`` on all ``rows``, kept under ``path`` in parts by hash of ``key``; a
+    run that is taken up again does only rows whose key has no result yet."""
+    spark = rows.sparkSession
+    for k in range(batches):
+        part = rows.where(F.pmod(F.xxhash64(key), F.lit(batches)) == k)
+        done = _existing(spark, path)
+        if done is not None:
+            part = pending(part, done, key)
+        work(part).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    return spark.read.parquet(path) if there else None

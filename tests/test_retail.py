@@ -266,3 +266,67 @@ def test_entry_stands_without_the_corpus_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and set(e.oracle_sql()) <= set(q) and not any(k.startswith('op') for k in q)"], cwd=tmp_path, capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
+
+
+def test_separation_draws_what_was_never_bought(spark):
+    v = spark.createDataFrame([(k, [float(k < 20), float(k >= 20)]) for k in range(60)], "article_id long, v array<double>")
+    history = spark.createDataFrame([(u, k) for u in range(5) for k in range(u, u + 8)], "customer_id long, article_id long")
+    truth = spark.createDataFrame([(u, 15 + k) for u in range(5) for k in range(3)], "customer_id long, article_id long")
+    r = analysis.separation(history, truth, v, negatives=10).first()
+    assert r.n_positive == 15 and 0 < r.n_negative <= 50 and r.auc > 0.7 and r.mean_positive == 1.0 and r.mean_negative < 0.8
+    again = analysis.separation(history, truth, v, negatives=10).first()
+    assert r == again
+
+
+def test_gini_spearman_and_places_over_many_ranges(spark):
+    import random as rnd
+
+    rng = rnd.Random(3)
+    rows = [(k, rng.randrange(1, 9), float(rng.randrange(5))) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, n long, p double").repartition(7)
+    c = sorted(n for _, n, _ in rows)
+    want = 2 * sum((i + 1) * x for i, x in enumerate(c)) / (len(c) * sum(c)) - (len(c) + 1) / len(c)
+    assert abs(analysis.gini(df, "n").first().gini - want) < 1e-12
+    assert abs(analysis.spearman(df, "n", "n").first().rho - 1) < 1e-12
+    got = [(r.id, r.place, r.share) for r in analysis.pareto(df, "id", "n").orderBy("place").collect()]
+    order, upto = sorted(rows, key=lambda x: (-x[1], x[0])), 0
+    for (k, n, _), (i, place, share), at in zip(order, got, range(1, 301), strict=True):
+        upto += n
+        assert (k, at) == (i, place) and abs(share - upto / sum(c)) < 1e-12
+
+
+def test_csv_json_and_resumed_results(spark, tmp_path):
+    df = spark.createDataFrame([("007", [1, 2], 1.5), ("008", None, None)], "id string, items array<int>, x double")
+    tables.write_csv(df, f"{tmp_path}/c")
+    assert sorted(map(tuple, tables.read_csv(spark, f"{tmp_path}/c", "id string, items string, x double").collect()))[0] == ("007", "[1,2]", 1.5)
+    tables.write_json(df, f"{tmp_path}/j")
+    assert sorted(tables.read_json(spark, f"{tmp_path}/j", df.schema).collect()) == sorted(df.collect())
+    rows = spark.range(40).withColumnRenamed("id", "k")
+    done = []
+
+    def work(part):
+        done.extend(r.k for r in part.collect())
+        return part.withColumn("twice", F.col("k") * 2)
+
+    rows.where("k < 10").withColumn("twice", F.col("k") * 2).write.parquet(f"{tmp_path}/r")  # a run that was broken off
+    out = tables.processed(rows, work, "k", f"{tmp_path}/r", 4)
+    assert sorted(map(tuple, out.collect())) == [(k, 2 * k) for k in range(40)] and sorted(done) == list(range(10, 40))
+
+
+def test_loose_operators(spark):
+    assert candidates.steps(105, 10) == 10
+    df = spark.range(100)
+    a = [r.id for r in candidates.sampled(df, 7, "id").collect()]
+    assert a == [r.id for r in candidates.sampled(df.repartition(5), 7, "id").collect()] and len(set(a)) == 7
+    raw = spark.createDataFrame([("1", None), ("2", "x")], "article_id string, detail_desc string")
+    assert [r.detail_desc for r in tables.cleaned_articles(raw).orderBy("article_id").collect()] == ["", "x"]
+    files = spark.createDataFrame([("a.jpg", bytearray(b"abc"))], "path string, content binary")
+    assert tables.encoded_images(files).first().content == "YWJj"
+    from basketry.operators import attributes, profiles
+
+    means = spark.createDataFrame([(None,), (1.5,), (3.0,), (4.25,)], "m double")
+    assert [r[0] for r in means.select(profiles.quality_words(F.col("m"))).collect()] == ["Insufficient data", "budget (1.5)", "mid-range (3.0)", "premium (4.3)"]
+    hot = attributes.one_hot(spark.createDataFrame([('["a","b"]',), (None,)], "m string"), "m", ["a", "c"]).collect()
+    assert [(r.m_a, r.m_c) for r in hot] == [(1, 0), (0, 0)]
+    pair = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0])], "a array<double>, b array<double>")
+    assert abs(pair.select(C.cosine(F.col("a"), F.col("b"))).first()[0] - 24 / 25) < 1e-6
