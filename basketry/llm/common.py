@@ -33,6 +33,11 @@ def _file_system(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
+def place_of(docs: DataFrame) -> tuple[str, str]:
+    """Names of the columns that ``placed`` has added."""
+    return docs._basketry_place
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` with the scheme and authority that Hadoop gives it."""
     files, hadoop = _file_system(spark, path)
@@ -97,12 +102,15 @@ def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     return out
 
 
-def placed(docs: DataFrame, file: str = "__file", at: str = "__at") -> DataFrame:
+def placed(docs: DataFrame) -> DataFrame:
     """``docs`` with the place of each row: a hash of its file's path and its number in the
-    file, the same at every reading. What isn't a plain table of files is stored first."""
+    file, the same at every reading, in two columns whose names ``place_of`` tells. What isn't
+    a plain table of files is stored first."""
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
         docs = stored(docs, "rows")
+    file, at = free(docs, "__file"), free(docs, "__at")
     out = docs.withColumns({file: F.xxhash64("_metadata.file_path"), at: F.col("_metadata.row_index")})
+    out._basketry_place = file, at
     if hasattr(docs, "_basketry_path"):
         out._basketry_path = docs._basketry_path
     return out

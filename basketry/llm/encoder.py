@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 #: from which pieces are not kept after their text.
 MOST_PIECES, MOST_IDS, MOST_CHARS = 200_000, 1 << 21, 64
 #: Pieces that a table of a column encoder holds.
-MOST_WORDS = 300_000
+MOST_WORDS = 200_000
 #: Letters of the Latin blocks, whose lower case is one letter (all but U+0130), and the marks
 #: that may stand behind them.
 LATIN, MARKS = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]+", ",.;:!?"

@@ -1,17 +1,21 @@
-"""Near-duplicates by word shingles: an exact join of shingle sets on their Jaccard similarity.
+"""Word shingle sets of whole texts, and an exact join of them on their Jaccard similarity.
 
 Shingles have one order for all texts, in which those that a sample finds in many texts come
 last. Two sets whose similarity reaches ``least`` share a shingle among the first
 size - ceil(least * size) + 1 of each (prefix filter), and at their first shared one enough
-others follow in both (position filter). So every such pair meets and nothing is missed; those
-that meet are verified on their whole sets. Equal sets count as one from the start. Each prefix
-shingle first links its texts to one of them, so a dense group of near copies becomes a component
-at linear cost; then all pairs that meet across components are verified as well.
+others follow in both (position filter). So every such pair meets and nothing is missed. Those
+that meet are compared by bitmaps first: a bit tells whether an odd number of a set's shingles
+has its hash, so two bitmaps differ in at most as many bits as the sets in shingles. Those that
+may still reach ``least`` are verified on their whole sets. Equal sets count as one from the start. Pairs that
+are known to be likely (of like fingerprints, say) and one star for each prefix shingle link
+most texts at linear cost; then all pairs that meet across components are verified as well.
+
+Rows are told apart by their place in the table's files, so no text is stored or shuffled but
+those that are verified.
 
 Defined cases: null, empty or blank texts have the empty set and equal each other; a text of
 fewer words than a shingle is one shingle; repeated rows and repeated ids are rows of their own;
-an empty table gives no rows. Columns ``__row``, ``__size``, ``__digest`` and ``__prefix`` of the
-input give way.
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,16 +33,24 @@ from . import common
 
 #: Texts of the sample that orders the shingles (the order changes the cost, not the result);
 #: its shingles with so many texts at least come last; so many of them at most.
-SAMPLE, COMMON_TEXTS, MOST_COMMON = 5_000, 5, 100_000
-#: Ids (8 bytes each) up to which the nodes to be verified, and the keys of several sets, are
-#: broadcast; beyond that the larger side is shuffled.
-BROADCAST_IDS = 2_000_000
-#: Pairs of texts in an Arrow batch of the verification.
-PAIR_ROWS = "100"
+SAMPLE, COMMON_TEXTS, MOST_COMMON = 20_000, 3, 300_000
+#: Rows of two numbers up to which nodes to be verified and rows to be dropped are broadcast;
+#: beyond that both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+#: Pairs of texts that the verification takes at a time.
+PAIR_ROWS = 100
+#: Bits of a bitmap as powers of two: of sets up to so many shingles, and of larger ones.
+SMALL_SET, SMALL_LOG, LARGE_LOG = 800, 10, 13
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if its size is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
-    """Distinct XXH64 of the word shingles (A-Z lower-cased), ascending. No words: none."""
+def shingle_hashes(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """XXH64 of the word shingles (A-Z lower-cased) in order, repeats included. No words: none."""
+    # bytes.lower and bytes.split know exactly A-Z and U+0020, U+0009..U+000D
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -49,7 +61,19 @@ def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarra
     last = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[: len(words) - last + 1].tolist(), ends[last - 1 :].tolist(), strict=True)
-    return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(words) - last + 1))
+    return np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(words) - last + 1)
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Distinct hashes, ascending."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """Parity of the number of hashes for each value of their first bits."""
+    log = SMALL_LOG if len(own) <= SMALL_SET else LARGE_LOG
+    odd = np.bincount((own >> np.uint64(64 - log)).astype(np.int64), minlength=1 << log) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def common_shingles(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +87,11 @@ def common_shingles(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarra
 
     own = docs.select(text)
     own = own.sample(SAMPLE / n, seed=42) if n > SAMPLE else own
-    counts = own.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON_TEXTS)
-    rows = sorted((h % (1 << 64), c) for h, c in counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect())
-    return np.array([h for h, _ in rows], np.uint64), np.array([c for _, c in rows], np.int64)
+    counts = common.mapped(own, run, "h long").groupBy("h").count().where(F.col("count") >= COMMON_TEXTS)
+    top = counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).toArrow()  # 16 bytes each
+    own, texts = top.column("h").to_numpy().view(np.uint64), top.column("count").to_numpy()
+    order = np.argsort(own)
+    return own[order], texts[order]
 
 
 def prefix(own: np.ndarray, often: np.ndarray, texts: np.ndarray, least: float) -> np.ndarray:
@@ -80,22 +106,31 @@ def prefix(own: np.ndarray, often: np.ndarray, texts: np.ndarray, least: float)
     return own[:take]
 
 
-def keyed(docs: DataFrame, text: str, shingle: int, least: float) -> DataFrame:
-    """``docs`` with ``__row``, ``__size`` and ``__digest`` of its set, and its ``__prefix``, stored."""
-    common.small_batches(docs.sparkSession)
+def keyed(docs: DataFrame, text: str, id: str, shingle: int, least: float, fingerprint) -> DataFrame:
+    """A row for each of ``docs`` (as from ``placed``), stored: its place (file, at), ``row``
+    (a number), id, size and digest of its set, its prefix, its bitmap and ``fingerprint(hashes)``."""
     often, texts = common_shingles(docs, text, shingle)
-    own = docs.withColumn("__row", F.monotonically_increasing_id()).drop("__size", "__digest", "__prefix")
-    at, names = own.columns.index(text), [*own.columns, "__size", "__digest", "__prefix"]
+    file, at = common.place_of(docs)
+    own = docs.select(F.col(file).alias("file"), F.col(at).alias("at"), F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), F.col(text).alias("text"))
+    names = ["file", "at", "row", "id", "size", "digest", "prefix", "bits", "fp"]
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(x.as_py(), shingle) for x in batch.column(at)]
-            digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            firsts = pa.array([prefix(s, often, texts, least).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(s) for s in sets], pa.int32()), digests, firsts], names)
-
-    schema = T.StructType([*own.schema.fields, T.StructField("__size", T.IntegerType()), T.StructField("__digest", T.BinaryType()), T.StructField("__prefix", T.ArrayType(T.LongType()))])
-    return common.stored(own.mapInArrow(run, schema), "shingles")
+            sizes, digests, firsts, bits, prints = [], [], [], [], []
+            for x in batch.column(4):
+                hashes = shingle_hashes(x.as_py(), shingle)
+                prints.append(fingerprint(hashes))
+                hashes = np.unique(hashes)
+                sizes.append(len(hashes))
+                digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                firsts.append(prefix(hashes, often, texts, least).view(np.int64))
+                bits.append(bitmap(hashes))
+            new = [pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), *[pa.array(x, pa.list_(pa.int64())) for x in (firsts, bits)], pa.array(np.array(prints, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *new], names)
+
+    kinds = (T.IntegerType(), T.BinaryType(), T.ArrayType(T.LongType()), T.ArrayType(T.LongType()), T.LongType())
+    schema = T.StructType([*own.schema.fields[:4], *(T.StructField(n, k) for n, k in zip(names[4:], kinds, strict=True))])
+    return common.stored(common.mapped(own, run, schema), "shingles")
 
 
 def may_reach(size: Column, pos: Column, other_size: Column, other_pos: Column, least: float) -> Column:
@@ -104,17 +139,31 @@ def may_reach(size: Column, pos: Column, other_size: Column, other_pos: Column,
     return F.least(size - pos, other_size - other_pos) >= need
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets reach ``least``, stored; ``texts``: (node, text)."""
-    spark = pairs.sparkSession
-    pairs = common.stored(pairs, "meeting")
-    ids = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
-    texts = common.stored(texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi"), "texts")
+def bitmaps_allow(least: float) -> Column:
+    """Whether sets with ``a_size``, ``a_bits`` and ``b_size``, ``b_bits`` may reach ``least``;
+    bitmaps of unlike length tell nothing."""
+    each = F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(each, F.lit(0), lambda n, x: n + x)
+    few = F.lit((1 - least) / (1 + least)) * (F.col("a_size") + F.col("b_size")) + 1e-9
+    return F.when(F.size("a_bits") == F.size("b_bits"), differ <= few).otherwise(True)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text: str, shingle: int, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: nodes) whose sets reach ``least``, stored. ``sets``: node, size
+    and bits of all, and the place (file, at) of the text in ``docs``."""
+    a, b = sets.select(*[F.col(x).alias(y) for x, y in (("node", "a"), ("size", "a_size"), ("bits", "a_bits"))]), sets.select(*[F.col(x).alias(y) for x, y in (("node", "b"), ("size", "b_size"), ("bits", "b_bits"))])
+    pairs = common.stored(pairs.join(a, "a").join(b, "b").where(bitmaps_allow(least)).select("a", "b"), "meeting")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = common.stored(sets.select("node", "file", "at").join(small(common.stored(ids, "ids")), "node"), "places")
+    file, at = common.place_of(docs)
+    own = docs.select(F.col(file).alias("file"), F.col(at).alias("at"), F.col(text).alias("text"))
+    texts = common.stored(own.join(small(ids), ["file", "at"]).select("node", "text"), "texts")
 
     def run(batches):
+        before, own = None, None
         for batch in batches:
             a, b, x, y = (batch.column(k) for k in range(4))
-            near, before, own = np.zeros(batch.num_rows, bool), None, None
+            near = np.zeros(batch.num_rows, bool)
             for k in range(batch.num_rows):
                 if (node := a[k].as_py()) != before:
                     before, own = node, shingle_set(x[k].as_py(), shingle)
@@ -123,28 +172,35 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
                 near[k] = both >= least * (len(own) + len(other) - both) - 1e-9
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(near))
 
-    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", PAIR_ROWS)
-    out = common.stored(both.mapInArrow(run, "a long, b long"), "near")
-    common.small_batches(spark)
+    both = pairs.join(texts.toDF("b", "y"), "b").join(texts.toDF("a", "x"), "a").select("a", "b", "x", "y")
+    out = common.stored(common.mapped(both, run, "a long, b long", PAIR_ROWS), "near")
+    common.forget(texts)
     return out
 
 
-def clusters(own: DataFrame, text: str, shingle: int, least: float) -> DataFrame:
-    """(__row, __root) of every row of ``own`` (as from ``keyed``): the same root for rows
-    that chains of pairs of similarity ``least`` or more connect."""
-    nodes = common.stored(own.groupBy("__digest").agg(F.min("__row").alias("node")), "sets")
-    sets = own.join(nodes.select(F.col("node").alias("__row")), "__row", "left_semi")
-    keys = sets.select(F.col("__row").alias("node"), F.col("__size").alias("size"), F.posexplode("__prefix").alias("pos", "key"))
-    # most keys are of one set: they go before anything but the key itself is shuffled with them
-    shared = common.stored(keys.groupBy("key").count().where("count > 1").select("key"), "shared")
-    keys = common.stored(keys.join(F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared, "key", "left_semi"), "keys")
+def clusters(own: DataFrame, docs: DataFrame, text: str, shingle: int, least: float, likely=None) -> DataFrame:
+    """(row, root) of every row of ``own`` (as from ``keyed``; it is deleted): the same root for rows that
+    chains of pairs of similarity ``least`` or more connect. ``likely(sets)`` may give pairs
+    (a, b) of nodes to begin with; they are verified like all others."""
+    nodes = common.stored(own.groupBy("digest").agg(F.min("row").alias("node")), "nodes")
+    sets = common.stored(own.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"), "sets")
+    rows, own = own, common.stored(own.select("row", "digest"), "digests")
+    common.forget(rows)
+    keys = sets.select("node", "size", F.posexplode("prefix").alias("pos", "key"))
+    # most keys are of one set: they go before anything but the key itself is shuffled with them;
+    # the others grow with the table and are never broadcast
+    shared = keys.groupBy("key").count().where("count > 1").select("key")
+    keys = common.stored(keys.join(shared.hint("merge"), "key", "left_semi"), "keys")
+    every, sets = sets, common.stored(sets.drop("prefix", "digest"), "nodes")
+    common.forget(every)
     meet = keys.join(keys.groupBy("key").agg(F.min(F.struct("node", "size", "pos")).alias("c")), "key")
-    texts = own.select(F.col("__row").alias("node"), F.col(text).alias("text"))
 
     star = meet.where(F.col("node") != F.col("c.node")).where(may_reach(F.col("size"), F.col("pos"), F.col("c.size"), F.col("c.pos"), least))
-    star = common.stored(star.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    first = common.components(verified(star, texts, shingle, least))
+    star = star.select(F.col("c.node").alias("a"), F.col("node").alias("b"))
+    if likely is not None:
+        star = star.unionByName(likely(sets).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    star = common.stored(star.distinct(), "star")
+    first = common.components(verified(star, docs, sets, text, shingle, least))
 
     rooted = keys.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
@@ -153,17 +209,13 @@ def clusters(own: DataFrame, text: str, shingle: int, least: float) -> DataFrame
     fits = may_reach(F.col("a_size"), F.col("a_pos"), F.col("b_size"), F.col("b_pos"), least)
     cross = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & fits)
     cross = cross.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    links = verified(cross, texts, shingle, least).unionByName(first.toDF("a", "b"))
-    roots = common.components(links).withColumnRenamed("root", "__root")
-    every = own.select("__row", "__digest").join(nodes, "__digest").join(roots, "node", "left")
-    return every.select("__row", F.coalesce("__root", "node").alias("__root"))
-
-
-def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each group of near copies: that with the least id (nulls
-    last), and of rows that share it the first stored."""
-    own = keyed(docs, text, shingle, least)
-    every = own.select("__row", F.col(id).alias("i")).join(clusters(own, text, shingle, least), "__row")
-    first = F.min(F.struct(F.col("i").isNull().alias("n"), F.col("i").alias("i"), F.col("__row").alias("r"))).alias("k")
-    keep = common.stored(every.groupBy("__root").agg(first).select(F.col("k.r").alias("__row")), "kept")
-    return own.join(keep, "__row", "left_semi").select(*docs.columns)
+    links = verified(cross, docs, sets, text, shingle, least).unionByName(first.toDF("a", "b"))
+    roots = common.components(links)
+    every = own.select("row", "digest").join(nodes, "digest").join(roots, "node", "left")
+    return every.select("row", F.coalesce("root", "node").alias("root"))
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` (as from ``placed``) without the rows at the places of ``dropped`` (file, at)."""
+    place = common.place_of(docs)
+    return docs.join(small(dropped.toDF(*place)), [*place], "left_anti").drop(*place)

@@ -8,9 +8,14 @@ Every fingerprint indexes its own part keys and probes all keys within t_i bits;
 meet are verified on all 64 bits. Meetings give the edges of a spanning forest only, so a
 dense group of n near copies yields at most n - 1 edges for each key and never n^2 pairs.
 
+``component_ids`` links by the fingerprints alone. ``deduplicated`` asks for the similarity of
+the shingle sets: links of fingerprints are candidates there, which are verified on the sets,
+and since sets of that similarity often differ in more bits than a radius can cover, an exact
+join of the sets (``neardup``) finds the others.
+
 Defined cases: null, empty or blank text has fingerprint zero, which links like any other;
 repeated rows and repeated ids are rows of their own with the same component; a null id is
-never the least of a component unless all of it is null; an empty table gives no rows. Columns ``__fp``, ``__root`` and ``__row`` of the input give way.
+never the least of a component unless all of it is null; an empty table gives no rows. Columns of any names pass through.
 """
 
 from __future__ import annotations
@@ -20,14 +25,13 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
+from . import common, neardup
 
-#: Shingles hashed at a time, so that a long text needs bounded memory.
+#: Hashes whose bits are counted at a time.
 CHUNK = 1 << 16
 #: Index rows of one part key that one group holds; keys with more are dealt over blocks.
 BLOCK = 20_000
@@ -37,31 +41,22 @@ MOST_HELD = 400_000
 ROW_COST, PAIR_COST = 1.0, 0.01
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is set if it is set in over half of the hashes. None: 0."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        counts += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash of a whole text: XXH64 of each word shingle (A-Z lower-cased), a bit
-    is set if it is set in over half of the hashes. No words: 0."""
-    # bytes.lower and bytes.split know exactly A-Z and U+0020, U+0009..U+000D
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
-    last = min(shingle, len(words))
-    starts, ends = starts[: len(words) - last + 1], ends[last - 1 :]
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(starts), CHUNK):
-        spans = zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], seed) for a, b in spans], np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(starts), bitorder="little").view(np.uint64)[0])
+    """64-bit SimHash of a whole text from the XXH64 of each word shingle (A-Z lower-cased)."""
+    return fingerprint_of(neardup.shingle_hashes(text, shingle, seed))
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", to: str = "fp", shingle: int = 4) -> DataFrame:
     """All columns of ``docs`` and the fingerprint as a signed long."""
 
-    common.small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != to]
     at = names.index(text)
 
@@ -71,7 +66,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", to: str = "fp", shingl
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*names, to])
 
     schema = T.StructType([*docs.select(*names).schema.fields, T.StructField(to, T.LongType())])
-    return docs.select(*names).mapInArrow(run, schema)
+    return common.mapped(docs.select(*names), run, schema)
 
 
 def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -259,32 +254,45 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
     return rows.mapInArrow(_edges_of(radius, MOST_HELD), "a long, b long")
 
 
-def printed(docs: DataFrame, text: str = "text", shingle: int = 4) -> DataFrame:
-    """``docs`` with ``__fp`` (signed long) and ``__row`` (a number of the row), stored."""
-    return common.stored(with_fingerprint(docs.withColumn("__row", F.monotonically_increasing_id()), text, "__fp", shingle), "prints")
-
-
 def roots(own: DataFrame, radius: int) -> DataFrame:
-    """(__fp, __root) of every fingerprint of ``own``: a fingerprint of its component."""
-    prints = common.stored(own.select(F.col("__fp").alias("fp")).distinct(), "distinct")
+    """(fp, root) of every fingerprint of ``own``: a fingerprint of its component."""
+    prints = common.stored(own.select("fp").distinct(), "distinct")
     linked = common.components(links(prints, radius))
-    return prints.join(linked, prints.fp == linked.node, "left").select(F.col("fp").alias("__fp"), F.coalesce("root", "fp").alias("__root"))
+    return prints.join(linked, prints.fp == linked.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def component_ids(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 4, radius: int = 4) -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id: the least id reachable)."""
-    own = printed(docs.select(id, text), text, shingle).select(id, "__fp")
-    every = common.stored(own.join(roots(own, radius), "__fp"), "clusters")
-    least = every.groupBy("__root").agg(F.min(id).alias("component_id"))
-    fp = F.lpad(F.lower(F.hex("__fp")), 16, "0")
-    return every.join(least, "__root").select(id, fp.alias("fingerprint"), "component_id")
-
-
-def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 5, radius: int = 4) -> DataFrame:
-    """``docs`` with one row of each group of near copies: that with the least id (nulls
-    last), and of rows that share it the first stored."""
-    own = printed(docs, text, shingle)
-    light = own.select(F.col(id).alias("i"), "__fp", "__row")
-    first = F.min(F.struct(F.col("i").isNull().alias("n"), F.col("i").alias("i"), F.col("__row").alias("r"))).alias("k")
-    keep = common.stored(light.join(roots(own, radius), "__fp").groupBy("__root").agg(first).select(F.col("k.r").alias("__row")), "kept")
-    return own.join(keep, "__row", "left_semi").select(*docs.columns)
+    with common.scratch(docs.sparkSession) as keep:
+        own = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+        own = common.stored(with_fingerprint(own, "text", "fp", shingle).select("id", "fp"), "prints")
+        every = keep(common.stored(own.join(roots(own, radius), "fp"), "clusters"))
+    least = every.groupBy("root").agg(F.min("id").alias("component_id"))
+    fp = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return every.join(least, "root").select(F.col("id").alias(id), fp.alias("fingerprint"), "component_id")
+
+
+def likely_pairs(sets: DataFrame, radius: int) -> DataFrame:
+    """(a, b) of ``sets`` (node, fp) whose fingerprints are equal or linked: each with the
+    first of its fingerprint, and the firsts of linked ones."""
+    first = common.stored(sets.groupBy("fp").agg(F.min("node").alias("a")), "firsts")
+    same = sets.join(first, "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    near = links(first.select("fp"), radius).toDF("x", "y")
+    return same.unionByName(near.join(first.toDF("x", "a"), "x").join(first.toDF("y", "b"), "y").select("a", "b"))
+
+
+def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 5, radius: int = 4, least: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group that chains of pairs of similarity ``least`` or more
+    connect: that with the least id (nulls last), and of rows that share it the first."""
+    with common.scratch(docs.sparkSession) as keep:
+        docs = common.placed(docs)
+        if hasattr(docs, "_basketry_path"):
+            keep(docs)
+        own = neardup.keyed(docs, text, id, shingle, least, fingerprint_of)
+        rows = common.stored(own.select("file", "at", "row", "id"), "rows")
+        every = neardup.clusters(own, docs, text, shingle, least, lambda sets: likely_pairs(sets, radius))
+        every = common.stored(rows.join(every, "row"), "clusters")
+        order = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i"), F.col("row").alias("r"))
+        stays = every.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.r").alias("row"))
+        dropped = keep(common.stored(every.join(stays, "row", "left_anti").select("file", "at"), "dropped"))
+    return neardup.without(docs, dropped)

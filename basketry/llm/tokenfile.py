@@ -41,7 +41,7 @@ MAGIC = b"DAC1"
 RANK_BITS = 512
 WIDTHS = (8, 8, 16)
 #: Characters encoded at a time.
-CHARS = 1_000_000
+CHARS = 500_000
 
 
 def packed(ids: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,20 +238,29 @@ def test_section_counts_add_up(spark, docs, rows):
 
 
 @pytest.mark.parametrize("name,cut", [("word_bpe_49k.json", "space"), ("byte_bpe_50k.json", None)])
-def test_piece_encoder_is_exact(rows, name, cut):
+def test_piece_encoder_is_exact(monkeypatch, rows, name, cut):
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(P.path(name))
     whole.encode_special_tokens = cut is None
-    odd = ["a  b c\n\n\td<|endoftext|>x", "É́t é ﬁ İstanbul 'S IT'S don't 123 \x1c x　y 😀a‍b", "Thing, thing. THING! ẞ. word.. a, ,. . ŉ."]
+    odd = ["a  b c\n\n\td<|endoftext|>x", "É́t é ﬁ İstanbul 'S IT'S don't 123 \x1c x　y 😀a‍b", "Thing, thing. THING! ẞ. word.. a, ,. . ŉ.", "<|EndOfText|> A", "İ, Ünï. ſ! ×, x×; Ω. Σας, ΣΑΣ", "a\r\nb\x0bc\x0cd", "w" * 500 + " " + "é" * 300]
     texts = [t or "" for _, t, *_ in rows] + odd
     want = whole.encode_batch(texts, add_special_tokens=False)
-    for spans in (True, False):
-        ids, start, end, n = encoder.PieceEncoder(P.path(name), cut or P.PATTERN, spans).encode(texts)
-        assert ids.tolist() == [i for e in want for i in e.ids] and n.tolist() == [len(e.ids) for e in want]
-        if spans:
-            assert list(zip(start.tolist(), end.tolist(), strict=True)) == [o for e in want for o in e.offsets]
+    ids, start, end, n = encoder.PieceEncoder(P.path(name), cut or P.PATTERN).encode(texts)
+    assert ids.tolist() == [i for e in want for i in e.ids] and n.tolist() == [len(e.ids) for e in want]
+    assert list(zip(start.tolist(), end.tolist(), strict=True)) == [o for e in want for o in e.offsets]
+    # a small table that is trimmed again and again gives the same
+    monkeypatch.setattr(encoder, "MOST_PIECES", 50)
+    monkeypatch.setattr(encoder, "MOST_WORDS", 50)
+    small = encoder.PieceEncoder(P.path(name), cut or P.PATTERN)
+    assert [i for t in texts * 2 for i in small.encode([t])[0].tolist()] == [i for e in want for i in e.ids] * 2 and len(small.table) < 5000
+    if cut:
+        for own in (encoder.ColumnEncoder(P.path(name)),):
+            ids, n = own.encode(pa.array(texts))
+            assert ids.tolist() == [i for e in want for i in e.ids] and n.tolist() == [len(e.ids) for e in want]
+            assert [i for t in texts * 2 for i in own.encode(pa.array([t]))[0].tolist()] == [i for e in want for i in e.ids] * 2
+        assert own.encode(pa.array([], pa.string()))[0].tolist() == [] and own.encode(pa.array(["", ""]))[1].tolist() == [0, 0]
 
 
 # 4
@@ -277,11 +287,44 @@ def test_mixing_meets_targets(spark, docs, rows):
         taken[r.source] = taken.get(r.source, 0) + r.copies * r.size
     longest = max(len(WORD.findall(t or "")) for _, t, *_ in rows)
     assert all(abs(taken[s] - want[s]) <= max(0.05 * want[s], longest if s == "s3" else 20) for s in order)
+    assert len({r.rate for r in out if r.source == "s0"}) > 3  # rates are of documents, not of sources
     again = mixing.mixed(docs.repartition(5)).collect()
     key = lambda r: (r.id is None, r.id or 0, r.size, r.copies)
     assert sorted(map(key, out)) == sorted(map(key, again))
 
 
+def test_mixing_rates_against_a_plain_solver(spark):
+    """Exponentials of document sizes, held at 3, whose words meet each target."""
+    rng = random.Random(4)
+    data = [(k, " ".join(["w"] * rng.choice([0, 1, 5, 30, 31, 200, 2000])), f"s{k % 5}") for k in range(400)]
+    out = mixing.mixed(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    for s in {r.source for r in out}:
+        own = [r for r in out if r.source == s]
+        sizes, target, scale = np.array([r.size for r in own]), own[0].target, max(1.0, sum(r.size for r in own) / len(own))
+        low, high = -200.0, 200.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (sizes * np.minimum(3, np.exp(np.minimum(mid * sizes / scale, 50)))).sum() < target else (low, mid)
+        want = np.minimum(3, np.exp(np.minimum(low * sizes / scale, 50)))
+        assert abs(sum(r.size * r.rate for r in own) - target) <= 1e-5 * target
+        if target < 2.99 * sizes.sum():
+            assert np.allclose([r.rate for r in own], want, rtol=1e-4) and len({r.rate for r in own}) > 3
+        assert abs(sum(r.size * r.copies for r in own) - target) <= 35
+        assert all(0 <= r.copies <= 3 and (r.size or r.copies == 1) for r in own)
+
+
+def test_replicated_keeps_columns_and_empty_tables(spark, docs, rows, empty):
+    clash = docs.withColumns({"multiplier": F.lit(1), "dither": F.lit("x"), "copies": F.lit(9), "__row": F.lit(0)})
+    out = mixing.replicated(clash)
+    assert out.columns == clash.columns
+    taken = {}
+    for r in mixing.mixed(docs).collect():
+        taken[r.id] = taken.get(r.id, 0) + r.copies
+    got = {r.doc_id: r["count"] for r in out.drop("count").groupBy("doc_id").count().collect()}
+    assert got == {k: n for k, n in taken.items() if n}
+    assert mixing.replicated(empty).count() == 0 and mixing.replicated(empty).columns == empty.columns
+
+
 # 5
 
 def test_leaks_against_shingle_containment(spark):
@@ -323,7 +366,9 @@ def test_question_alone_is_retrieved(spark):
     assert {r.doc_id for r in decontam.clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
-def test_retrieval_is_exact_for_the_threshold():
+@pytest.mark.parametrize("cursors", [1 << 17, 300])
+def test_retrieval_is_exact_for_the_threshold(monkeypatch, cursors):
+    monkeypatch.setattr(decontam, "CURSORS", cursors)
     rng = random.Random(6)
     items = [(k, prose(rng, rng.randrange(3, 30))) for k in range(100)]
     df = {}
@@ -331,13 +376,38 @@ def test_retrieval_is_exact_for_the_threshold():
         for w in set(decontam.WORD.findall(t)):
             df[w] = df.get(w, 0) + 1
     index = decontam.Index(items, df, len(items), 15.0, 0.3, 5, 0.8)
-    for _ in range(200):
-        terms = np.array(sorted(rng.sample(range(len(index.vocabulary)), rng.randrange(1, 200))))
+    queries = [np.array(sorted(rng.sample(range(len(index.vocabulary)), rng.randrange(0, 200))), np.int64) for _ in range(200)]
+    of = np.repeat(index.block_key[:-1] // (index.blocks + 1), np.diff(index.block_start[:-1]))
+    for terms, got in zip(queries, index.retrieve(queries), strict=True):
         score = np.zeros(len(items))
-        for t in terms:
-            own = slice(index.first[t], index.first[t + 1])
-            score[index.item[own]] += index.impact[own]
-        assert set(index.retrieve(terms)) == set(np.flatnonzero(score >= 0.3 - 1e-9).tolist())
+        here = np.isin(of, terms)
+        np.add.at(score, index.item[here], index.impact[here])
+        assert set(got) == set(np.flatnonzero(score >= 0.3 - 1e-9).tolist())
+        assert all(abs(score[k] - x) < 1e-9 for k, x in got.items())
+    assert index.retrieve([]) == []
+
+
+def test_pivots_pass_over_blocks_and_maxima_over_postings():
+    """Rare words stand in few of many items, common ones in all: few blocks are met, fewer scored."""
+    rng = random.Random(7)
+    items = [(k, "the of and to in " + " ".join(f"w{rng.randrange(20_000)}" for _ in range(20))) for k in range(4_000)]
+    df = {}
+    for _, t in items:
+        for w in set(t.split()):
+            df[w] = df.get(w, 0) + 1
+    index = decontam.Index(items, df, len(items), 25.0, 0.6, 5, 0.8)
+    texts = ["the of and to in " + " ".join(f"w{rng.randrange(20_000)}" for _ in range(60)) + (" " + items[k][1] if k % 5 == 0 else "") for k in range(100)]
+    found = [[x.item for x in y] for y in index.leaks(texts)]
+    assert all(found[k] == ([k] if k % 5 == 0 else []) for k in range(100))
+    assert index.blocks == 250 and 0 < index.scored < index.steps < 0.3 * 100 * index.blocks
+
+
+def test_an_answer_decides_with_half_of_its_question(spark):
+    q, a = "what stands upon the old river bridge near our town hall today", "a grey stone figure that looks far over the quiet water each morning"
+    docs = [(1, f"x {q} y"), (2, f"x {a} y"), (3, f"so what stands upon the old river bridge near it {a} y"), (4, f"{q[:30]} y"), (5, f"x {q} answer {a} y"), (6, None)]
+    bench = spark.createDataFrame([(7, f"{q} answer: {a}")], "item_id long, text string")
+    out = decontam.found(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.kind) for r in out} == {(1, "question"), (3, "answer"), (5, "question")}
 
 
 # 6
@@ -409,6 +479,54 @@ def test_weak_supervision_keeps_prose_and_drops_junk(spark):
     assert all(kept[k] for k, _ in good) and not any(kept[k] for k, _ in bad)
 
 
+def test_posterior_decides_on_the_sample(spark):
+    """Labels only measure: most bad texts go, most by the posterior alone, and good ones stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    out = quality_rules.judged(docs.select("doc_id", "text")).collect()
+    bad = [r for r in out if labels.get(r.doc_id) == 0]
+    good = [r for r in out if labels.get(r.doc_id) == 1 and not r.base_failed]
+    assert sum(not r.kept for r in bad) >= 0.95 * len(bad)
+    assert sum(r.posterior < 0.5 and not r.base_failed for r in bad) >= 0.3 * len(bad)
+    assert sum(r.kept for r in good) >= 0.98 * len(good)
+    assert all(r.base_failed == (r.n_words < 50 or 2 * r.n_repeat_words > r.n_words) for r in out)
+    assert all(r.kept == (not r.base_failed and r.posterior >= 0.5) for r in out)
+
+
+def test_posterior_against_plain_python(spark):
+    """Expectation-maximisation document by document, without patterns."""
+    rng = random.Random(12)
+    truth = [rng.random() < 0.8 for _ in range(400)]
+    right = [0.95, 0.9, 0.8, 0.85]
+    votes = [[0 if rng.random() < 0.2 else (1 if y else -1) * (1 if rng.random() < a else -1) for a in right] for y in truth]
+    q = [0.1 if -1 in v else 0.95 for v in votes]
+    for _ in range(2000):
+        g, n = sum(q), len(q)
+        chance = {}
+        for j in range(4):
+            for v in (-1, 0, 1):
+                a = (sum(x for x, w in zip(q, votes, strict=True) if w[j] == v) + 0.5) / (g + 1.5)
+                b = (sum(1 - x for x, w in zip(q, votes, strict=True) if w[j] == v) + 0.5) / (n - g + 1.5)
+                chance[j, v] = ((a + b) / 2,) * 2 if v * (a - b) < 0 else (a, b)
+        p = (g + 1) / (n + 2)
+        last = q
+        q = []
+        for w in votes:
+            a, b = p, 1 - p
+            for j in range(4):
+                a, b = a * chance[j, w[j]][0], b * chance[j, w[j]][1]
+            q.append(a / (a + b))
+        if max(abs(x - y) for x, y in zip(q, last, strict=True)) < 1e-9:
+            break
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(votes)], "id int, votes array<tinyint>")
+    prior, chances = quality_rules.learned(df, 4)
+    got = {r.id: r.p for r in df.select("id", quality_rules.posterior(prior, chances).alias("p")).collect()}
+    assert all(abs(got[k] - x) < 1e-5 for k, x in enumerate(q))
+    names = [(str(j), "", "") for j in range(4)]
+    found = quality_rules.accuracies(prior, chances, names)
+    assert all(abs(found[str(j)] - a) < 0.08 for j, a in enumerate(right))
+
+
 # 8
 
 def test_fingerprint_against_plain_python():
