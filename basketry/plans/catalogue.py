@@ -93,7 +93,11 @@ def adjusted_rand(spark, sf_dir):
     return rounded(segments.adjusted_rand(_labels(Shop(spark, sf_dir)), "a", "b"))
 
 
-@query()
+@query(f"""WITH {LABELS}, l AS (SELECT customer_id, 'a' AS k, a AS v FROM lb UNION ALL SELECT customer_id, 'b', b FROM lb UNION ALL SELECT customer_id, 'c', CAST(customer_id % 3 AS INT) FROM lb),
+    n AS (SELECT x.k AS a, y.k AS b, x.v AS va, y.v AS vb, count(*) AS n FROM l x JOIN l y ON x.customer_id = y.customer_id AND x.k <= y.k GROUP BY 1, 2, 3, 4),
+    s AS (SELECT a, b, sum(n * (n - 1) / 2e0) AS ij, sum(n) * (sum(n) - 1) / 2e0 AS t FROM n GROUP BY 1, 2),
+    ra AS (SELECT a, b, sum(m * (m - 1) / 2e0) AS v FROM (SELECT a, b, va, sum(n) AS m FROM n GROUP BY 1, 2, 3) q GROUP BY 1, 2), rb AS (SELECT a, b, sum(m * (m - 1) / 2e0) AS v FROM (SELECT a, b, vb, sum(n) AS m FROM n GROUP BY 1, 2, 3) q GROUP BY 1, 2)
+    SELECT s.a, s.b, round((ij - ra.v * rb.v / t) / ((ra.v + rb.v) / 2 - ra.v * rb.v / t), 6) AS ari FROM s JOIN ra ON s.a = ra.a AND s.b = ra.b JOIN rb ON s.a = rb.a AND s.b = rb.b""")
 def label_agreement(spark, sf_dir):
     own = _labels(Shop(spark, sf_dir)).withColumn("c", (F.col("customer_id") % 3).cast("int"))
     return rounded(segments.label_agreement(own, ["a", "b", "c"]))
@@ -182,7 +186,9 @@ def composed_texts(spark, sf_dir):
 LAYERS = {"L1": {"Product": ["l1_material"]}, "L2": {"Perceptual": ["l2_trendiness"]}, "L3": {"Theory": ["l3_color_harmony"]}}
 
 
-@query()
+@query("""WITH p AS (SELECT article_id, '[Product] l1_material: ' || l1_material AS a, '[Perceptual] l2_trendiness: ' || l2_trendiness AS b, '[Theory] l3_color_harmony: ' || l3_color_harmony AS c FROM fk)
+    SELECT article_id, 'L1' AS layers, concat_ws('. ', a) AS text FROM p UNION ALL SELECT article_id, 'L2', concat_ws('. ', b) FROM p UNION ALL SELECT article_id, 'L3', concat_ws('. ', c) FROM p UNION ALL SELECT article_id, 'L1+L2', concat_ws('. ', a, b) FROM p
+    UNION ALL SELECT article_id, 'L1+L3', concat_ws('. ', a, c) FROM p UNION ALL SELECT article_id, 'L2+L3', concat_ws('. ', b, c) FROM p UNION ALL SELECT article_id, 'L1+L2+L3', concat_ws('. ', a, b, c) FROM p""")
 def layer_texts(spark, sf_dir):
     """Texts of all seven layer combinations."""
     own = Shop(spark, sf_dir).fk
@@ -367,7 +373,9 @@ def whitened_vectors(spark, sf_dir):
     return ml.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding").select("vec_id", "components")
 
 
-@query()
+@query("""WITH f AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(64)) AS i FROM embeddings WHERE vec_id % 7 <> 0), m AS (SELECT label, i, avg(x) AS x FROM f GROUP BY 1, 2),
+    e AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(64)) AS i FROM embeddings WHERE vec_id % 7 = 0), d AS (SELECT e.vec_id, m.label, sum((e.x - m.x) * (e.x - m.x)) AS d FROM e JOIN m ON e.i = m.i GROUP BY 1, 2)
+    SELECT vec_id, arg_min(label, d) AS label FROM d GROUP BY vec_id UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id % 7 <> 0""")
 def outlier_assignment(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", F.when(F.col("vec_id") % 7 == 0, -1).otherwise(F.col("label")))
     return ml.nearest_centroid(rows.withColumn("embedding", F.col("embedding").cast("array<double>")), "embedding", "label").select("vec_id", "label")

@@ -415,12 +415,25 @@ def purchase_coherence(spark, sf_dir):
     return rounded(analysis.coherence(s.train, s.vectors))
 
 
+RETRIEVED = """h AS (SELECT t.customer_id, e.embedding AS v FROM train t JOIN embeddings e ON t.article_id = e.vec_id), f AS (SELECT customer_id, unnest(v) AS x, unnest(range(64)) AS i FROM h),
+    c AS (SELECT customer_id, i, sum(CAST(x AS DOUBLE)) AS x, count(*) AS n FROM f GROUP BY 1, 2), m AS (SELECT customer_id, sqrt(sum(x * x)) + 1e-12 AS m FROM c GROUP BY 1),
+    q AS (SELECT c.customer_id, list(c.x / m.m ORDER BY i) AS v, max(c.n) AS n FROM c JOIN m ON c.customer_id = m.customer_id GROUP BY 1),
+    ip AS (SELECT q.customer_id, e.vec_id AS article_id, round(list_inner_product(q.v, CAST(e.embedding AS DOUBLE[])), 9) AS s FROM q CROSS JOIN embeddings e),
+    top AS (SELECT customer_id, article_id, place FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY s DESC, article_id) AS place FROM ip) x WHERE place <= 12)"""
+RANKED = """gt AS (SELECT DISTINCT customer_id, article_id FROM val), sz AS (SELECT customer_id, least(count(*), 12) AS most FROM gt GROUP BY customer_id),
+    hh AS (SELECT g.customer_id, p.place, row_number() OVER (PARTITION BY g.customer_id ORDER BY p.place) AS nth FROM gt g JOIN top p ON g.customer_id = p.customer_id AND g.article_id = p.article_id),
+    ss AS (SELECT customer_id, sum(nth * 1e0 / place) AS ap, sum(1e0 / log2(place + 1)) AS dcg, min(place) AS f FROM hh GROUP BY customer_id),
+    ideal AS (SELECT n.k AS most, sum(1e0 / log2(i.k + 1)) AS v FROM range(1, 13) n(k) JOIN range(1, 13) i(k) ON i.k <= n.k GROUP BY n.k),
+    each AS (SELECT sz.customer_id, coalesce(ss.ap / sz.most, 0) AS ap, CASE WHEN ss.f IS NULL THEN 0e0 ELSE 1e0 END AS hr, coalesce(ss.dcg / i.v, 0) AS ndcg, coalesce(1e0 / ss.f, 0) AS rr FROM sz LEFT JOIN ss ON sz.customer_id = ss.customer_id JOIN ideal i ON i.most = sz.most)"""
+
+
 def _retrieval(s: Shop) -> tuple[DataFrame, DataFrame]:
     users = analysis.centroids(s.train, s.vectors)
     return users, analysis.retrieved(users, s.vectors, 12)
 
 
-@query()
+@query(f"""WITH {RETRIEVED}, {RANKED}, b AS (SELECT customer_id, CASE WHEN n = 1 THEN '1' WHEN n < 5 THEN '2-4' WHEN n < 10 THEN '5-9' WHEN n < 20 THEN '10-19' WHEN n < 50 THEN '20-49' ELSE '50+' END AS cohort FROM q)
+    SELECT cohort, {MEANS} FROM each JOIN b ON each.customer_id = b.customer_id GROUP BY cohort""")
 def content_retrieval(spark, sf_dir):
     """Hit rate, NDCG and reciprocal rank by activity bracket; history isn't left out."""
     s = Shop(spark, sf_dir)
@@ -428,7 +441,10 @@ def content_retrieval(spark, sf_dir):
     return metrics.evaluated(top, s.val, cohorts=users.select("customer_id", analysis.bracket(F.col("n")).alias("cohort")))
 
 
-@query()
+@query(f"""WITH {RETRIEVED}, sold AS (SELECT article_id, count(*) AS n FROM train GROUP BY article_id), tr AS (SELECT DISTINCT customer_id, article_id FROM val),
+    l AS (SELECT CASE WHEN s.n IS NULL THEN 'cold' WHEN s.n <= 10 THEN '1-10' WHEN s.n <= 100 THEN '11-100' WHEN s.n <= 1000 THEN '101-1000' ELSE '1001+' END AS band, CASE WHEN t.article_id IS NULL THEN 0e0 ELSE 1e0 END AS hit
+        FROM tr LEFT JOIN sold s ON tr.article_id = s.article_id LEFT JOIN top t ON tr.customer_id = t.customer_id AND tr.article_id = t.article_id)
+    SELECT band, round(avg(hit), 6) AS hit_rate, count(*) AS n FROM l GROUP BY band""")
 def retrieval_by_popularity(spark, sf_dir):
     """Share of validation purchases found among the twelve retrieved, by item popularity."""
     s = Shop(spark, sf_dir)
@@ -451,7 +467,9 @@ def linear_cka(spark, sf_dir):
     return rounded(analysis.linear_cka(v, "x", "y"))
 
 
-@query()
+@query("""WITH ip AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS s FROM embeddings a CROSS JOIN embeddings b),
+    r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM ip), n AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, s FROM r WHERE k <= 21 AND a <> b AND s >= 0.3)
+    SELECT n.a, n.b, round(n.s, 6) AS score FROM n JOIN articles x ON n.a = x.article_id JOIN articles y ON n.b = y.article_id WHERE x.garment_group_name <> y.garment_group_name ORDER BY n.s DESC, n.a, n.b LIMIT 500""")
 def cross_category_neighbours(spark, sf_dir):
     s = Shop(spark, sf_dir)
     groups = s.articles.select("article_id", F.col("garment_group_name").alias("group"))
