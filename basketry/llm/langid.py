@@ -32,7 +32,7 @@ from . import common
 BUCKETS = 1 << 15
 SIZES = (2, 3, 4)
 #: Bytes looked at together.
-PIECE = 1 << 19
+PIECE = 1 << 17
 LETTER = regex.compile(r"\p{L}")
 
 _CLASS = np.arange(256, dtype=np.uint8)

@@ -8,7 +8,10 @@ that meet are compared by bitmaps first: a bit tells whether an odd number of a
 has its hash, so two bitmaps differ in at most as many bits as the sets in shingles. Those that
 may still reach ``least`` are verified on their whole sets. Equal sets count as one from the start. Pairs that
 are known to be likely (of like fingerprints, say) and one star for each prefix shingle link
-most texts at linear cost; then all pairs that meet across components are verified as well.
+most texts at linear cost. While texts of different components still meet often at crowded
+shingles, they are held against a few more centres there, others in each round. Then all pairs
+that meet across components are verified; at crowded shingles the join itself compares their
+bitmaps and gives a pair once.
 
 Rows are told apart by their place in the table's files, so no text is stored or shuffled but
 those that are verified.
@@ -37,6 +40,10 @@ SAMPLE, COMMON_TEXTS, MOST_COMMON = 20_000, 3, 300_000
 #: Rows of two numbers up to which nodes to be verified and rows to be dropped are broadcast;
 #: beyond that both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Sets from which on a shingle is crowded; meetings across components for each of its rows at
+#: which the rounds of centres end, centres of a shingle in a round, and the share of meetings
+#: that a round must do away with.
+CROWD, FEW_MEETINGS, CENTRES, GAIN = 100, 0.25, 4, 0.1
 #: Pairs of texts that the verification takes at a time.
 PAIR_ROWS = 100
 #: Bits of a bitmap as powers of two: of sets up to so many shingles, and of larger ones.
@@ -142,10 +149,12 @@ def may_reach(size: Column, pos: Column, other_size: Column, other_pos: Column,
 def bitmaps_allow(least: float) -> Column:
     """Whether sets with ``a_size``, ``a_bits`` and ``b_size``, ``b_bits`` may reach ``least``;
     bitmaps of unlike length tell nothing."""
-    each = F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    differ = F.aggregate(each, F.lit(0), lambda n, x: n + x)
+    one = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    small = sum((one(F.col("a_bits")[k], F.col("b_bits")[k]) for k in range((1 << SMALL_LOG) // 64)), F.lit(0))
+    large = F.aggregate(F.zip_with("a_bits", "b_bits", one), F.lit(0), lambda n, x: n + x)
     few = F.lit((1 - least) / (1 + least)) * (F.col("a_size") + F.col("b_size")) + 1e-9
-    return F.when(F.size("a_bits") == F.size("b_bits"), differ <= few).otherwise(True)
+    both = F.greatest("a_size", "b_size") <= SMALL_SET
+    return F.when(both, small <= few).when(F.size("a_bits") == F.size("b_bits"), large <= few).otherwise(True)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text: str, shingle: int, least: float) -> DataFrame:
@@ -178,6 +187,23 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text: str, shin
     return out
 
 
+def across(keys: DataFrame, roots: DataFrame) -> tuple[DataFrame, float]:
+    """(rows of ``keys`` whose key joins texts of several components, with their ``root``;
+    number of pairs of rows that meet across components)."""
+    rooted = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    n = rooted.groupBy("key", "root").agg(F.count("*").cast("double").alias("n"))
+    n = n.groupBy("key").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("meetings")).where("meetings > 0")
+    n = common.stored(n, "open")
+    return common.stored(rooted.join(n.select("key"), "key", "left_semi"), "rooted"), (n.agg(F.sum("meetings")).first()[0] or 0.0) / 2
+
+
+def apart(rooted: DataFrame, also: Column) -> DataFrame:
+    """(a, b) of the rows that share a key across components and for which ``also`` holds."""
+    a, b = rooted.toDF(*[f"a_{c}" for c in rooted.columns]), rooted.toDF(*[f"b_{c}" for c in rooted.columns])
+    meet = (F.col("a_key") == F.col("b_key")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root"))
+    return a.join(b, meet & also).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+
 def clusters(own: DataFrame, docs: DataFrame, text: str, shingle: int, least: float, likely=None) -> DataFrame:
     """(row, root) of every row of ``own`` (as from ``keyed``; it is deleted): the same root for rows that
     chains of pairs of similarity ``least`` or more connect. ``likely(sets)`` may give pairs
@@ -200,17 +226,33 @@ def clusters(own: DataFrame, docs: DataFrame, text: str, shingle: int, least: fl
     if likely is not None:
         star = star.unionByName(likely(sets).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     star = common.stored(star.distinct(), "star")
-    first = common.components(verified(star, docs, sets, text, shingle, least))
-
-    rooted = keys.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rooted = common.stored(rooted.join(open_, "key", "left_semi"), "open")
-    a, b = rooted.toDF(*[f"a_{c}" for c in rooted.columns]), rooted.toDF(*[f"b_{c}" for c in rooted.columns])
-    fits = may_reach(F.col("a_size"), F.col("a_pos"), F.col("b_size"), F.col("b_pos"), least)
-    cross = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & fits)
-    cross = cross.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    links = verified(cross, docs, sets, text, shingle, least).unionByName(first.toDF("a", "b"))
-    roots = common.components(links)
+    links = verified(star, docs, sets, text, shingle, least)
+    roots, tested, before = common.components(links), star, None
+    crowded = common.stored(keys.groupBy("key").count().where(F.col("count") > CROWD).select("key"), "crowded")
+    hot = common.stored(keys.join(crowded, "key", "left_semi"), "hot")
+    for k in range(1, 1_000):
+        rooted, meetings = across(hot, roots)
+        if meetings <= FEW_MEETINGS * rooted.count() or before is not None and meetings > (1 - GAIN) * before:
+            break
+        before = meetings
+        hashed = lambda j: F.struct(F.xxhash64("node", F.lit(CENTRES * k + j)).alias("h"), *rooted.columns)
+        centres = rooted.groupBy("key").agg(F.array(*[F.min(hashed(j)) for j in range(CENTRES)]).alias("cs")).select("key", F.explode("cs").alias("c"))
+        met = rooted.join(centres, "key").where(F.col("root") != F.col("c.root")).where(may_reach(F.col("size"), F.col("pos"), F.col("c.size"), F.col("c.pos"), least))
+        met = met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+        met = common.stored(met.join(tested, ["a", "b"], "left_anti"), "met")
+        tested = common.stored(tested.unionByName(met), "tested")
+        links = common.stored(links.unionByName(verified(met, docs, sets, text, shingle, least)), "links")
+        roots = common.components(links)
+
+    # a pair whose first shared key is crowded is emitted at one of its crowded keys, others where they meet
+    shared = rooted.groupBy("node").agg(F.collect_set("key").alias("shared"))
+    rooted = common.stored(rooted.join(sets.select("node", "bits"), "node").join(shared, "node"), "crossing")
+    once = F.array_min(F.array_intersect("a_shared", "b_shared")) == F.col("a_key")
+    cross = apart(rooted, bitmaps_allow(least) & once)
+    calm, _ = across(keys.join(crowded, "key", "left_anti"), roots)
+    cross = cross.unionByName(apart(calm, may_reach(F.col("a_size"), F.col("a_pos"), F.col("b_size"), F.col("b_pos"), least)))
+    cross = cross.distinct().join(tested, ["a", "b"], "left_anti")
+    roots = common.components(links.unionByName(verified(cross, docs, sets, text, shingle, least)))
     every = own.select("row", "digest").join(nodes, "digest").join(roots, "node", "left")
     return every.select("row", F.coalesce("root", "node").alias("root"))
 

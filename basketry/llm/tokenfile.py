@@ -153,9 +153,10 @@ def written(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", text
         where, folder = opened(path)
         where.create_dir(folder, recursive=True)
         name = f"{folder}/{part:08d}-{shard:06d}-{uuid.uuid4().hex}.dac"
+        every, n = np.concatenate(held), int(sum(map(len, held)))
+        held.clear()
         with where.open_output_stream(name) as out:
-            out.write(to_bytes(ids, np.concatenate(counts), np.concatenate(held)))
-        n = int(sum(map(len, held)))
+            out.write(to_bytes(ids, np.concatenate(counts), every))
         return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "file": name, "docs": len(ids), "tokens": n}], schema=arrow)
 
     arrow = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])

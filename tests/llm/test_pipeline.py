@@ -70,6 +70,23 @@ def test_near_dedup_stage_against_all_pairs(spark, monkeypatch, common):
     assert sorted(got) == sorted(survivors(rows)) and 40 < len(got) < 110
 
 
+@pytest.mark.parametrize("few", [0.25, 0.0])
+def test_dense_group_around_the_bound(spark, monkeypatch, few):
+    """Copies of one text, of which many pairs are just above or below 0.8: centres leave some apart."""
+    monkeypatch.setattr(neardup, "FEW_MEETINGS", few)
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for k in range(90):
+        copy = list(base)
+        for _ in range(rng.randrange(9)):
+            copy[rng.randrange(150)] = f"x{rng.randrange(50)}"
+        rows.append((k, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
+    assert got == survivors(rows) and 1 < len(got) < 60
+
+
 def test_near_dedup_stage_on_the_sample(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
