@@ -326,7 +326,10 @@ def test_loose_operators(spark):
 
     means = spark.createDataFrame([(None,), (1.5,), (3.0,), (4.25,)], "m double")
     assert [r[0] for r in means.select(profiles.quality_words(F.col("m"))).collect()] == ["Insufficient data", "budget (1.5)", "mid-range (3.0)", "premium (4.3)"]
-    hot = attributes.one_hot(spark.createDataFrame([('["a","b"]',), (None,)], "m string"), "m", ["a", "c"]).collect()
-    assert [(r.m_a, r.m_c) for r in hot] == [(1, 0), (0, 0)]
+    facts = spark.createDataFrame([(1, '["b","a"]', "x", 3), (2, None, None, None)], "article_id long, m string, e string, o int")
+    known = attributes.encoders(facts, ["e"], ["m"])
+    assert known == {"e": ["UNKNOWN", "x"], "m": ["a", "b"]}
+    rows = attributes.encoded_facts(spark.createDataFrame([(1,), (2,), (3,)], "article_id long"), facts, known, ["e"], ["o"], ["m"], ["m"]).orderBy("article_id").collect()
+    assert [tuple(r) for r in rows] == [(1, 1, 3.0, 2, 1, 1), (2, 0, 0.0, 0, 0, 0), (3, 0, 0.0, 0, 0, 0)]
     pair = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0])], "a array<double>, b array<double>")
     assert abs(pair.select(C.cosine(F.col("a"), F.col("b"))).first()[0] - 24 / 25) < 1e-6
