@@ -93,13 +93,16 @@ def estimate(patterns: list[tuple[list[int], int]], n_rules: int, most_rounds: i
     expectation-maximisation.
 
     ``patterns``: distinct votes with their counts. The first posterior calls a pattern bad if
-    any rule does. Chances have half a document added for each vote, and a rule's bad vote
+    more rules do than on the median document (none, unless a rule is amiss). Chances have half a document added for each vote, and a rule's bad vote
     never speaks for good nor its good vote for bad, so that the classes can't trade places.
     """
     vote = np.array([p for p, _ in patterns], np.int64).reshape(-1, n_rules)
     n = np.array([c for _, c in patterns], float)
     one = np.stack([vote == v for v in (-1, 0, 1)], 2).astype(float)
-    good = np.where((vote == -1).any(1), 0.1, 0.95)
+    bad = (vote == -1).sum(1)
+    order = np.argsort(bad, kind="stable")
+    usual = bad[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)] if len(n) else 0
+    good = np.where(bad > usual, 0.1, 0.95)
     prior, chances = 0.5, np.zeros((n_rules, 3, 2))
     for _ in range(most_rounds if len(n) else 0):
         sums = np.stack([np.tensordot(n * good, one, 1), np.tensordot(n * (1 - good), one, 1)], 2) + 0.5
