@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from . import nearest
 from .metrics import auc
 from .ordering import midranks, placed, running
 
@@ -100,32 +101,11 @@ def bracket(n: Column) -> Column:
     return F.when(n == 1, "1").when(n < 5, "2-4").when(n < 10, "5-9").when(n < 20, "10-19").when(n < 50, "20-49").otherwise("50+")
 
 
-def retrieved(queries: DataFrame, vectors: DataFrame, k: int, user: str = "customer_id", block: int = 4096, batch: int = 8192) -> DataFrame:
+def retrieved(queries: DataFrame, vectors: DataFrame, k: int, user: str = "customer_id", block: int = 1024) -> DataFrame:
     """(user, article_id, score, place): the k best articles by inner product for each query
-    (user, centroid). Articles are dealt over blocks and queries over batches of bounded size;
-    each block meets each batch in one matrix product, and blocks' results in a last top k."""
-    import numpy as np
-    import pandas as pd
-
-    blocks, batches = max(1, -(-vectors.count() // block)), max(1, -(-queries.count() // batch))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select(user, F.col("centroid").alias("_q"), F.pmod(F.xxhash64(user), F.lit(batches)).cast("int").alias("_batch"), every(blocks).alias("_block"))
-    v = vectors.select("article_id", F.col("v").cast("array<double>").alias("_v"), F.pmod(F.xxhash64("article_id"), F.lit(blocks)).cast("int").alias("_block"), every(batches).alias("_batch"))
-
-    def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or v.empty:
-            return pd.DataFrame({user: [], "article_id": [], "score": []}).astype({user: "int64", "article_id": "int64", "score": "float64"})
-        v = v.sort_values("article_id")
-        ids = v["article_id"].to_numpy(np.int64)
-        s = np.round(np.stack(q["_q"].to_numpy()) @ np.stack(v["_v"].to_numpy()).T, 9)
-        most = min(k, len(ids))
-        order = np.argsort(-s, axis=1, kind="stable")[:, :most]  # of equals the lower id
-        return pd.DataFrame({user: np.repeat(q[user].to_numpy(), most), "article_id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-
-    keys = ["_block", "_batch"]
-    parts = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(best, f"{user} long, article_id long, score double")
-    place = F.row_number().over(W.partitionBy(user).orderBy(F.desc("score"), "article_id"))
-    return parts.withColumn("place", place).where(F.col("place") <= k)
+    (user, centroid); only blocks of articles whose bound a query's k-th score doesn't exceed are met."""
+    top, _ = nearest.searched(queries, nearest.packed(vectors, "article_id", "v", block), k, user, "centroid")
+    return top.select(F.col("user").alias(user), F.col("id").alias("article_id"), "score", "place")
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
