@@ -22,17 +22,25 @@ def settled(rows: DataFrame) -> DataFrame:
 
 
 def running(rows: DataFrame, *by: Column, amount: Column, to: str) -> DataFrame:
-    """``rows`` with the sum of ``amount`` over all rows before in the order of ``by``.
+    """``rows`` with the sum of ``amount`` over all rows before in the order of ``by``."""
+    return running_sums(rows, *by, amounts={to: amount})
+
+
+def running_sums(rows: DataFrame, *by: Column, amounts: dict[str, Column]) -> DataFrame:
+    """``rows`` with the sum of each amount over all rows before in the order of ``by``.
 
     Rows are dealt by range; each range sums up its own and starts from what those before hold,
     so no task sees more than a range.
     """
-    own = rows.withColumn("__amount", amount).repartitionByRange(*by).withColumn("__part", F.spark_partition_id())
+    names = list(amounts)
+    own = rows.withColumns({f"__amount{k}": amounts[c] for k, c in enumerate(names)}).repartitionByRange(*by).withColumn("__part", F.spark_partition_id())
     own = settled(own)
-    sizes = own.groupBy("__part").agg(F.sum("__amount").alias("__n"))
-    starts = sizes.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__start"))  # a row for each range
-    before = F.sum("__amount").over(W.partitionBy("__part").orderBy(*by).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__amount")
-    return own.withColumn("__in", before).join(F.broadcast(starts), "__part").withColumn(to, F.col("__start") + F.col("__in")).drop("__part", "__in", "__start", "__amount")
+    sizes = own.groupBy("__part").agg(*[F.sum(f"__amount{k}").alias(f"__n{k}") for k in range(len(names))])
+    starts = sizes.select("__part", *[(F.sum(f"__n{k}").over(W.orderBy("__part")) - F.col(f"__n{k}")).alias(f"__start{k}") for k in range(len(names))])  # a row for each range
+    upto = W.partitionBy("__part").orderBy(*by).rowsBetween(W.unboundedPreceding, W.currentRow)
+    own = own.withColumns({f"__in{k}": F.sum(f"__amount{k}").over(upto) - F.col(f"__amount{k}") for k in range(len(names))}).join(F.broadcast(starts), "__part")
+    own = own.withColumns({c: F.col(f"__start{k}") + F.col(f"__in{k}") for k, c in enumerate(names)})
+    return own.drop("__part", *[f"__{what}{k}" for what in ("in", "start", "amount") for k in range(len(names))])
 
 
 def placed(rows: DataFrame, *by: Column, to: str = "place") -> DataFrame:

@@ -63,28 +63,21 @@ def pending(ids: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return ids.join(done.select(key).distinct(), key, "left_anti")
 
 
-def chunked(lines: DataFrame, id: str, line: str, most_bytes: int, most_lines: int, streams: int = 32) -> DataFrame:
-    """``lines`` with ``stream`` and ``chunk``: packed in order of id, a new chunk where the
-    next line would exceed the bytes or the number of lines.
-
-    Packing is sequential, so ids are dealt by hash over ``streams`` that pack on their own.
-    """
-    import pandas as pd
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_id", kind="stable").reset_index(drop=True)
-        chunk, used, n, out = 0, 0, 0, []
-        for size in pdf["_bytes"]:
-            if n and (used + size > most_bytes or n >= most_lines):
-                chunk, used, n = chunk + 1, 0, 0
-            used, n = used + size, n + 1
-            out.append(chunk)
-        return pdf.assign(chunk=out)
-
-    sized = lines.select(F.col(id).alias("_id"), (F.octet_length(line) + 1).alias("_bytes"), F.pmod(F.xxhash64(id), F.lit(streams)).alias("stream"))
-    kind = dict(lines.dtypes)[id]
-    packed = sized.groupBy("stream").applyInPandas(pack, f"_id {kind}, _bytes int, stream long, chunk long")
-    return lines.join(packed.drop("_bytes").withColumnRenamed("_id", id), id)
+def chunked(lines: DataFrame, id: str, line: str, most_bytes: int, most_lines: int) -> DataFrame:
+    """``lines`` with ``chunk``: packed in one order of their ids, which are unique, a new chunk
+    where the next line would exceed the bytes or the number of lines."""
+    from ..operators import packing
+
+    sized = lines.select(id, (F.octet_length(line) + 1).alias("size"))
+    return lines.join(packing.numbered(sized, id, "size", most_bytes, most_lines).drop("place"), id)
+
+
+def with_fallback(wanted: DataFrame, found: DataFrame, templates: DataFrame, key: str, source: str = "profile_source") -> DataFrame:
+    """Results of all ``wanted`` keys: those ``found``, and for keys that have none (their request
+    failed) the row of ``templates``; ``source`` tells which. A key without either is missing."""
+    own = found.join(wanted.select(key).distinct(), key, "left_semi").withColumn(source, F.lit("model"))
+    failed = pending(wanted.select(key).distinct(), found, key)
+    return own.unionByName(templates.join(failed, key, "left_semi").withColumn(source, F.lit("template_fallback")), allowMissingColumns=True)
 
 
 def parsed_responses(lines: DataFrame, payload: str, order: str = "file_no") -> DataFrame:
