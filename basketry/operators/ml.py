@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .ordering import running, settled
 
 
 def normalized_edges(txn: DataFrame) -> DataFrame:
@@ -159,3 +161,83 @@ def boosted_scores(rows: DataFrame, features: list[str], label: str, part: str =
     own = VectorAssembler(inputCols=features, outputCol="_f", handleInvalid="keep").transform(rows)
     model = GBTClassifier(featuresCol="_f", labelCol=label, maxIter=trees, maxDepth=4, seed=42).fit(own.where(F.col(part) == "train"))
     return model.transform(own).withColumn("model_score", vector_to_array("probability")[1]).drop("_f", "rawPrediction", "probability", "prediction")
+
+
+@dataclass
+class Boosted:
+    """A fitted sequence of trees. ``rounds``: (round, auc) of each prefix on the validation part;
+    ``best``: the round to stop after; ``importance``: (feature, gain) over the trees up to there."""
+
+    trees: list
+    weights: list[float]
+    rounds: DataFrame
+    best: int
+    importance: DataFrame
+    assembler: object
+
+    def scores(self, rows: DataFrame, to: str = "model_score") -> DataFrame:
+        """``rows`` with the chance of label 1 by the trees up to the best round."""
+        own = _votes(self.assembler.transform(rows), self.trees[: self.best], self.weights)
+        return own.withColumn(to, 1 / (1 + F.exp(-2 * F.aggregate("_votes", F.lit(0.0), lambda s, x: s + x)))).drop("_f", "_votes")
+
+
+def _votes(rows: DataFrame, trees: list, weights: list[float]) -> DataFrame:
+    """``rows`` with what each tree adds to the margin, in one pass."""
+    for k, tree in enumerate(trees):
+        rows = tree.setPredictionCol(f"_t{k}").transform(rows)
+    own = rows.withColumn("_votes", F.array(*[F.col(f"_t{k}") * w for k, w in zip(range(len(trees)), weights, strict=False)]))
+    return own.drop(*[f"_t{k}" for k in range(len(trees))])
+
+
+def round_aucs(votes: DataFrame, label: str) -> DataFrame:
+    """(round, auc) of the running sums of ``_votes``; equal margins share their place. Rows are
+    counted by round and margin first; running counts are taken range by range."""
+    margins = F.aggregate("_votes", F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x)))
+    flat = votes.select(F.col(label).alias("y"), F.posexplode(margins).alias("round", "m")).groupBy(F.col("round") + 1, F.round("m", 9)).agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("neg")).toDF("round", "m", "pos", "neg")
+    ran = running(flat, F.col("round"), F.col("m"), amount=F.col("neg"), to="before")
+    own = ran.groupBy("round").agg(F.sum(F.col("pos") * (F.col("before") + F.col("neg") / 2)).alias("s"), F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.min("before").alias("first"))
+    return own.select("round", ((F.col("s") - F.col("first") * F.col("p")) / (F.col("p") * F.col("n"))).alias("auc"))
+
+
+def stop_round(aucs: list[float], patience: int) -> int:
+    """The best round (from 1) when training stops after ``patience`` rounds without a better one."""
+    best = 0
+    for k, auc in enumerate(aucs):
+        if auc > aucs[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
+def _splits(node) -> list[tuple[int, float]]:
+    """(feature, gain of all rows) of the splits of a tree; as many as the model has nodes."""
+    out, work = [], [node]
+    while work:
+        node = work.pop()
+        if node.getClass().getSimpleName() == "InternalNode":
+            out.append((node.split().featureIndex(), node.gain() * node.impurityStats().count()))
+            work += [node.leftChild(), node.rightChild()]
+    return out
+
+
+def boosted(rows: DataFrame, features: list[str], label: str, part: str = "part", trees: int = 100, depth: int = 4, patience: int = 50, seed: int = 42) -> Boosted:
+    """Gradient boosted trees fitted where part = train; the number that counts is chosen on the
+    rows where part = held_out, all prefixes of which are scored in one pass."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    spark = rows.sparkSession
+    assembler = VectorAssembler(inputCols=features, outputCol="_f", handleInvalid="keep")
+    own = assembler.transform(rows)
+    model = GBTClassifier(featuresCol="_f", labelCol=label, maxIter=trees, maxDepth=depth, seed=seed).fit(own.where(F.col(part) == "train"))
+    grown, weights = list(model.trees), list(model.treeWeights)
+    rounds = settled(round_aucs(_votes(own.where(F.col(part) == "held_out"), grown, weights).select(label, "_votes"), label))
+    aucs = [r.auc for r in rounds.orderBy("round").collect()]  # a number for each tree
+    best = stop_round(aucs, patience) if aucs and all(x is not None for x in aucs) else len(grown)
+    gain = dict.fromkeys(features, 0.0)
+    for tree in grown[:best]:
+        for k, g in _splits(tree._call_java("rootNode")):
+            gain[features[k]] += g
+    importance = spark.createDataFrame(sorted(gain.items(), key=lambda x: (-x[1], x[0])), "feature string, gain double")
+    return Boosted(grown, weights, rounds, best, importance, assembler)

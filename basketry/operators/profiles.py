@@ -133,3 +133,148 @@ def merged_profiles(profiles: DataFrame, active: DataFrame, sparse: DataFrame) -
     own = profiles.join(active.select("customer_id", F.col("text").alias("_a")), "customer_id", "left").join(sparse.select("customer_id", F.col("text").alias("_s")), "customer_id", "left")
     source = F.when(F.col("_a").isNotNull(), "model").when(F.col("_s").isNotNull(), "template").otherwise("none")
     return own.select(*profiles.columns, F.coalesce("_a", "_s", F.lit("")).alias("text"), source.alias("profile_source"), F.col("_a").isNotNull().alias("is_active"))
+
+# fixed values: fields of a profile with their labels, in their order
+FIELDS = [
+    ("style_mood_preference", "Style mood"),
+    ("occasion_preference", "Occasion"),
+    ("quality_price_tendency", "Quality-price"),
+    ("trend_sensitivity", "Trend"),
+    ("seasonal_pattern", "Season"),
+    ("form_preference", "Form"),
+    ("color_tendency", "Color"),
+    ("coordination_tendency", "Coordination"),
+    ("identity_summary", "Identity"),
+]
+# fixed values: attributes that fields name the most frequent values of, and how many
+NAMED = {"l2_style_mood": 3, "l2_occasion": 3, "l2_trendiness": 1, "l2_season_fit": 2, "l3_color_harmony": 2, "l3_tone_season": 2, "l3_coordination_role": 2, "l3_slot6": 2}
+LISTS = ("l2_style_mood", "l2_occasion")
+
+
+def tenths(total: Column, n: Column) -> Column:
+    """total / n with one digit, as text; exact halves go up. Whole numbers, so that it doesn't
+    depend on how a quotient is stored."""
+    t = F.floor((20 * total + n) / (2 * n)).cast("long")
+    return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
+
+
+def quality_tendency(total: Column, n: Column) -> Column:
+    """The band of a mean quality of 1 to 5; Unknown without any."""
+    band = F.when(total <= 2 * n, "Budget-conscious").when(2 * total <= 7 * n, "Mid-range").otherwise("Quality-oriented")
+    return F.when(n > 0, F.concat(band, F.lit(" (avg "), tenths(total, n), F.lit("/5)"))).otherwise("Unknown")
+
+
+def template_profiles(users: DataFrame, txn: DataFrame, facts: DataFrame, user: str = "customer_id") -> DataFrame:
+    """(user, n_purchases, the nine fields, reasoning_text, reasoning_json, profile_source) of
+    users with little history, from the facts of what they bought, whole quality scales included.
+
+    A field names the most frequent values of an attribute, of equals the first in code-point
+    order. Users without a purchase have Unknown fields and an empty JSON object.
+    """
+    wanted = users.select(user).distinct()
+    own = txn.select(user, "article_id").join(wanted, user, "left_semi").join(facts.select("article_id", "l2_perceived_quality", *NAMED), "article_id", "left")
+    quality = F.col("l2_perceived_quality").cast("long")
+    sums = own.groupBy(user).agg(F.count("*").alias("n_purchases"), F.sum(quality).alias("_q"), F.count(quality).alias("_nq"))
+    value = lambda c: C.json_list(F.col(c)) if c in LISTS else F.array(F.col(c).cast("string"))
+    each = F.concat(*[F.transform(value(c), lambda v, c=c: F.struct(F.lit(c).alias("field"), v.alias("value"))) for c in NAMED])
+    n = own.select(user, F.explode(each).alias("x")).select(user, "x.*").where("value is not null").groupBy(user, "field", "value").agg(F.count("*").alias("n"))
+    place = F.row_number().over(W.partitionBy(user, "field").orderBy(F.desc("n"), "value"))
+    most = F.create_map(*[F.lit(x) for kv in NAMED.items() for x in kv])
+    top = n.withColumn("place", place).where(F.col("place") <= F.element_at(most, F.col("field")))
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]), ", ")
+    texts = top.groupBy(user, "field").agg(names.alias("text")).groupBy(user).agg(F.map_from_entries(F.collect_list(F.struct("field", "text"))).alias("_t"))
+    own = wanted.join(sums, user, "left").join(texts, user, "left")
+    bought = F.coalesce("n_purchases", F.lit(0))
+    of = lambda c, none: F.coalesce(F.try_element_at("_t", F.lit(c)), F.lit(none))
+    colour = F.concat_ws("; ", F.try_element_at("_t", F.lit("l3_color_harmony")), F.try_element_at("_t", F.lit("l3_tone_season")))
+    fields = {
+        "style_mood_preference": of("l2_style_mood", "Unknown"),
+        "occasion_preference": of("l2_occasion", "Unknown"),
+        "quality_price_tendency": quality_tendency(F.coalesce("_q", F.lit(0)), F.coalesce("_nq", F.lit(0))),
+        "trend_sensitivity": of("l2_trendiness", "Unknown"),
+        "seasonal_pattern": of("l2_season_fit", "Unknown"),
+        "form_preference": F.when(bought > 0, of("l3_slot6", "Insufficient data")).otherwise("Unknown"),
+        "color_tendency": F.when(colour != "", colour).otherwise("Unknown"),
+        "coordination_tendency": of("l3_coordination_role", "Unknown"),
+        "identity_summary": F.when(bought > 0, F.concat(F.lit("User with "), bought.cast("string"), F.lit(" purchase(s), limited history for deep analysis."))).otherwise("New user with no purchase history."),
+    }
+    out = own.select(user, bought.alias("n_purchases"), *[v.alias(k) for k, v in fields.items()])
+    json = F.when(F.col("n_purchases") > 0, F.to_json(F.struct(*fields))).otherwise("{}")
+    return out.withColumns({"reasoning_text": nine_fields(F.struct(*fields)), "reasoning_json": json, "profile_source": F.lit("template")})
+
+
+def nine_fields(profile: Column) -> Column:
+    """A profile's nine fields as one text: (a) Style mood: ... (i) Identity: ...; what is missing
+    is Unknown. A field that ends in a full stop gets no second one only if it is the template's
+    sentence for new users."""
+    new = profile["identity_summary"] == "New user with no purchase history."
+    parts = []
+    for k, (name, label) in enumerate(FIELDS):
+        end = F.when(new, "").otherwise(".") if name == "identity_summary" else F.lit(".")
+        parts.append(F.concat(F.lit(f"({chr(97 + k)}) {label}: "), F.coalesce(profile[name], F.lit("Unknown")), end))
+    return F.concat_ws(" ", *parts)
+
+
+# fixed values: how recent items and attribute patterns are named in a request
+PATTERNS = [("l3_color_harmony", "Color Harmony"), ("l3_tone_season", "Tone Season"), ("l3_coordination_role", "Coordination Role"), ("l3_style_lineage", "Style Lineage")]
+
+
+def percents(shares: Column, most: int) -> Column:
+    """Shares (value, n, total), largest first, as "value 42%, ..."; exact halves go up."""
+    one = lambda s: F.concat(s["value"], F.lit(" "), F.floor((200 * s["n"] + s["total"]) / (2 * s["total"])).cast("string"), F.lit("%"))
+    return F.array_join(F.transform(F.slice(shares, 1, most), one), ", ")
+
+
+def counted_shares(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, shares): (value, n, total) of each group, the most frequent first, of equals the
+    first in code-point order."""
+    n = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("string").alias("value")).agg(F.count("*").alias("n"))
+    n = n.withColumn("total", F.sum("n").over(W.partitionBy(*keys)))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "value", "n", "total")))
+    return n.groupBy(*keys).agg(F.transform(ordered, lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"), x["total"].alias("total"))).alias("shares"))
+
+
+def request_messages(txn: DataFrame, articles: DataFrame, facts: DataFrame, slots: dict[str, dict[str, str]], k: int = 20, user: str = "customer_id") -> DataFrame:
+    """(user, message): what a model is told of each user: an overview, the last ``k`` items with
+    how they are perceived, and the shares of style attributes, over all and by category.
+
+    ``slots``: for each category the labels of its own attributes (l3_slot6, l3_slot7). Parts
+    without a value are left out; lines are in a fixed order, so a rerun gives the same text.
+    """
+    known = txn.join(articles.select("article_id", "product_type_name"), "article_id", "left")
+    types = counted_shares(known, [user], "product_type_name").withColumnRenamed("shares", "_types")
+    online = F.sum(F.when(F.col("sales_channel_id") == 2, 1).otherwise(0))
+    base = known.groupBy(user).agg(F.count("*").alias("_n"), F.count_distinct("product_type_name").alias("_k"), online.alias("_online"))
+    whole = lambda a, b: F.floor((200 * a + b) / (2 * b)).cast("string")
+    overview = [
+        F.lit("--- Customer Overview ---"),
+        F.concat(F.lit("Purchases: "), F.col("_n").cast("string"), F.lit(" items, "), F.col("_k").cast("string"), F.lit(" unique types")),
+        F.when(F.size("_types") > 0, F.concat(F.lit("Top categories: "), percents(F.col("_types"), 5))),
+        F.concat(F.lit("Online ratio: "), whole(F.col("_online"), F.col("_n")), F.lit("%")),
+    ]
+    members = lambda c: F.array_join(F.slice(C.json_list(F.col(c)), 1, 3), ", ")
+    some = lambda label, x, end="": F.when(x.isNotNull() & (x != ""), F.concat(F.lit(label), x, F.lit(end)))
+    text = lambda c: F.col(c).cast("string")
+    columns = ["super_category", "l2_style_mood", "l2_occasion", "l2_perceived_quality", "l2_trendiness", "l2_season_fit"]
+    recent = recent_items(txn, k).join(facts.select("article_id", *columns), "article_id", "left")
+    item = F.concat_ws(" | ", some("", text("super_category")), some("Style: ", members("l2_style_mood")), some("Occasion: ", members("l2_occasion")), some("Quality: ", text("l2_perceived_quality"), "/5"), some("Trend: ", text("l2_trendiness")), some("Season: ", text("l2_season_fit")))
+    lines = recent.select(user, "place", F.concat(F.col("place").cast("string"), F.lit(". "), item).alias("line"))
+    lines = lines.groupBy(user).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("_items"))
+    out = base.join(types, user, "left").join(lines, user, "left")
+    bought = txn.select(user, "article_id").join(facts, "article_id")
+    patterns = []
+    for c, label in PATTERNS:
+        rows = bought.select(user, F.explode(C.json_list(F.col(c))).alias(c)) if c == "l3_style_lineage" else bought
+        out = out.join(counted_shares(rows, [user], c).withColumnRenamed("shares", f"_{c}"), user, "left")
+        patterns.append(F.when(F.size(f"_{c}") > 0, F.concat(F.lit(f"{label}: "), percents(F.col(f"_{c}"), 5))))
+    weights = bought.groupBy(user).agg(F.sum(F.col("l3_visual_weight").cast("long")).alias("_w"), F.count("l3_visual_weight").alias("_nw"))
+    by_category = bought.where("super_category is not null").groupBy(user, "super_category").agg(F.count("*").alias("_nc"))
+    for c in ("l3_slot6", "l3_slot7"):
+        by_category = by_category.join(counted_shares(bought.where("super_category is not null"), [user, "super_category"], c).withColumnRenamed("shares", f"_{c}"), [user, "super_category"], "left")
+    named = lambda c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for cat, labels in slots.items() for x in (cat, labels[c])]), F.col("super_category")), F.lit(c[3:].capitalize()))
+    own = F.concat_ws(" | ", F.concat(F.lit("  "), F.col("super_category"), F.lit(" (n="), F.col("_nc").cast("string"), F.lit("):")), *[F.when(F.size(f"_{c}") > 0, F.concat(named(c), F.lit(": "), percents(F.col(f"_{c}"), 3))) for c in ("l3_slot6", "l3_slot7")])
+    categories = by_category.select(user, "super_category", own.alias("line")).groupBy(user).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("super_category", "line"))), lambda x: x["line"]), "\n").alias("_categories"))
+    out = out.join(weights, user, "left").join(categories, user, "left")
+    weight = F.when(F.col("_nw") > 0, F.concat(F.lit("Visual Weight: mean "), tenths(F.col("_w"), F.col("_nw"))))
+    message = F.concat_ws("\n", *overview, F.lit("\n--- Recent Items (L2 Attributes) ---"), "_items", F.lit("\n--- Attribute Patterns (L3 Theory-Based) ---"), *patterns, weight, F.when(F.col("_categories").isNotNull(), F.concat(F.lit("Category-Specific:\n"), F.col("_categories"))))
+    return out.select(user, message.alias("message"))

@@ -31,24 +31,41 @@ def profile_vectors(profiles: DataFrame, maps: dict[str, list[str]], user: str =
     return profiles.select(user, F.array(*parts, clean("online_ratio", 0.5), clean("diversity", 0.0)).alias("vector"))
 
 
-def attribute_vectors(txn: DataFrame, facts: DataFrame, enums: dict[str, list[str]], lists: dict[str, list[str]], means: list[str], raw: dict[str, list[str]] | None = None, user: str = "customer_id") -> DataFrame:
-    """(user, vector): shares of enum and list values among a user's purchases, each section
-    summing to 1 or 0, means of 1-to-5 scales over 5 (missing: 0.5) and plain counts of the
-    list values of ``raw``; one aggregation."""
-    raw = raw or {}
-    own = txn.join(facts, "article_id", "left").select(user, *enums, *means, *[C.json_list(F.col(c)).alias(c) for c in {**lists, **raw}])
+Section = tuple[str, str, list[str] | None]
+
+
+def sectioned_vectors(txn: DataFrame, facts: DataFrame, sections: list[Section], user: str = "customer_id") -> DataFrame:
+    """(user, vector): sections in their order, one aggregation over a user's purchases.
+
+    A section is (kind, column, values): the shares of a column's values (``share``) or of a JSON
+    list's members (``list``), which sum to 1 or are all 0; plain counts of a list's members
+    (``count``); or the mean of a scale of 1 to 5 over 5, 0.5 if missing (``mean``).
+    """
+    own = txn.join(facts, "article_id", "left").select(user, *[C.json_list(F.col(c)).alias(c) if kind in ("list", "count") else F.col(c) for kind, c, _ in sections])
     one = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("double")
-    sums = {f"{c}_{k}": one(F.col(c) == v) for c, vs in enums.items() for k, v in enumerate(vs)}
-    sums |= {f"{c}_{k}": one(F.array_contains(c, v)) for c, vs in {**lists, **raw}.items() for k, v in enumerate(vs)}
-    sums |= {f"{c}_mean": F.coalesce(F.avg(c) / 5, F.lit(0.5)) for c in means}
-    agg = own.groupBy(user).agg(*[v.alias(k) for k, v in sums.items()])
+    sums = []
+    for k, (kind, c, values) in enumerate(sections):
+        if kind == "mean":
+            sums.append(F.coalesce(F.avg(F.col(c).cast("double")) / 5, F.lit(0.5)).alias(f"_{k}"))
+        else:
+            sums.append(F.array(*[one(F.array_contains(c, v) if kind != "share" else F.col(c) == v) for v in values]).alias(f"_{k}"))
+    agg = own.groupBy(user).agg(*sums)
 
-    def section(c: str, n: int) -> list[Column]:
-        total = reduce(lambda a, b: a + b, [F.col(f"{c}_{k}") for k in range(n)])
-        return [F.when(total > 0, F.col(f"{c}_{k}") / total).otherwise(0.0) for k in range(n)]
+    def section(k: int, kind: str) -> Column:
+        x = F.col(f"_{k}")
+        if kind == "mean":
+            return F.array(x)
+        total = F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+        return x if kind == "count" else F.transform(x, lambda v: F.when(total > 0, v / total).otherwise(0.0))
 
-    parts = [x for c, vs in (enums | lists).items() for x in section(c, len(vs))]
-    return agg.select(user, F.array(*parts, *[F.col(f"{c}_mean") for c in means], *[F.col(f"{c}_{k}") for c, vs in raw.items() for k in range(len(vs))]).alias("vector"))
+    return agg.select(user, F.concat(*[section(k, kind) for k, (kind, _, _) in enumerate(sections)]).alias("vector"))
+
+
+def attribute_vectors(txn: DataFrame, facts: DataFrame, enums: dict[str, list[str]], lists: dict[str, list[str]], means: list[str], raw: dict[str, list[str]] | None = None, user: str = "customer_id") -> DataFrame:
+    """(user, vector): shares of enum and list values, then means, then plain counts of the
+    list values of ``raw``; see ``sectioned_vectors``."""
+    sections = [("share", c, v) for c, v in enums.items()] + [("list", c, v) for c, v in lists.items()] + [("mean", c, None) for c in means] + [("count", c, v) for c, v in (raw or {}).items()]
+    return sectioned_vectors(txn, facts, sections, user)
 
 
 def statistics(rows: DataFrame, label: str, columns: list[str]) -> DataFrame:

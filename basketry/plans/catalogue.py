@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analysis, attributes, candidates, features, ml, profiles, quality, segments
+from ..operators.ordering import settled
 from ..sources import tables
 from .retail import TYPES, Shop, query, rounded
 from .sql import TRAIN_END, VAL_END
@@ -44,14 +45,6 @@ def attribute_vectors(spark, sf_dir):
     return rounded(own.select("customer_id", F.col("vector")[0].alias("classic"), F.col("vector")[4].alias("casual"), F.col("vector")[7].alias("quality")))
 
 
-@query()
-def profile_vectors(spark, sf_dir):
-    s = Shop(spark, sf_dir)
-    base = profiles.base_profiles(s.train, s.articles)
-    own = base.join(profiles.price_quintiles(base), "customer_id").join(_weights(s), "customer_id", "left").join(profiles.diversity(profiles.distributions(profiles.weighted(s.train).join(s.articles, "article_id"), "product_type_name")), "customer_id", "left")
-    return segments.profile_vectors(own, {"weights": [f"Brand#{k}" for k in range(1, 26)]})
-
-
 LABELS = "lb AS (SELECT customer_id, CAST(count(*) % 5 AS INT) AS a, CAST(count(DISTINCT article_id) % 5 AS INT) AS b, avg(price) AS p, count(*) AS n FROM train GROUP BY customer_id)"
 
 
@@ -210,15 +203,6 @@ def validation_report(spark, sf_dir):
     return rounded(attributes.validation_summary(attributes.validated(Shop(spark, sf_dir).fk, FIELDS, RULES)))
 
 
-@query()
-def request_chunks(spark, sf_dir):
-    """Bytes and lines of each request chunk; none exceeds its bounds."""
-    s = Shop(spark, sf_dir)
-    lines = attributes.request_lines(s.fk, "model", F.concat_ws(" ", "super_category", "l1_material"))
-    packed = tables.chunked(lines, "article_id", "line", 20_000, 50)
-    return packed.groupBy("stream", "chunk").agg(F.sum(F.octet_length("line") + 1).alias("bytes"), F.count("*").alias("n"))
-
-
 @query("""SELECT CAST(article_id AS VARCHAR) AS custom_id, l2_trendiness AS trend FROM fk WHERE article_id % 5 <> 0""")
 def response_parsing(spark, sf_dir):
     """Facts written as response lines and read again; lines with an error are skipped."""
@@ -386,21 +370,35 @@ def topic_words(spark, sf_dir):
     return rounded(ml.topic_words(spark.read.parquet(f"{sf_dir}/documents.parquet"), "lang", "text"))
 
 
-@query()
-def boosted_reranking(spark, sf_dir):
-    """Held-out candidates placed by a boosted model's score."""
+def _boosted(spark, sf_dir):
     from .retail import _blend
 
     s = Shop(spark, sf_dir)
     users = features.user_features(s.train, s.articles, s.customers, TRAIN_END)
     items = features.item_features(s.train, s.articles, ["section_name"])
     rows = candidates.rerank_features(_blend(s), users, items, s.train, s.articles, TRAIN_END)
-    rows = candidates.hash_split(candidates.labelled(rows, s.val), "customer_id")
-    scored = ml.boosted_scores(rows, ["score", "rank", "gap", "u_n_purchases", "i_n_sold", "price_ratio", "pair_n", "pair_days", "type_n"], "label", trees=5)
+    rows = settled(candidates.hash_split(candidates.labelled(rows, s.val), "customer_id"))
+    return rows, ml.boosted(rows, ["score", "rank", "gap", "u_n_purchases", "i_n_sold", "price_ratio", "pair_n", "pair_days", "type_n"], "label", trees=12, patience=5)
+
+
+@query()
+def boosted_reranking(spark, sf_dir):
+    """Held-out candidates placed by a boosted model's score, as of its best round."""
     from pyspark.sql import Window as W
 
+    rows, model = _boosted(spark, sf_dir)
     place = F.row_number().over(W.partitionBy("customer_id").orderBy(F.desc("model_score"), "article_id"))
-    return scored.where("part = 'held_out'").withColumn("place", place).where("place <= 12").select("customer_id", "article_id", "place")
+    scored = model.scores(rows.where("part = 'held_out'"))
+    return scored.withColumn("place", place).where("place <= 12").select("customer_id", "article_id", "place")
+
+
+@query()
+def boosted_rounds(spark, sf_dir):
+    """The re-ranker's AUC after each round, the round it stops at, and the gain of each feature."""
+    _, model = _boosted(spark, sf_dir)
+    rounds = model.rounds.select(F.lit("auc").alias("what"), F.col("round").cast("string").alias("name"), F.col("auc").alias("value"))
+    best = model.rounds.where(F.col("round") == model.best).select(F.lit("best"), F.col("round").cast("string"), "auc")
+    return rounded(rounds.unionByName(best.toDF("what", "name", "value")).unionByName(model.importance.select(F.lit("gain").alias("what"), F.col("feature").alias("name"), F.col("gain").alias("value"))))
 
 
 @query("""WITH n AS (SELECT DISTINCT customer_id, article_id FROM train), du AS (SELECT customer_id, count(*) AS d FROM n GROUP BY 1), di AS (SELECT article_id, count(*) AS d FROM n GROUP BY 1),

@@ -29,8 +29,8 @@ def split_assignment(d: Dialect) -> str:
 @plan
 def split_statistics(d: Dialect) -> str:
     return """SELECT (SELECT count(*) FROM train) AS n_train, (SELECT count(*) FROM val) AS n_val, (SELECT count(*) FROM test) AS n_test,
-        (SELECT count(DISTINCT customer_id) FROM val WHERE customer_id NOT IN (SELECT customer_id FROM train WHERE customer_id IS NOT NULL)) AS cold_users,
-        (SELECT count(DISTINCT article_id) FROM val WHERE article_id NOT IN (SELECT article_id FROM train WHERE article_id IS NOT NULL)) AS cold_items,
+        (SELECT count(DISTINCT customer_id) FROM val v WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.customer_id = v.customer_id)) AS cold_users,
+        (SELECT count(DISTINCT article_id) FROM val v WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.article_id = v.article_id)) AS cold_items,
         (SELECT count(DISTINCT customer_id) FROM val WHERE customer_id IN (SELECT customer_id FROM train)) AS common_users,
         (SELECT count(DISTINCT article_id) FROM val WHERE article_id IN (SELECT article_id FROM train)) AS common_items"""
 
@@ -183,7 +183,8 @@ def dashboard(d: Dialect) -> str:
     count = lambda what, name: f"(SELECT count(*) FROM {what}) AS {name}"
     counts = [count(f"{p}_u", f"{p}_users") for p in parts] + [count(f"{p}_i", f"{p}_items") for p in parts]
     for p in parts[1:]:
-        counts += [count(f"train_u WHERE k IN (SELECT k FROM {p}_u)", f"train_{p}_users"), count(f"{p}_u WHERE k NOT IN (SELECT k FROM train_u)", f"{p}_new_users"), count(f"{p}_i WHERE k NOT IN (SELECT k FROM train_i)", f"{p}_new_items")]
+        new = lambda of: f"{p}_{of} x WHERE k IS NOT NULL AND NOT EXISTS (SELECT 1 FROM train_{of} t WHERE t.k = x.k)"  # noqa: B023, E731
+        counts += [count(f"train_u WHERE k IN (SELECT k FROM {p}_u)", f"train_{p}_users"), count(new("u"), f"{p}_new_users"), count(new("i"), f"{p}_new_items")]
     return f"WITH {users}, {items} SELECT {', '.join(counts)}"
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue, exploration, reports, retail, sql  # noqa: F401  two of them add to retail's queries
+from . import catalogue, exploration, models, reports, retail, sql  # noqa: F401  three of them add to retail's queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -73,6 +73,9 @@ Plan = Callable[[Dialect], str]
 def text(plan: Plan, dialect: Dialect) -> str:
     """The plan with those retail views that it names, in front."""
     body = plan(dialect).strip()
+    recursive = "RECURSIVE " if body[:14].upper() == "WITH RECURSIVE" else ""
+    if recursive:
+        body = f"WITH{body[14:]}"
     rest = f", {body[4:].lstrip()}" if body[:4].upper() == "WITH" else f" {body}"
     need: list[str] = []
 
@@ -85,7 +88,7 @@ def text(plan: Plan, dialect: Dialect) -> str:
 
     add(body)
     head = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in need)
-    return f"WITH {head}{rest}" if need else body
+    return f"WITH {recursive}{head}{rest}" if need else body.replace("WITH", f"WITH {recursive}".rstrip(), 1) if recursive else body
 
 
 def _names(where: str, name: str) -> bool:
