@@ -39,7 +39,7 @@ from . import common
 #: Occurrences of terms in the items that are asked in one pass; postings of a segment; cells
 #: (states x terms) of a chunk of states.
 ASKED, POSTINGS, CELLS = 1 << 20, 1 << 20, 1 << 20
-#: Documents that are searched ahead to have a bar for each item, and how many times as many
+#: Documents, about, that are searched ahead to have a bar for each item, and how many times as many
 #: there must be for that to pay.
 AHEAD, PAYS = 20_000, 10
 #: Slots of the filter that tells most documents without a term before its postings are searched.
@@ -309,8 +309,9 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 20, id: str = "doc_id", t
         for r in stored.select(F.explode("term").alias("term")).groupBy("term").count().collect():  # the items' own terms
             frequency[r[0]] = r[1]
         floors = np.zeros(len(q.ids), np.int64)
-        if n_documents > AHEAD * PAYS:
-            for item, scores in merged(answers(stored.limit(AHEAD), q, n_documents, n_terms, frequency, floors, k), k).groupBy("item").agg(F.collect_list("score")).collect():
+        if n_documents > AHEAD * PAYS:  # any documents will do: what k of them reach is a floor
+            ahead = stored.where(F.pmod(F.xxhash64("id", "n"), F.lit(n_documents // AHEAD)) == 0)
+            for item, scores in merged(answers(ahead, q, n_documents, n_terms, frequency, floors, k), k).groupBy("item").agg(F.collect_list("score")).collect():
                 if len(scores) == k:
                     floors[item] = min(scores)
         one = merged(answers(stored, q, n_documents, n_terms, frequency, floors, k), k)
