@@ -14,6 +14,26 @@ from .metrics import auc
 from .ordering import midranks, placed, running
 
 
+def hash_number(*parts: Column) -> Column:
+    """A number of 60 bits from the MD5 of the parts, which other engines have too."""
+    key = F.concat_ws(":", *[F.coalesce(x.cast("string"), F.lit("")) for x in parts])
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def exploded(rows: DataFrame, lists: list[str]) -> DataFrame:
+    """``rows`` with a row for each member of their JSON list columns, one column after the other,
+    so that members of several columns multiply; empty and missing lists keep the row with null."""
+    for c in lists:
+        rows = rows.withColumn(c, F.explode_outer(C.json_list(F.col(c))))
+    return rows
+
+
+def joined_values(rows: DataFrame, lists: list[str]) -> DataFrame:
+    """``rows`` with the members of JSON list columns in order, joined by ``|``: lists of the same
+    members are one value."""
+    return rows.withColumns({c: F.array_join(F.array_sort(C.json_list(F.col(c))), "|") for c in lists})
+
+
 def mutual_information(rows: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     """MI in bits, entropy of ``a`` and their ratio from the contingency counts of two columns
     (null is the value ``_NONE_``), for each group of ``by``."""
@@ -42,7 +62,7 @@ def conditional_information(rows: DataFrame, a: str, b: str, given: list[str], b
     """MI of a and b within hash bins of the ``given`` columns, weighted by bin size; bins
     under ``least`` rows are left out."""
     key = F.concat_ws("||", *[F.coalesce(F.col(c).cast("string"), F.lit("_NONE_")) for c in given])
-    each = mutual_information(rows.withColumn("_bin", F.pmod(F.crc32(key.cast("binary")), F.lit(bins))), a, b, ["_bin"]).where(F.col("n") >= least)
+    each = mutual_information(rows.withColumn("_bin", F.pmod(hash_number(key), F.lit(bins))), a, b, ["_bin"]).where(F.col("n") >= least)
     return each.agg((F.sum(F.col("mi") * F.col("n")) / F.sum("n")).alias("conditional_mi"), F.sum("n").alias("n"), F.count("*").alias("n_bins"))
 
 
@@ -57,8 +77,8 @@ def user_pairs(users: DataFrame, each: int = 1, seed: int = 42, user: str = "cus
     the hash and their number is linear. Orders are cut in 64 parts."""
     out = None
     for k in range(each):
-        h = F.xxhash64(user, F.lit(seed + k))
-        pairs = users.select(F.col(user).alias("a"), F.lead(user).over(W.partitionBy(F.pmod(h, F.lit(64))).orderBy(h)).alias("b")).where("b is not null")
+        h = hash_number(F.lit(seed + k), F.col(user))
+        pairs = users.select(F.col(user).alias("a"), F.lead(user).over(W.partitionBy(F.pmod(h, F.lit(64))).orderBy(h, user)).alias("b")).where("b is not null")
         out = pairs if out is None else out.unionByName(pairs)
     return out
 

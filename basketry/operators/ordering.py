@@ -10,15 +10,21 @@ from pyspark.sql import functions as F
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """``rows`` written to the checkpoint folder and read back, so that what was counted on them
-    still holds after a lost executor. A local session without one gets a folder of its own."""
-    context = rows.sparkSession.sparkContext
+    """``rows`` written to the checkpoint folder as Parquet and read back, so that what was counted
+    on them still holds after a lost executor, and later plans know their size. The files go when
+    the application ends. A local session without such a folder gets one of its own."""
+    spark = rows.sparkSession
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        own = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        own = spark.conf.get("spark.checkpoint.dir", None)
         if not own and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         context.setCheckpointDir(own or f"file:///tmp/basketry-{uuid.uuid4().hex}")
-    return rows.checkpoint()
+    path = f"{context.getCheckpointDir()}/settled-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def running(rows: DataFrame, *by: Column, amount: Column, to: str) -> DataFrame:

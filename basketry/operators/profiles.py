@@ -176,7 +176,8 @@ def template_profiles(users: DataFrame, txn: DataFrame, facts: DataFrame, user:
     quality = F.col("l2_perceived_quality").cast("long")
     sums = own.groupBy(user).agg(F.count("*").alias("n_purchases"), F.sum(quality).alias("_q"), F.count(quality).alias("_nq"))
     value = lambda c: C.json_list(F.col(c)) if c in LISTS else F.array(F.col(c).cast("string"))
-    each = F.concat(*[F.transform(value(c), lambda v, c=c: F.struct(F.lit(c).alias("field"), v.alias("value"))) for c in NAMED])
+    under = lambda c: lambda v: F.struct(F.lit(c).alias("field"), v.alias("value"))
+    each = F.concat(*[F.transform(value(c), under(c)) for c in NAMED])
     n = own.select(user, F.explode(each).alias("x")).select(user, "x.*").where("value is not null").groupBy(user, "field", "value").agg(F.count("*").alias("n"))
     place = F.row_number().over(W.partitionBy(user, "field").orderBy(F.desc("n"), "value"))
     most = F.create_map(*[F.lit(x) for kv in NAMED.items() for x in kv])
@@ -205,8 +206,7 @@ def template_profiles(users: DataFrame, txn: DataFrame, facts: DataFrame, user:
 
 def nine_fields(profile: Column) -> Column:
     """A profile's nine fields as one text: (a) Style mood: ... (i) Identity: ...; what is missing
-    is Unknown. A field that ends in a full stop gets no second one only if it is the template's
-    sentence for new users."""
+    is Unknown. Every field gets a full stop but the template's sentence for new users, which has its own."""
     new = profile["identity_summary"] == "New user with no purchase history."
     parts = []
     for k, (name, label) in enumerate(FIELDS):
@@ -234,23 +234,24 @@ def counted_shares(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return n.groupBy(*keys).agg(F.transform(ordered, lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"), x["total"].alias("total"))).alias("shares"))
 
 
-def request_messages(txn: DataFrame, articles: DataFrame, facts: DataFrame, slots: dict[str, dict[str, str]], k: int = 20, user: str = "customer_id") -> DataFrame:
+def request_messages(txn: DataFrame, articles: DataFrame, facts: DataFrame, standing: DataFrame, slots: dict[str, dict[str, str]], k: int = 20, user: str = "customer_id") -> DataFrame:
     """(user, message): what a model is told of each user: an overview, the last ``k`` items with
     how they are perceived, and the shares of style attributes, over all and by category.
 
-    ``slots``: for each category the labels of its own attributes (l3_slot6, l3_slot7). Parts
+    ``standing``: (user, diversity, quintile), of which missing ones are 0 and 3. ``slots``: for each category the labels of its own attributes (l3_slot6, l3_slot7). Parts
     without a value are left out; lines are in a fixed order, so a rerun gives the same text.
     """
     known = txn.join(articles.select("article_id", "product_type_name"), "article_id", "left")
     types = counted_shares(known, [user], "product_type_name").withColumnRenamed("shares", "_types")
     online = F.sum(F.when(F.col("sales_channel_id") == 2, 1).otherwise(0))
     base = known.groupBy(user).agg(F.count("*").alias("_n"), F.count_distinct("product_type_name").alias("_k"), online.alias("_online"))
+    base = base.join(standing.select(user, F.col("diversity").alias("_diversity"), F.col("quintile").cast("double").alias("_quintile")), user, "left")
     whole = lambda a, b: F.floor((200 * a + b) / (2 * b)).cast("string")
     overview = [
         F.lit("--- Customer Overview ---"),
-        F.concat(F.lit("Purchases: "), F.col("_n").cast("string"), F.lit(" items, "), F.col("_k").cast("string"), F.lit(" unique types")),
+        F.concat(F.lit("Purchases: "), F.col("_n").cast("string"), F.lit(" items, "), F.col("_k").cast("string"), F.lit(" unique types, diversity "), F.format_string("%.2f", F.coalesce("_diversity", F.lit(0.0)))),
         F.when(F.size("_types") > 0, F.concat(F.lit("Top categories: "), percents(F.col("_types"), 5))),
-        F.concat(F.lit("Online ratio: "), whole(F.col("_online"), F.col("_n")), F.lit("%")),
+        F.concat(F.lit("Price position: avg "), F.format_string("%.1f", F.coalesce("_quintile", F.lit(3.0))), F.lit("/5, Online ratio: "), whole(F.col("_online"), F.col("_n")), F.lit("%")),
     ]
     members = lambda c: F.array_join(F.slice(C.json_list(F.col(c)), 1, 3), ", ")
     some = lambda label, x, end="": F.when(x.isNotNull() & (x != ""), F.concat(F.lit(label), x, F.lit(end)))
@@ -267,7 +268,7 @@ def request_messages(txn: DataFrame, articles: DataFrame, facts: DataFrame, slot
         rows = bought.select(user, F.explode(C.json_list(F.col(c))).alias(c)) if c == "l3_style_lineage" else bought
         out = out.join(counted_shares(rows, [user], c).withColumnRenamed("shares", f"_{c}"), user, "left")
         patterns.append(F.when(F.size(f"_{c}") > 0, F.concat(F.lit(f"{label}: "), percents(F.col(f"_{c}"), 5))))
-    weights = bought.groupBy(user).agg(F.sum(F.col("l3_visual_weight").cast("long")).alias("_w"), F.count("l3_visual_weight").alias("_nw"))
+    weights = bought.groupBy(user).agg(F.sum(F.col("l3_visual_weight").cast("long")).alias("_w"), F.count("l3_visual_weight").alias("_nw"), F.stddev_pop("l3_visual_weight").alias("_sd"))
     by_category = bought.where("super_category is not null").groupBy(user, "super_category").agg(F.count("*").alias("_nc"))
     for c in ("l3_slot6", "l3_slot7"):
         by_category = by_category.join(counted_shares(bought.where("super_category is not null"), [user, "super_category"], c).withColumnRenamed("shares", f"_{c}"), [user, "super_category"], "left")
@@ -275,6 +276,6 @@ def request_messages(txn: DataFrame, articles: DataFrame, facts: DataFrame, slot
     own = F.concat_ws(" | ", F.concat(F.lit("  "), F.col("super_category"), F.lit(" (n="), F.col("_nc").cast("string"), F.lit("):")), *[F.when(F.size(f"_{c}") > 0, F.concat(named(c), F.lit(": "), percents(F.col(f"_{c}"), 3))) for c in ("l3_slot6", "l3_slot7")])
     categories = by_category.select(user, "super_category", own.alias("line")).groupBy(user).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("super_category", "line"))), lambda x: x["line"]), "\n").alias("_categories"))
     out = out.join(weights, user, "left").join(categories, user, "left")
-    weight = F.when(F.col("_nw") > 0, F.concat(F.lit("Visual Weight: mean "), tenths(F.col("_w"), F.col("_nw"))))
+    weight = F.when(F.col("_nw") > 0, F.concat(F.lit("Visual Weight: mean "), tenths(F.col("_w"), F.col("_nw")), F.lit(", std "), F.format_string("%.1f", F.col("_sd"))))
     message = F.concat_ws("\n", *overview, F.lit("\n--- Recent Items (L2 Attributes) ---"), "_items", F.lit("\n--- Attribute Patterns (L3 Theory-Based) ---"), *patterns, weight, F.when(F.col("_categories").isNotNull(), F.concat(F.lit("Category-Specific:\n"), F.col("_categories"))))
     return out.select(user, message.alias("message"))

@@ -354,3 +354,48 @@ def profile_vectors(spark, sf_dir):
         if c == "product_type_name":
             own = own.join(profiles.diversity(dist), "customer_id", "left")
     return rounded(segments.profile_vectors(own, maps).select("customer_id", F.posexplode("vector").alias("pos", "x")))
+
+
+# texts of profiles and requests
+
+PROFILE = [*V.PERCEPTION, *V.THEORY]
+SLOT6 = ["Slim", "Wide", "Loose", "Boxy"]
+
+
+def _facts(s: Shop):
+    slot = F.element_at(F.array(*map(F.lit, SLOT6)), (F.col("article_id") % 4 + 1).cast("int"))
+    return s.fk.select("article_id", "super_category", *_dealt(PROFILE), F.when(F.col("article_id") % 3 != 0, slot).alias("l3_slot6"), F.lit(None).cast("string").alias("l3_slot7"))
+
+
+def _template_check() -> str:
+    values = " UNION ALL ".join(f"SELECT customer_id, '{c}' AS field, unnest(list_distinct({c})) AS value FROM o" for c in profiles.NAMED)
+    most = " ".join(f"WHEN '{c}' THEN {n}" for c, n in profiles.NAMED.items())
+    wide = ", ".join(f"max(CASE WHEN field = '{c}' THEN text END) AS {c}" for c in profiles.NAMED)
+    tenth = "CAST((20 * q + nq) // (2 * nq) AS BIGINT)"
+    quality = f"CASE WHEN nq > 0 THEN CASE WHEN q <= 2 * nq THEN 'Budget-conscious' WHEN 2 * q <= 7 * nq THEN 'Mid-range' ELSE 'Quality-oriented' END || ' (avg ' || CAST({tenth} // 10 AS VARCHAR) || '.' || CAST({tenth} % 10 AS VARCHAR) || '/5)' ELSE 'Unknown' END"
+    or_else = lambda c, none="Unknown": f"coalesce({c}, '{none}')"
+    fields = [or_else("l2_style_mood"), or_else("l2_occasion"), quality, or_else("l2_trendiness"), or_else("l2_season_fit"), f"CASE WHEN n > 0 THEN {or_else('l3_slot6', 'Insufficient data')} ELSE 'Unknown' END",
+        "coalesce(nullif(concat_ws('; ', l3_color_harmony, l3_tone_season), ''), 'Unknown')", or_else("l3_coordination_role"), "CASE WHEN n > 0 THEN 'User with ' || CAST(n AS VARCHAR) || ' purchase(s), limited history for deep analysis.' ELSE 'New user with no purchase history' END"]
+    text = " || ' ' || ".join(f"'({chr(97 + k)}) {label}: ' || {field} || '.'" for k, ((_, label), field) in enumerate(zip(profiles.FIELDS, fields, strict=True)))
+    names = "[" + ", ".join(f"'{v}'" for v in SLOT6) + "]"
+    return f"""WITH d AS (SELECT article_id, {_dealt_sql(PROFILE)}, CASE WHEN article_id % 3 <> 0 THEN [{names}[CAST(article_id % 4 + 1 AS INT)]] END AS l3_slot6 FROM fk), o AS (SELECT t.customer_id, d.* FROM train t LEFT JOIN d ON t.article_id = d.article_id), v AS ({values}),
+        r AS (SELECT *, row_number() OVER (PARTITION BY customer_id, field ORDER BY n DESC, value) AS k FROM (SELECT customer_id, field, value, count(*) AS n FROM v GROUP BY 1, 2, 3) y), w AS (SELECT customer_id, field, string_agg(value, ', ' ORDER BY k) AS text FROM r WHERE k <= CASE field {most} END GROUP BY 1, 2),
+        p AS (SELECT customer_id, {wide} FROM w GROUP BY 1), s AS (SELECT customer_id, count(*) AS n, sum(l2_perceived_quality) AS q, count(l2_perceived_quality) AS nq FROM o GROUP BY 1),
+        a AS (SELECT c.customer_id, coalesce(s.n, 0) AS n, coalesce(s.q, 0) AS q, coalesce(s.nq, 0) AS nq, p.* EXCLUDE (customer_id) FROM customers c LEFT JOIN s ON s.customer_id = c.customer_id LEFT JOIN p ON p.customer_id = c.customer_id)
+        SELECT customer_id, n AS n_purchases, {text} AS reasoning_text FROM a"""
+
+
+@query(_template_check())
+def template_profiles(spark, sf_dir):
+    """Nine-field profiles of all customers from what they bought, those without a purchase too."""
+    s = Shop(spark, sf_dir)
+    return profiles.template_profiles(s.customers, s.train, _facts(s)).select("customer_id", "n_purchases", "reasoning_text")
+
+
+@query()
+def request_messages(spark, sf_dir):
+    """What a model would be told of each customer."""
+    s = Shop(spark, sf_dir)
+    base = profiles.base_profiles(s.train, s.articles)
+    standing = profiles.price_quintiles(base).join(profiles.diversity(profiles.distributions(profiles.weighted(s.train).join(s.articles, "article_id"), "product_type_name")), "customer_id", "left")
+    return profiles.request_messages(s.train, s.articles, _facts(s), standing, {"Apparel": {"l3_slot6": "Silhouette", "l3_slot7": "Proportion"}})

@@ -50,7 +50,8 @@ def stability_summary(spark, sf_dir):
     return rounded(analysis.stability_summary(analysis.half_stability(s.train.join(s.articles, "article_id"), "product_type_name")))
 
 
-PAIRS = "pr AS (SELECT a.customer_id AS a, b.customer_id AS b FROM (SELECT DISTINCT customer_id FROM dist) a JOIN (SELECT DISTINCT customer_id FROM dist) b ON b.customer_id = a.customer_id + 1)"
+PAIRS = """hu AS (SELECT DISTINCT customer_id, CAST('0x' || substr(md5('42:' || CAST(customer_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM dist),
+    pr AS (SELECT * FROM (SELECT customer_id AS a, lead(customer_id) OVER (PARTITION BY h % 64 ORDER BY h, customer_id) AS b FROM hu) x WHERE b IS NOT NULL)"""
 
 
 @query(f"""WITH {TYPES}, {PAIRS}, v AS (SELECT pr.a, pr.b, d.value FROM pr JOIN dist d ON d.customer_id = pr.a UNION SELECT pr.a, pr.b, d.value FROM pr JOIN dist d ON d.customer_id = pr.b),
@@ -58,10 +59,9 @@ PAIRS = "pr AS (SELECT a.customer_id AS a, b.customer_id AS b FROM (SELECT DISTI
     k AS (SELECT a, b, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS d FROM j GROUP BY 1, 2),
     e AS (SELECT customer_id, -sum(p * log2(p)) AS h FROM dist GROUP BY customer_id), m AS (SELECT avg(d) AS d FROM k), n AS (SELECT avg(h) AS h FROM e) SELECT round(d, 6) AS mean_distance, round(h, 6) AS mean_entropy, round(d / h, 6) AS value_index FROM m CROSS JOIN n""")
 def value_index(spark, sf_dir):
-    """Distances of users whose ids follow each other."""
+    """Distances of drawn pairs of users over how varied each user is."""
     dist = _types(Shop(spark, sf_dir))
-    users = dist.select("customer_id").distinct()
-    pairs = users.select(F.col("customer_id").alias("a"), (F.col("customer_id") + 1).alias("b")).join(users.toDF("b"), "b", "left_semi").select("a", "b")
+    pairs = analysis.user_pairs(dist.select("customer_id").distinct())
     return rounded(analysis.value_index(analysis.js_distance(dist, pairs), dist))
 
 

@@ -328,10 +328,27 @@ def pointwise_information(spark, sf_dir):
     return rounded(analysis.pointwise_information(s.train.join(s.fk, "article_id"), "l1_material", "l2_trendiness"))
 
 
-@query()
+MOODS = "(SELECT t.sales_channel_id, f.l1_material, f.l2_trendiness, f.super_category, list_sort(CAST(json(f.l2_style_mood) AS VARCHAR[])) AS moods FROM train t JOIN fk f ON t.article_id = f.article_id)"
+
+
+@query(f"""WITH c0 AS (SELECT sales_channel_id, unnest(CASE WHEN moods IS NULL OR len(moods) = 0 THEN ['_NONE_'] ELSE moods END) AS a FROM {MOODS} x), cells AS (SELECT a, CAST(sales_channel_id AS VARCHAR) AS b, count(*) AS n FROM c0 GROUP BY 1, 2),
+    m AS (SELECT n, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER () AS total, a, b FROM cells), r AS (SELECT sum(n * 1e0 / total * log2(n * CAST(total AS DOUBLE) / (CAST(na AS DOUBLE) * nb))) AS mi, -sum(n * 1e0 / total * log2(na * 1e0 / total)) AS h, max(total) AS n FROM m)
+    SELECT round(mi, 6) AS mi, round(h, 6) AS entropy, CAST(n AS BIGINT) AS n, round(CASE WHEN h > 0 THEN mi / h ELSE 0 END, 6) AS nmi FROM r""")
+def multi_value_information(spark, sf_dir):
+    """Mutual information of list members and the channel: a purchase counts once for each."""
+    s = Shop(spark, sf_dir)
+    return rounded(analysis.mutual_information(analysis.exploded(s.train.join(s.fk, "article_id"), ["l2_style_mood"]), "l2_style_mood", "sales_channel_id"))
+
+
+@query(f"""WITH k AS (SELECT coalesce(l1_material, '_NONE_') AS a, CAST(sales_channel_id AS VARCHAR) AS b, CAST('0x' || substr(md5(concat_ws('||', coalesce(l2_trendiness, '_NONE_'), coalesce(super_category, '_NONE_'), coalesce(array_to_string(moods, '|'), '_NONE_'))), 1, 15) AS BIGINT) % 10 AS bin FROM {MOODS} x),
+    cells AS (SELECT bin, a, b, count(*) AS n FROM k GROUP BY 1, 2, 3), m AS (SELECT bin, n, sum(n) OVER (PARTITION BY bin, a) AS na, sum(n) OVER (PARTITION BY bin, b) AS nb, sum(n) OVER (PARTITION BY bin) AS total FROM cells),
+    r AS (SELECT bin, sum(n * 1e0 / total * log2(n * CAST(total AS DOUBLE) / (CAST(na AS DOUBLE) * nb))) AS mi, max(total) AS n FROM m GROUP BY bin HAVING max(total) >= 100)
+    SELECT round(sum(mi * n) / sum(n), 6) AS conditional_mi, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_bins FROM r""")
 def conditional_information(spark, sf_dir):
+    """Information of material and channel within bins of three attributes, one of them a list."""
     s = Shop(spark, sf_dir)
-    return rounded(analysis.conditional_information(s.train.join(s.fk, "article_id"), "l1_material", "sales_channel_id", ["l2_trendiness", "super_category"]))
+    own = analysis.joined_values(s.train.join(s.fk, "article_id"), ["l2_style_mood"]).withColumn("l2_style_mood", F.when(F.col("l2_style_mood") != "", F.col("l2_style_mood")))
+    return rounded(analysis.conditional_information(own, "l1_material", "sales_channel_id", ["l2_trendiness", "super_category", "l2_style_mood"]))
 
 
 @query(f"WITH {TYPES}, e AS (SELECT customer_id, -sum(p * log2(p)) AS h FROM dist GROUP BY customer_id) SELECT round(avg(h), 6) AS mean_entropy, round(stddev_pop(h), 6) AS sd_entropy, count(*) AS n_users FROM e")
@@ -354,7 +371,8 @@ def js_distance(spark, sf_dir):
     return analysis.js_distance(dist, pairs).agg(F.round(F.avg("distance"), 6).alias("mean_distance"), F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {JS.replace(JS[JS.index("pr AS ("):JS.index("al AS (")], "hu AS (SELECT DISTINCT customer_id, CAST('0x' || substr(md5('42:' || CAST(customer_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM dist), pr AS (SELECT * FROM (SELECT customer_id AS a, lead(customer_id) OVER (PARTITION BY h % 64 ORDER BY h, customer_id) AS b FROM hu) x WHERE b IS NOT NULL), ")}
+    SELECT round(avg(sqrt(greatest(j, 0))), 6) AS mean_distance, count(*) AS n FROM js""")
 def sampled_js_distance(spark, sf_dir):
     dist = _types(Shop(spark, sf_dir))
     pairs = analysis.user_pairs(dist.select("customer_id").distinct())
