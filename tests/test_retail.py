@@ -223,11 +223,14 @@ def test_csv_keeps_zeros_and_fills(spark, tmp_path):
 
 def test_chunks_respect_bytes_and_lines(spark):
     lines = spark.createDataFrame([(k, "x" * (k % 40)) for k in range(300)], "id long, line string")
-    out = tables.chunked(lines, "id", "line", 100, 5, streams=3).collect()
+    out = sorted(tables.chunked(lines, "id", "line", 100, 5).collect())
     groups = {}
     for r in out:
-        groups.setdefault((r.stream, r.chunk), []).append(len(r.line) + 1)
+        groups.setdefault(r.chunk, []).append(len(r.line) + 1)
     assert len(out) == 300 and all(sum(g) <= 100 and len(g) <= 5 for g in groups.values())
+    assert [r.chunk for r in out] == sorted(r.chunk for r in out) and sorted(groups) == list(range(len(groups)))
+    # greedy: the first line of the next chunk would not have fitted
+    assert all(sum(groups[k]) + groups[k + 1][0] > 100 or len(groups[k]) == 5 for k in range(len(groups) - 1))
 
 
 def test_responses_later_file_wins(spark):
