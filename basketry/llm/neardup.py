@@ -10,8 +10,9 @@ may still reach ``least`` are verified on their whole sets. Equal sets count as
 are known to be likely (of like fingerprints, say) and one star for each prefix shingle link
 most texts at linear cost. While texts of different components still meet often at crowded
 shingles, they are held against a few more centres there, others in each round. Then all pairs
-that meet across components are verified; at crowded shingles the join itself compares their
-bitmaps and gives a pair once.
+that meet across components are verified, after the join itself has compared their bitmaps; at
+crowded shingles it gives a pair once. Where many are left, one pair of each two components goes
+first, as a link makes the others needless.
 
 Rows are told apart by their place in the table's files, so no text is stored or shuffled but
 those that are verified.
@@ -44,6 +45,8 @@ BROADCAST_ROWS = 1_000_000
 #: which the rounds of centres end, centres of a shingle in a round, and the share of meetings
 #: that a round must do away with.
 CROWD, FEW_MEETINGS, CENTRES, GAIN = 100, 0.25, 4, 0.1
+#: Pairs across components up to which all are verified at once.
+FEW_PAIRS = 20_000
 #: Pairs of texts that the verification takes at a time.
 PAIR_ROWS = 100
 #: Bits of a bitmap as powers of two: of sets up to so many shingles, and of larger ones.
@@ -157,11 +160,16 @@ def bitmaps_allow(least: float) -> Column:
     return F.when(both, small <= few).when(F.size("a_bits") == F.size("b_bits"), large <= few).otherwise(True)
 
 
+def allowed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose bitmaps allow ``least``."""
+    a, b = sets.select(*[F.col(x).alias(y) for x, y in (("node", "a"), ("size", "a_size"), ("bits", "a_bits"))]), sets.select(*[F.col(x).alias(y) for x, y in (("node", "b"), ("size", "b_size"), ("bits", "b_bits"))])
+    return pairs.join(a, "a").join(b, "b").where(bitmaps_allow(least)).select("a", "b")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text: str, shingle: int, least: float) -> DataFrame:
     """Those of ``pairs`` (a, b: nodes) whose sets reach ``least``, stored. ``sets``: node, size
     and bits of all, and the place (file, at) of the text in ``docs``."""
-    a, b = sets.select(*[F.col(x).alias(y) for x, y in (("node", "a"), ("size", "a_size"), ("bits", "a_bits"))]), sets.select(*[F.col(x).alias(y) for x, y in (("node", "b"), ("size", "b_size"), ("bits", "b_bits"))])
-    pairs = common.stored(pairs.join(a, "a").join(b, "b").where(bitmaps_allow(least)).select("a", "b"), "meeting")
+    pairs = common.stored(pairs.select("a", "b"), "meeting")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = common.stored(sets.select("node", "file", "at").join(small(common.stored(ids, "ids")), "node"), "places")
     file, at = common.place_of(docs)
@@ -198,10 +206,25 @@ def across(keys: DataFrame, roots: DataFrame) -> tuple[DataFrame, float]:
 
 
 def apart(rooted: DataFrame, also: Column) -> DataFrame:
-    """(a, b) of the rows that share a key across components and for which ``also`` holds."""
+    """(a, b, ra, rb) of the rows that share a key across components and for which ``also`` holds,
+    with their roots."""
     a, b = rooted.toDF(*[f"a_{c}" for c in rooted.columns]), rooted.toDF(*[f"b_{c}" for c in rooted.columns])
     meet = (F.col("a_key") == F.col("b_key")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root"))
-    return a.join(b, meet & also).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return a.join(b, meet & also).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_root").alias("ra"), F.col("b_root").alias("rb"))
+
+
+def firsts(cross: DataFrame) -> DataFrame:
+    """One pair of ``cross`` (a, b, ra, rb) for each two components."""
+    return cross.groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
+
+
+def still_apart(cross: DataFrame, done: DataFrame, roots: DataFrame) -> DataFrame:
+    """``cross`` (a, b, ra, rb) without the pairs of ``done``, with the components that ``roots``
+    (node, root) tells; pairs within one are left out."""
+    own = cross.join(done, ["a", "b"], "left_anti")
+    for c in ("ra", "rb"):  # a root belongs where its component does
+        own = own.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_now")), c, "left").withColumn(c, F.coalesce(f"{c}_now", c)).drop(f"{c}_now")
+    return own.where("ra <> rb").select("a", "b", "ra", "rb")
 
 
 def clusters(own: DataFrame, docs: DataFrame, text: str, shingle: int, least: float, likely=None) -> DataFrame:
@@ -226,7 +249,7 @@ def clusters(own: DataFrame, docs: DataFrame, text: str, shingle: int, least: fl
     if likely is not None:
         star = star.unionByName(likely(sets).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     star = common.stored(star.distinct(), "star")
-    links = verified(star, docs, sets, text, shingle, least)
+    links = verified(allowed(star, sets, least), docs, sets, text, shingle, least)
     roots, tested, before = common.components(links), star, None
     crowded = common.stored(keys.groupBy("key").count().where(F.col("count") > CROWD).select("key"), "crowded")
     hot = common.stored(keys.join(crowded, "key", "left_semi"), "hot")
@@ -241,7 +264,7 @@ def clusters(own: DataFrame, docs: DataFrame, text: str, shingle: int, least: fl
         met = met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
         met = common.stored(met.join(tested, ["a", "b"], "left_anti"), "met")
         tested = common.stored(tested.unionByName(met), "tested")
-        links = common.stored(links.unionByName(verified(met, docs, sets, text, shingle, least)), "links")
+        links = common.stored(links.unionByName(verified(allowed(met, sets, least), docs, sets, text, shingle, least)), "links")
         roots = common.components(links)
 
     # a pair whose first shared key is crowded is emitted at one of its crowded keys, others where they meet
@@ -250,8 +273,16 @@ def clusters(own: DataFrame, docs: DataFrame, text: str, shingle: int, least: fl
     once = F.array_min(F.array_intersect("a_shared", "b_shared")) == F.col("a_key")
     cross = apart(rooted, bitmaps_allow(least) & once)
     calm, _ = across(keys.join(crowded, "key", "left_anti"), roots)
-    cross = cross.unionByName(apart(calm, may_reach(F.col("a_size"), F.col("a_pos"), F.col("b_size"), F.col("b_pos"), least)))
-    cross = cross.distinct().join(tested, ["a", "b"], "left_anti")
+    calm = common.stored(calm.join(sets.select("node", "bits"), "node"), "calm")
+    cross = cross.unionByName(apart(calm, may_reach(F.col("a_size"), F.col("a_pos"), F.col("b_size"), F.col("b_pos"), least) & bitmaps_allow(least)))
+    cross = common.stored(cross.distinct().join(tested, ["a", "b"], "left_anti"), "cross")
+    before = None
+    while (n := cross.count()) > FEW_PAIRS and (before is None or n <= (1 - GAIN) * before):
+        before, first = n, common.stored(firsts(cross), "first")
+        links = common.stored(links.unionByName(verified(first, docs, sets, text, shingle, least)), "links")
+        roots, last = common.components(links), cross
+        cross = common.stored(still_apart(cross, first, roots), "cross")
+        common.forget(last)
     roots = common.components(links.unionByName(verified(cross, docs, sets, text, shingle, least)))
     every = own.select("row", "digest").join(nodes, "digest").join(roots, "node", "left")
     return every.select("row", F.coalesce("root", "node").alias("root"))

@@ -91,3 +91,26 @@ def test_near_dedup_stage_on_the_sample(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == survivors(rows)
+
+
+def test_one_pair_of_each_two_components_is_verified_first(spark):
+    from basketry.llm import neardup
+
+    cross = spark.createDataFrame([(1, 5, 1, 5), (2, 5, 1, 5), (2, 6, 1, 5), (6, 1, 5, 1), (1, 9, 1, 9)], "a long, b long, ra long, rb long")
+    first = neardup.firsts(cross)
+    assert sorted(map(tuple, first.collect())) == [(1, 5), (1, 9)]
+    # 1 and 5 turned out to be linked: their other pairs need no verification, and 9 is apart from 1
+    roots = spark.createDataFrame([(5, 1)], "node long, root long")
+    more = cross.unionByName(spark.createDataFrame([(6, 9, 5, 9)], cross.schema))
+    assert [tuple(r) for r in neardup.still_apart(more, first, roots).collect()] == [(6, 9, 1, 9)]
+
+
+def test_waves_of_pairs_change_no_cluster(spark, monkeypatch):
+    from basketry.llm import neardup, simhash
+
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(words[:j] + ["x" if j < 40 else "y"] + words[j + 1 :]) for j in range(41)] + [" ".join(f"{w}{g}" for w in words) for g in "abc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(r.doc_id for r in simhash.deduplicated(docs).collect())
+    monkeypatch.setattr(neardup, "FEW_PAIRS", 0)
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == want
