@@ -45,6 +45,20 @@ def test_search_is_exact_and_skips_blocks(spark):
     assert np.mean([v for v, _ in seen]) < 0.5 * seen[0][1]
 
 
+def test_search_in_many_small_packs_and_pieces(spark, monkeypatch):
+    m, q = vectors(300, seed=5), vectors(90, seed=6)
+    m[200:210] = m[7] * 1000  # far beyond single precision's digits of the others
+    monkeypatch.setattr(nearest, "PACK_BYTES", 2_000)
+    monkeypatch.setattr(nearest, "CELLS", 64)
+    blocks = nearest.packed(frame(spark, m), "id", "v", 16)
+    assert all(len(range(100)[part]) <= 64 for part in nearest.Bounds(blocks).slices(100))
+    top, _ = nearest.searched(frame(spark, q, "u"), blocks, 20, "u", "v")
+    got, s = {}, np.round(q @ m.T, 9)
+    for r in top.collect():
+        got[r.user, r.place] = r.id
+    assert got == {(u, p + 1): int(i) for u in range(90) for p, i in enumerate(np.lexsort((np.arange(300), -s[u]))[:20])}
+
+
 def test_no_block_is_met_beyond_its_bound(spark):
     m, q = vectors(400, seed=3), vectors(20, seed=4)
     blocks = nearest.packed(frame(spark, m), "id", "v", 20)
