@@ -336,3 +336,14 @@ def test_loose_operators(spark):
     assert [tuple(r) for r in rows] == [(1, 1, 3.0, 2, 1, 1), (2, 0, 0.0, 0, 0, 0), (3, 0, 0.0, 0, 0, 0)]
     pair = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0])], "a array<double>, b array<double>")
     assert abs(pair.select(C.cosine(F.col("a"), F.col("b"))).first()[0] - 24 / 25) < 1e-6
+
+
+def test_candidate_queries_ask_for_small_tasks(spark):
+    from basketry.plans import registry
+
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    for name in ("repurchase_candidates", "blended_candidates", "candidate_auc"):
+        spark.conf.set(key, "64m")
+        registry.queries()[name](spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(key) == "8m"
+    spark.conf.unset(key)
