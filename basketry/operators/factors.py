@@ -15,11 +15,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import nearest
-from .ordering import settled
+from .ordering import scratch, settled
 
 #: Purchases of a block, about; steps whose gradients are taken together.
 BLOCK, STEPS = 1 << 20, 64
@@ -79,7 +78,9 @@ def trained(purchases: DataFrame, user: str = "customer_id", item: str = "articl
     for epoch in range(epochs):
         for s in range(p):
             met = users.select(F.col("part").alias("pu"), F.col("ids").alias("uid"), F.col("f").alias("uf"), F.pmod(F.col("part") + s, F.lit(p)).alias("pi"))
-            met = met.join(items.select(F.col("part").alias("pi"), F.col("ids").alias("vid"), F.col("f").alias("vf")), "pi", "full").join(blocks, ["pu", "pi"], "left")
+            # the stratum has one block for each part of the items, so no other travels, and all meet by that part
+            stratum = blocks.where(F.pmod(F.col("pi") - F.col("pu"), F.lit(p)) == s).select("pi", "pairs")
+            met = met.join(items.select(F.col("part").alias("pi"), F.col("ids").alias("vid"), F.col("f").alias("vf")), "pi", "full").join(stratum, "pi", "left")
             both = settled(met.select("pu", "uid", "uf", "pi", "vid", "vf", "pairs").mapInArrow(_sub_epoch(width, rate, penalty, (seed, epoch, s)), f"side int, {PART}"))
             users, items = (both.where(F.col("side") == k).drop("side") for k in (0, 1))
     flat = lambda t: t.select(F.explode(F.arrays_zip("ids", F.transform(F.sequence(F.lit(0), F.size("ids") - 1), lambda k: F.slice("f", k * width + 1, width)).alias("f"))).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.f").alias("f"))
@@ -114,14 +115,14 @@ def _sub_epoch(width: int, rate: float, penalty: float, seeds: tuple[int, int, i
 
 
 def recommended(purchases: DataFrame, users: DataFrame, items: DataFrame, k: int = 12, user: str = "customer_id", item: str = "article_id") -> DataFrame:
-    """(user, item, score, place): the k best items of each user among those never bought. Each
-    user is asked for as many more as they bought, so what is left is whole."""
-    own = purchases.select(F.col(user).cast("long").alias("user"), F.col(item).cast("long").alias("id")).distinct()
-    asked = users.join(own.groupBy(F.col("user").alias("id")).agg((F.count("*") + k).cast("int").alias("most")), "id")
-    top, _ = nearest.searched(asked, nearest.packed(items, "id", "f"), k, "id", "f", own_k="most")
-    fresh = top.join(own, ["user", "id"], "left_anti")
-    place = F.row_number().over(W.partitionBy("user").orderBy(F.desc("score"), "id"))
-    return fresh.withColumn("place", place).where(F.col("place") <= k).select(F.col("user").alias(user), F.col("id").alias(item), "score", "place")
+    """(user, item, score, place): the k best items of each user among those never bought, which
+    are left out where products are taken."""
+    own = purchases.select(F.col(user).cast("long").alias("id"), F.col(item).cast("long").alias("item")).groupBy("id").agg(F.collect_set("item").alias("bought"))
+    with scratch(purchases.sparkSession) as keep:
+        top, _ = nearest.searched(users.join(own, "id"), nearest.packed(items, "id", "f"), k, "id", "f", skip="bought")
+        if hasattr(top, "_settled_path"):
+            keep(top)
+    return top.select(F.col("user").alias(user), F.col("id").alias(item), "score", "place")
 
 
 def pairwise_auc(held_out: DataFrame, purchases: DataFrame, users: DataFrame, items: DataFrame, draws: int = 5, seed: int = 42, user: str = "customer_id", item: str = "article_id") -> DataFrame:
