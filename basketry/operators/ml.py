@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .factors import recommended
 from .ordering import running, settled
 
 
@@ -66,23 +67,15 @@ def expert_block(rows: DataFrame, facts: str, reasons: str, fact_gate: str, reas
 
 
 def als_recommendations(txn: DataFrame, k: int = 12, rank: int = 16, seed: int = 42) -> DataFrame:
-    """(customer_id, article_id, score, place) by implicit ALS, bought articles left out."""
+    """(customer_id, article_id, score, place) by implicit ALS, bought articles left out. Items
+    are searched in blocks, most of which a user's bounds rule out."""
     from pyspark.ml.recommendation import ALS
 
     counts = txn.groupBy("customer_id", "article_id").agg(F.count("*").cast("float").alias("n")).select(F.col("customer_id").cast("int"), F.col("article_id").cast("int"), "n")
     model = ALS(userCol="customer_id", itemCol="article_id", ratingCol="n", implicitPrefs=True, rank=rank, maxIter=5, seed=seed, coldStartStrategy="drop").fit(counts)
-    # users are asked in classes of like basket, so that a heavy one costs the others nothing
-    baskets = counts.groupBy("customer_id").agg(F.ceil(F.log2(F.count("*") + 1)).cast("int").alias("class"))
-    parts = []
-    for (size,) in sorted(baskets.select("class").distinct().collect()):  # a few dozen at most
-        some = baskets.where(F.col("class") == size).select("customer_id")
-        parts.append(model.recommendForUserSubset(some, k + (1 << size)))
-    if not parts:
-        return counts.select("customer_id", "article_id", F.col("n").alias("score"), F.lit(1).alias("place")).where("false")
-    recs = reduce(DataFrame.unionByName, parts).select("customer_id", F.explode("recommendations").alias("r")).select("customer_id", "r.article_id", F.col("r.rating").alias("score"))
-    fresh = recs.join(counts, ["customer_id", "article_id"], "left_anti")
-    place = F.row_number().over(W.partitionBy("customer_id").orderBy(F.desc("score"), "article_id"))
-    return fresh.withColumn("place", place).where(F.col("place") <= k)
+    vectors = lambda t: t.select("id", F.col("features").alias("f"))
+    top = recommended(counts, vectors(model.userFactors), vectors(model.itemFactors), k)
+    return top.select(F.col("customer_id").cast("int"), F.col("article_id").cast("int"), F.col("score").cast("float"), "place")
 
 
 def kmeans(rows: DataFrame, vector: str, k: int, seed: int = 42) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from basketry.operators import factors, nearest, ordering
+from basketry.operators import factors, ml, nearest, ordering
 
 
 def frame(spark, m, id="id"):
@@ -39,6 +39,17 @@ def test_what_a_query_may_not_have_is_left_out_in_the_search(spark):
     assert {(r.user, r.place, r.id) for r in top.collect()} == want
 
 
+def test_als_searches_blocks_in_place_of_all_pairs(spark):
+    rows = [(u, int(i)) for u in range(30) for i in np.random.default_rng(u).choice(40, 1 + u % 9, replace=False)]
+    txn = spark.createDataFrame(rows, "customer_id long, article_id long")
+    top = ml.als_recommendations(txn, k=5, rank=4)
+    plan = top._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Join" not in plan
+    got = top.collect()
+    assert len(got) == 30 * 5 and not {(r.customer_id, r.article_id) for r in got} & set(rows)
+    assert [c for c, _ in top.dtypes] == ["customer_id", "article_id", "score", "place"]
+
+
 def test_recommended_are_the_best_never_bought(spark):
     rng = np.random.default_rng(5)
     u, v = rng.normal(size=(9, 3)), rng.normal(size=(25, 3))
