@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import running
+
 
 def per_user(predicted: DataFrame, truth: DataFrame, k: int = 12, user: str = "customer_id", item: str = "article_id") -> DataFrame:
     """Average precision, hit rate, NDCG and reciprocal rank at k of every user of ``truth``
@@ -37,11 +39,16 @@ def evaluated(predicted: DataFrame, truth: DataFrame, k: int = 12, cohorts: Data
 def auc(rows: DataFrame, score: str = "score", label: str = "label", by: list[str] | None = None) -> DataFrame:
     """Rank-based area under the curve with average ranks for ties, for each group of ``by``.
 
-    Scores are counted first, so the window runs over distinct scores only.
+    Scores are counted first, so the window runs over distinct scores only; without groups they are
+    summed range by range.
     """
     by = by or []
     counts = rows.groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n"))
-    below = F.sum("n").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
-    won = counts.withColumn("won", F.col("p") * (below + F.col("n") / 2.0))
+    if by:
+        below = F.sum("n").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+        counts = counts.withColumn("_below", below)
+    else:
+        counts = running(counts, F.col(score), amount=F.col("n"), to="_below")
+    won = counts.withColumn("won", F.col("p") * (F.col("_below") + F.col("n") / 2.0))
     own = won.groupBy(*by) if by else won.groupBy()
     return own.agg((F.sum("won") / (F.sum("p") * F.sum("n"))).alias("auc"), F.sum("p").alias("n_positive"), F.sum("n").alias("n_negative"))

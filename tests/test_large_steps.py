@@ -71,3 +71,27 @@ def test_settled_tables_go_with_their_scratch(spark):
     assert stays.count() == 4
     with pytest.raises(Exception, match="(?i)exist|not found"):
         spark.read.parquet(gone._settled_path).count()
+
+
+def test_pairs_meet_vectors_in_slices(spark, monkeypatch):
+    from basketry.operators import analysis
+
+    vectors = frame(spark, np.arange(40, dtype=float).reshape(20, 2), "article_id")
+    users = spark.createDataFrame([(1, [1.0, 0.0])], "customer_id long, centroid array<double>")
+    pairs = spark.createDataFrame([(u, a) for u in (1, 2) for a in [*range(25), None]], "customer_id long, article_id long")
+    want = sorted(map(str, analysis.with_both(pairs, users, vectors, pairs, "left").collect()))
+    monkeypatch.setattr(analysis, "VECTOR_BYTES", 200)
+    cut = analysis.with_both(pairs, users, vectors, pairs, "left")
+    assert sorted(map(str, cut.collect())) == want and len(want) == 52
+    assert "Union" in cut._jdf.queryExecution().toString()
+
+
+def test_centroids_take_one_row_of_sums_a_user(spark):
+    from basketry.operators import analysis
+
+    vectors = spark.createDataFrame([(1, [3.0, 0.0]), (2, [0.0, 4.0]), (3, None)], "article_id long, v array<double>")
+    history = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 3)], "customer_id long, article_id long")
+    own = analysis.centroids(history, vectors)
+    assert "Generate" not in own._jdf.queryExecution().toString()
+    rows = own.collect()
+    assert [(r.customer_id, r.n, [round(x, 6) for x in r.centroid]) for r in rows] == [(1, 3, [0.6, 0.8])]
