@@ -79,8 +79,8 @@ class ColumnEncoder:
         self.known, self.n, self.seen = self.known.take(pa.array(keep)), self.n[keep], self.seen[keep] // 2
         self.at = np.cumsum(self.n, dtype=np.int64) - self.n
 
-    def learn(self, new: pa.Array) -> None:
-        """Encode distinct pieces and add them to the table."""
+    def learn(self, new: pa.Array) -> np.ndarray:
+        """Encode distinct pieces and add them to the table; returns their places in it."""
         n = np.zeros(len(new), np.int64)
         words = pc.match_substring_regex(new, f"^{LATIN}$").to_numpy(zero_copy_only=False) if self.shares else np.zeros(len(new), bool)
         parts: list[np.ndarray] = []
@@ -103,15 +103,18 @@ class ColumnEncoder:
         self.at = np.append(self.at, len(self.flat) + np.cumsum(n) - n)
         self.n, self.seen = np.append(self.n, n.astype(np.int32)), np.append(self.seen, np.zeros(len(n), np.int64))
         self.flat = np.concatenate([self.flat, *parts])
+        places = np.empty(len(new), np.int64)
+        places[order] = len(self.known) + np.arange(len(new))
         self.known = pa.concat_arrays([self.known, new.take(pa.array(order))])
+        return places
 
     def numbers(self, pieces: pa.Array) -> np.ndarray:
         """Place in the table of each of distinct pieces; what is new is learned."""
         own = pc.index_in(pieces, self.known)
         if own.null_count:
-            self.learn(pieces.filter(pc.is_null(own)))
+            places = self.learn(pieces.filter(pc.is_null(own)))
             own = own.fill_null(-1).to_numpy().astype(np.int64)
-            own[own < 0] = pc.index_in(pieces.filter(pa.array(own < 0)), self.known).to_numpy()
+            own[own < 0] = places  # the table isn't hashed again for them
             return own
         return own.to_numpy().astype(np.int64)
 
