@@ -179,7 +179,9 @@ def sample(docs: DataFrame, id: str, text: str, lang: str, rows_a_language: int)
 
 def fitted(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", lang: str = "lang", rows_a_language: int = 500) -> Model:
     """A model of the rows of ``docs`` where ``learn`` holds."""
-    return train(sample(docs.where(learn), id, text, lang, rows_a_language))
+    model = train(sample(docs.where(learn), id, text, lang, rows_a_language))
+    common.give_back()  # the driver held bags and embeddings
+    return model
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

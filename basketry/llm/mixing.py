@@ -5,7 +5,7 @@ target of each source, those of least relative entropy are exponentials of the s
 multiplier times the document's words, held at ``most``. The multipliers solve the convex dual
 by Newton's method: each round sums rate-weighted words (gradient) and their squares
 (curvature) over all documents, counted by source and size beforehand, which is exact as equal
-sizes of a source have equal rates. A bracket around each multiplier takes over where a step
+sizes of a source have equal rates; the counts of a source are one row. A bracket around each multiplier takes over where a step
 would leave it.
 
 A rate becomes whole copies by a dither that a hash of the document fixes: copy k is taken if
@@ -27,7 +27,6 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql import types as T
 
 from . import common
 
@@ -78,40 +77,55 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     return own.withColumn("target", F.least(cap, share * F.lit(level)))
 
 
-def rate(most: float) -> Column:
+def rate(most: float, multiplier: Column | None = None, size: Column | None = None) -> Column:
     """Rate of a document from ``size``, ``scale`` and ``multiplier``."""
-    return F.greatest(F.lit(1e-300), F.least(F.lit(float(most)), F.exp(F.col("multiplier") * F.col("size") / F.col("scale"))))
+    m, size = F.col("multiplier") if multiplier is None else multiplier, F.col("size") if size is None else size
+    return F.greatest(F.lit(1e-300), F.least(F.lit(float(most)), F.exp(m * size / F.col("scale"))))
 
 
 def multipliers(cells: DataFrame, by_source: DataFrame, most: float = MOST_COPIES, most_rounds: int = 100, settled: float = 1e-10) -> DataFrame:
     """``by_source`` (source, source_size, target, scale) with the ``multiplier`` for which
-    the sum of n * size * rate over the source's ``cells`` (source, size, n) is its target."""
-    full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
+    the sum of n * size * rate over the source's ``cells`` (source, size, n) is its target.
+
+    A source of w words has at most sqrt(2 * w) different sizes (200,000 for 20 thousand million
+    words), so its cells are one row, on which all its rounds run: a query a round would leave
+    the driver a plan and generated code for each.
+    """
+    target, scale = F.col("target"), F.col("scale")
+    full = target >= most * F.col("source_size") * (1 - 1e-12)
+    none = F.lit(None).cast("double")
     # twice what brings a document of one word to the most
-    state = by_source.withColumn("multiplier", F.when(full, 2 * log(most) * F.col("scale")).otherwise(0.0))
-    state = common.stored(state.withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double"), "open": ~full & (F.col("target") > 0)}), "dual", 4)
-    words = F.col("n") * F.col("size") * rate(most)
-    slope = F.when(rate(most) < most, words * F.col("size") / F.col("scale")).otherwise(0.0)
-    for _ in range(most_rounds):
-        sums = same_source(cells, few(state.where("open"))).groupBy("source").agg(F.sum(words).alias("now"), F.sum(slope).alias("slope"))
-        own = same_source(state, sums, "left")
-        off, m = F.col("target") - F.col("now"), F.col("multiplier")
-        own = own.withColumns({"low": F.when(off > 0, m).otherwise(F.col("low")), "high": F.when(off > 0, F.col("high")).otherwise(m)})
-        newton = m + off / F.when(F.col("slope") > 0, F.col("slope"))
-        fits = newton.isNotNull() & F.coalesce(newton > F.col("low"), F.lit(True)) & F.coalesce(newton < F.col("high"), F.lit(True))
-        middle = F.coalesce((F.col("low") + F.col("high")) / 2, m + F.signum(off) * (1 + F.abs(m)))
-        still = F.col("open") & (F.abs(off) > settled * F.col("target"))
-        moved = own.withColumns({"open": still, "multiplier": F.when(still, F.when(fits, newton).otherwise(middle)).otherwise(m)})
-        state = common.stored(moved.select(state.columns), "dual", 4)
-        if not state.where("open").limit(1).count():
-            break
-    # rounded, as sums of doubles differ in their last digits from run to run
-    return state.select(*by_source.columns, F.round("multiplier", 9).alias("multiplier"))
-
-
-def few(by_source: DataFrame) -> DataFrame:
-    """Marked for broadcast if its size is small enough."""
-    return F.broadcast(by_source) if by_source.count() <= BROADCAST_SOURCES else by_source
+    start = F.struct(F.when(full, 2 * log(most) * scale).otherwise(0.0).alias("m"), none.alias("low"), none.alias("high"), (~full & (target > 0)).alias("open"))
+
+    def add(m: Column):
+        def one(sums: Column, cell: Column) -> Column:
+            r, words = rate(most, m, cell["size"]), cell["n"] * cell["size"]
+            return common.let(r, lambda r: F.struct((sums["now"] + words * r).alias("now"), (sums["slope"] + F.when(r < most, words * r * cell["size"] / scale).otherwise(0.0)).alias("slope")))
+
+        return one
+
+    def moved(s: Column, sums: Column) -> Column:
+        off, m = target - sums["now"], s["m"]
+        low, high = F.when(off > 0, m).otherwise(s["low"]), F.when(off > 0, s["high"]).otherwise(m)
+        newton = m + off / F.when(sums["slope"] > 0, sums["slope"])
+        fits = newton.isNotNull() & F.coalesce(newton > low, F.lit(True)) & F.coalesce(newton < high, F.lit(True))
+        middle = F.coalesce((low + high) / 2, m + F.signum(off) * (1 + F.abs(m)))
+        still = F.abs(off) > settled * target
+        return F.struct(F.when(still, F.when(fits, newton).otherwise(middle)).otherwise(m).alias("m"), low.alias("low"), high.alias("high"), still.alias("open"))
+
+    def step(s: Column, _: Column) -> Column:
+        sums = F.aggregate("_cells", F.struct(F.lit(0.0).alias("now"), F.lit(0.0).alias("slope")), add(s["m"]))
+        return F.when(s["open"], common.let(sums, lambda sums: moved(s, sums))).otherwise(s)
+
+    listed = cells.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("size", "n"))).alias("_cells"))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(most_rounds)), start, step)
+    # rounded, as exponentials may differ in their last digits between machines
+    return same_source(by_source, listed, "left").select(*by_source.columns, F.round(end["m"], 9).alias("multiplier"))
+
+
+def few(by_source: DataFrame, n: int | None = None) -> DataFrame:
+    """Marked for broadcast if its size (``n`` where that is known) is small enough."""
+    return F.broadcast(by_source) if (by_source.count() if n is None else n) <= BROADCAST_SOURCES else by_source
 
 
 def place(k: int, most: float) -> Column:
@@ -122,19 +136,19 @@ def place(k: int, most: float) -> Column:
 def levels(own: DataFrame, by_source: DataFrame, most: int) -> DataFrame:
     """``by_source`` with ``level``: up to it the copies of the source's documents stay within its target."""
     state = common.stored(by_source.withColumns({"level": F.lit(0.0), "width": F.lit(4.0), "taken": F.lit(0.0)}), "levels", 4)
+    n = state.count()
     for _ in range(PASSES):
-        at = same_source(own.where("size > 0"), few(state)).select("source", "size", "level", "width", F.explode(F.array(*[place(k, most) for k in range(1, most + 1)])).alias("at"))
+        at = same_source(own.where("size > 0"), few(state, n)).select("source", "size", "level", "width", F.explode(F.array(*[place(k, most) for k in range(1, most + 1)])).alias("at"))
         at = at.where((F.col("at") >= F.col("level")) & (F.col("at") < F.col("level") + F.col("width")))
         bucket = F.least(F.lit(BUCKETS - 1), F.floor((F.col("at") - F.col("level")) / F.col("width") * BUCKETS))
         sums = at.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
         # a row for each bucket
         upto = sums.withColumn("upto", F.sum("words").over(W.partitionBy("source").orderBy("bucket")))
-        whole = same_source(upto, state.select("source", "target", "taken")).where(F.col("taken") + F.col("upto") <= F.col("target"))
-        whole = whole.groupBy("source").agg(F.max("bucket").alias("last"), F.max("upto").alias("more"))
+        fits = F.col("taken") + F.col("upto") <= F.col("target")
         # the first bucket that has places and doesn't fit holds the level; without one all fit
-        over = same_source(upto, state.select("source", "target", "taken")).where(F.col("taken") + F.col("upto") > F.col("target")).groupBy("source").agg(F.min("bucket").alias("next"))
+        found = same_source(upto, few(state.select("source", "target", "taken"), n)).groupBy("source").agg(F.max(F.when(fits, F.col("upto"))).alias("more"), F.min(F.when(~fits, F.col("bucket"))).alias("next"))
         width = F.col("width") / BUCKETS
-        new = same_source(same_source(state, whole, "left"), over, "left")
+        new = same_source(state, found, "left")
         new = new.withColumns({"level": F.col("level") + F.when(F.col("next").isNull(), F.col("width")).otherwise(F.col("next") * width), "width": F.when(F.col("next").isNull(), F.lit(0.0)).otherwise(width), "taken": F.col("taken") + F.coalesce("more", F.lit(0.0))})
         state = common.stored(new.select(state.columns), "levels", 4)
     return state.drop("width", "taken")
@@ -169,17 +183,19 @@ def repairs(own: DataFrame, most: int) -> DataFrame:
     keys = few(may.select(F.col("source").alias("_source"), F.col("key").alias("_key")).distinct())
     words = own.join(keys, F.col("source").eqNullSafe(F.col("_source")) & (F.col("key") == F.col("_key"))).groupBy("source", "key").agg(F.sum("size").alias("words"))
     may = common.stored(_same(may, words, ["source", "key"]), "may", 4)
-    fixes = own.sparkSession.createDataFrame([], T.StructType([own.schema["source"], T.StructField("key", T.LongType()), T.StructField("fix", T.IntegerType())]))
-    for _ in range(REPAIRS):
-        left = F.abs(F.col("off") - F.col("fix") * F.col("words"))
-        here = _same(may, fixes.select("source", "key", F.lit(True).alias("done")), ["source", "key"], "left").where("done is null").drop("done")
-        pick = same_source(here, off).where(left < F.abs("off")).groupBy("source").agg(F.min(F.struct(left.alias("left"), "key", "fix", "words")).alias("p"))
-        pick = common.stored(pick.select("source", "p.key", "p.fix", "p.words"), "picks", 4)
-        if not pick.limit(1).count():
-            break
-        fixes = common.stored(fixes.unionByName(pick.select("source", "key", "fix")), "fixes", 4)
-        off = common.stored(same_source(off, pick, "left").select("source", (F.col("off") - F.coalesce(F.col("fix") * F.col("words"), F.lit(0))).alias("off")), "off", 4)
-    return fixes
+    # some hundred candidates a source at most, so its repairs are chosen in one row
+    listed = may.groupBy("source").agg(F.collect_list(F.struct("key", "fix", "words")).alias("_may"))
+
+    def pick(s: Column, _: Column) -> Column:
+        left = lambda c: F.abs(s["off"] - c["fix"] * c["words"])
+        here = F.filter("_may", lambda c: (left(c) < F.abs(s["off"])) & ~F.exists(s["done"], lambda d: d["key"] == c["key"]))
+        best = F.array_min(F.transform(here, lambda c: F.struct(left(c).alias("left"), c["key"].alias("key"), c["fix"].alias("fix"), c["words"].alias("words"))))
+        more = lambda p: F.struct((s["off"] - p["fix"] * p["words"]).alias("off"), F.concat(s["done"], F.array(F.struct(p["key"].alias("key"), p["fix"].alias("fix")))).alias("done"))
+        return common.let(best, lambda p: F.when(p.isNull(), s).otherwise(more(p)))
+
+    start = F.struct(F.col("off").alias("off"), F.array().cast("array<struct<key:bigint,fix:int>>").alias("done"))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(REPAIRS)), start, pick)
+    return common.stored(same_source(off, listed).select("source", F.explode(end["done"]).alias("d")).select("source", "d.key", "d.fix"), "fixes", 4)
 
 
 def _same(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:

@@ -293,6 +293,15 @@ def test_mixing_meets_targets(spark, docs, rows):
     assert sorted(map(key, out)) == sorted(map(key, again))
 
 
+def test_mixing_takes_few_jobs(spark):
+    data = [(k, " ".join(["w"] * (1 + k * k % 97)), f"s{k % 7}") for k in range(400)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    total = lambda: spark._jsc.sc().dagScheduler().numTotalJobs()
+    before = total()
+    assert mixing.mixed(docs).count() == 400
+    assert total() - before < 110  # a query for each round and repair took the driver's memory
+
+
 def test_mixing_rates_against_a_plain_solver(spark):
     """Exponentials of document sizes, held at 3, whose words meet each target."""
     rng = random.Random(4)
