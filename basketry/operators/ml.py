@@ -130,14 +130,32 @@ def nearest_centroid(rows: DataFrame, vector: str, labels: str) -> DataFrame:
 
 def topic_words(texts: DataFrame, topic: str, text: str, k: int = 10, least_documents: int = 2, words: int = 5000, stop: tuple[str, ...] = ()) -> DataFrame:
     """Class-based TF-IDF: (topic, term, score, place) of words and word pairs; smoothed idf
-    over topics, scores of a topic have unit length."""
+    over topics, scores of a topic have unit length.
+
+    The terms are the ``words`` most frequent of two topics or more, of equals the first. A pair is
+    not more frequent than its words and comes after its first word among equals, so only pairs can
+    count whose first word is among as many words and whose second is as frequent as the last of
+    these. Others are dropped before they are counted; the result is that of counting all.
+    """
     tokens = F.filter(F.regexp_extract_all(F.lower(text), F.lit("(?U)\\b\\w\\w+\\b"), F.lit(0)), lambda w: ~w.isin(*stop) if stop else F.lit(True))
     own = texts.select(F.col(topic).alias("topic"), tokens.alias("w"))
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    n = own.select("topic", F.explode(F.concat("w", pairs)).alias("term")).groupBy("topic", "term").agg(F.count("*").alias("n"))
-    df = n.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("total")).where(F.col("df") >= least_documents)
-    df = df.orderBy(F.desc("total"), "term").limit(words)
-    topics = n.select("topic").distinct().agg(F.count("*").alias("topics"))
+    single = settled(own.select("topic", F.explode("w").alias("term")).groupBy("topic", "term").agg(F.count("*").alias("n")))
+
+    def frequent(n: DataFrame) -> DataFrame:
+        return n.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("total")).where(F.col("df") >= least_documents)
+
+    often = settled(frequent(single))
+    first = settled(often.orderBy(F.desc("total"), "term").limit(words))
+    full, least = first.agg(F.count("*"), F.min("total")).first()
+    second = often.where(F.col("total") >= least) if full == words else often
+    pair = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    pairs = own.select("topic", F.explode(pair).alias("p")).select("topic", "p.a", "p.b").join(F.broadcast(first.select(F.col("term").alias("a"))), "a", "left_semi")
+    if second.limit(2 * words + 1).count() <= 2 * words:  # else very many words share the least frequency, and all go on
+        pairs = pairs.join(F.broadcast(second.select(F.col("term").alias("b"))), "b", "left_semi")
+    pairs = pairs.groupBy("topic", "a", "b").agg(F.count("*").alias("n")).select("topic", F.concat_ws(" ", "a", "b").alias("term"), "n")
+    n = settled(single.join(F.broadcast(first.select("term")), "term", "left_semi").select("topic", "term", "n").unionByName(pairs))
+    df = frequent(n).orderBy(F.desc("total"), "term").limit(words)
+    topics = single.select("topic").distinct().agg(F.count("*").alias("topics"))
     scored = n.join(df, "term").crossJoin(F.broadcast(topics)).withColumn("s", F.col("n") * (F.log((1 + F.col("topics")) / (1 + F.col("df"))) + 1))
     length = F.sqrt(F.sum(F.col("s") * F.col("s")).over(W.partitionBy("topic")))
     unit = scored.withColumn("score", F.col("s") / length)

@@ -95,3 +95,30 @@ def test_centroids_take_one_row_of_sums_a_user(spark):
     assert "Generate" not in own._jdf.queryExecution().toString()
     rows = own.collect()
     assert [(r.customer_id, r.n, [round(x, 6) for x in r.centroid]) for r in rows] == [(1, 3, [0.6, 0.8])]
+
+
+def test_topic_words_count_only_pairs_that_can_be_frequent(spark, monkeypatch):
+    from collections import Counter
+
+    rng = np.random.default_rng(4)
+    names = [f"w{k:02d}" for k in range(40)]
+    docs = [(k, f"t{k % 3}", " ".join(names[min(39, int(x))] for x in rng.exponential(6, 30))) for k in range(60)]
+    df = spark.createDataFrame([*docs, (99, None, "w00 w01 w00 w01"), (98, "t0", None), (97, "t1", "w")], "id long, topic string, text string")
+    stored = []
+    monkeypatch.setattr(ml, "settled", lambda rows: stored.append(ordering.settled(rows)) or stored[-1])
+    got = {(r.topic, r.place): r.term for r in ml.topic_words(df, "topic", "text", 5, words=12).collect()}
+    n = Counter()
+    for r in df.collect():
+        w = [x for x in (r.text or "").split() if len(x) > 1]
+        n.update((r.topic, t) for t in [*w, *map(" ".join, zip(w, w[1:], strict=False))])
+    total, topics = Counter(), Counter(t for _, t in n)
+    for (_, t), c in n.items():
+        total[t] += c
+    top = sorted((t for t in total if topics[t] >= 2), key=lambda t: (-total[t], t))[:12]
+    weight = lambda k, t: n[k, t] * (np.log(5 / (1 + topics[t])) + 1)
+    want = {(k, p + 1): t for k in (None, "t0", "t1", "t2") for p, t in enumerate(sorted((t for t in top if n[k, t]), key=lambda t: (-round(weight(k, t), 9), t))[:5])}
+    assert got == want
+    words = {t for t in total if " " not in t}
+    first = set(sorted((t for t in words if topics[t] >= 2), key=lambda t: (-total[t], t))[:12])
+    pairs = [r.term for r in stored[-1].where("term like '% %'").collect()]
+    assert pairs and all(p.split()[0] in first for p in pairs) and len(set(pairs)) < len(total) - len(words)
