@@ -55,6 +55,23 @@ def diversity(dist: DataFrame, user: str = "customer_id") -> DataFrame:
     return dist.groupBy(user).agg(F.when(F.count("*") > 1, h / F.log2(F.count("*"))).otherwise(0.0).alias("diversity"))
 
 
+def tastes(txn: DataFrame, facts: DataFrame, columns: list[str], half_life: float = 90.0, k: int = 10, user: str = "customer_id") -> DataFrame:
+    """(user, avg_price, online_ratio, the columns, diversity): what ``base_profiles``, the maps of
+    ``top_shares`` of each column and the ``diversity`` of the first one tell. Purchases are dealt by
+    user once; all columns are counted, shared out and ranked in the tasks that hold the user."""
+    own = weighted(txn, half_life).join(facts.select("article_id", *columns), "article_id", "left").repartition(user)
+    entries = F.array(*[F.struct(F.lit(c).alias("what"), v.cast("string").alias("value")) for c, v in [("", F.lit("")), *((c, F.col(c)) for c in columns)]])
+    each = F.explode(F.filter(entries, lambda e: e["value"].isNotNull() & (e["value"] != "None"))).alias("e")
+    sums = own.select(user, "w", "price", F.when(F.col("sales_channel_id") == 2, 1.0).otherwise(0.0).alias("online"), each).groupBy(user, "e.what", "e.value").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("e.what") == "", F.col("price") * F.col("w"))).alias("paid"), F.avg("online").alias("online"))
+    dist = sums.withColumn("p", F.when(F.col("what") != "", F.col("w")) / F.sum("w").over(W.partitionBy(user, "what")))
+    place = F.row_number().over(W.partitionBy(user, "what").orderBy(F.desc(F.round("p", 9)), "value"))
+    top = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("place") <= k, F.struct("value", "p")))))
+    h = F.when(F.count("*") > 1, -F.sum(F.col("p") * F.log2("p")) / F.log2(F.count("*"))).otherwise(0.0)
+    by = dist.withColumn("place", place).groupBy(user, "what").agg(top.alias("top"), h.alias("h"), F.max("paid").alias("paid"), F.max("w").alias("w"), F.max("online").alias("online"))
+    of = lambda c, x: F.first(F.when(F.col("what") == c, F.col(x)), ignorenulls=True)
+    return by.groupBy(user).agg((of("", "paid") / F.nullif(of("", "w"), F.lit(0.0))).alias("avg_price"), of("", "online").alias("online_ratio"), *[of(c, "top").alias(c) for c in columns], of(columns[0], "h").alias("diversity"))
+
+
 def price_quintiles(profiles: DataFrame, user: str = "customer_id") -> DataFrame:
     """1 to 5 by place of the mean price, ties by user; null prices get null."""
     priced = profiles.where("avg_price is not null")

@@ -122,3 +122,19 @@ def test_topic_words_count_only_pairs_that_can_be_frequent(spark, monkeypatch):
     first = set(sorted((t for t in words if topics[t] >= 2), key=lambda t: (-total[t], t))[:12])
     pairs = [r.term for r in stored[-1].where("term like '% %'").collect()]
     assert pairs and all(p.split()[0] in first for p in pairs) and len(set(pairs)) < len(total) - len(words)
+
+
+def test_purchases_are_dealt_by_user_once(spark):
+    from basketry.operators import profiles
+    from test_texts import shop
+
+    facts, txn, articles = shop(spark)
+    deals = lambda df: df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning(customer_id")
+    own = profiles.tastes(txn.withColumn("t_dat", F.col("t_dat").cast("date")), articles.join(facts, "article_id", "full"), ["product_type_name", "l3_color_harmony"])
+    assert deals(own) == 1
+    got, w = {r.customer_id: r for r in own.collect()}, [1.0, 2 ** (-1 / 90), 2 ** (-2 / 90)]
+    p = (w[0] + w[2]) / sum(w)
+    h = -(p * np.log2(p) + (1 - p) * np.log2(1 - p))
+    assert abs(got[7].product_type_name["Dress"] - p) < 1e-9 and got[7].l3_color_harmony == {"Neon": 1.0} and abs(got[7].diversity - h) < 1e-9
+    assert abs(got[7].avg_price - 1) < 1e-12 and abs(got[7].online_ratio - 2 / 3) < 1e-12
+    assert got[8].product_type_name is None and got[8].diversity is None and got[8].online_ratio == 0
