@@ -81,11 +81,12 @@ def price_quintiles(profiles: DataFrame, user: str = "customer_id") -> DataFrame
     return profiles.select(user).join(own, user, "left")
 
 
-def recent_items(txn: DataFrame, k: int = 20, users: DataFrame | None = None) -> DataFrame:
-    """The last k purchases of each user, newest first, ties by article and price."""
+def recent_items(txn: DataFrame, k: int | None = 20, users: DataFrame | None = None) -> DataFrame:
+    """The last k purchases (all without k) of each user, newest first, ties by article and price."""
     own = txn if users is None else txn.join(users.select("customer_id").distinct(), "customer_id", "left_semi")
     place = F.row_number().over(W.partitionBy("customer_id").orderBy(F.desc("t_dat"), "article_id", "price", "sales_channel_id"))
-    return own.withColumn("place", place).where(F.col("place") <= k)
+    own = own.withColumn("place", place)
+    return own if k is None else own.where(F.col("place") <= k)
 
 
 def recent_with_facts(txn: DataFrame, articles: DataFrame, facts: DataFrame, columns: list[str], k: int = 20, users: DataFrame | None = None) -> DataFrame:
@@ -242,15 +243,6 @@ def percents(shares: Column, most: int) -> Column:
     return F.array_join(F.transform(F.slice(shares, 1, most), one), ", ")
 
 
-def counted_shares(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, shares): (value, n, total) of each group, the most frequent first, of equals the
-    first in code-point order."""
-    n = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("string").alias("value")).agg(F.count("*").alias("n"))
-    n = n.withColumn("total", F.sum("n").over(W.partitionBy(*keys)))
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "value", "n", "total")))
-    return n.groupBy(*keys).agg(F.transform(ordered, lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"), x["total"].alias("total"))).alias("shares"))
-
-
 def request_messages(txn: DataFrame, articles: DataFrame, facts: DataFrame, standing: DataFrame, slots: dict[str, dict[str, str]], k: int = 20, user: str = "customer_id") -> DataFrame:
     """(user, message): what a model is told of each user: an overview, the last ``k`` items with
     how they are perceived, and the shares of style attributes, over all and by category.
@@ -258,11 +250,10 @@ def request_messages(txn: DataFrame, articles: DataFrame, facts: DataFrame, stan
     ``standing``: (user, diversity, quintile), of which missing ones are 0 and 3. ``slots``: for each category the labels of its own attributes (l3_slot6, l3_slot7). Parts
     without a value are left out; lines are in a fixed order, so a rerun gives the same text.
     """
+    columns = ["super_category", "l2_style_mood", "l2_occasion", "l2_perceived_quality", "l2_trendiness", "l2_season_fit", "l3_visual_weight", "l3_slot6", "l3_slot7", *(c for c, _ in PATTERNS)]
     known = txn.join(articles.select("article_id", "product_type_name"), "article_id", "left")
-    types = counted_shares(known, [user], "product_type_name").withColumnRenamed("shares", "_types")
-    online = F.sum(F.when(F.col("sales_channel_id") == 2, 1).otherwise(0))
-    base = known.groupBy(user).agg(F.count("*").alias("_n"), F.count_distinct("product_type_name").alias("_k"), online.alias("_online"))
-    base = base.join(standing.select(user, F.col("diversity").alias("_diversity"), F.col("quintile").cast("double").alias("_quintile")), user, "left")
+    known = known.join(facts.select("article_id", *columns, F.lit(True).alias("_has")), "article_id", "left").repartition(user)
+    recent = recent_items(known, None)
     whole = lambda a, b: F.floor((200 * a + b) / (2 * b)).cast("string")
     overview = [
         F.lit("--- Customer Overview ---"),
@@ -273,26 +264,35 @@ def request_messages(txn: DataFrame, articles: DataFrame, facts: DataFrame, stan
     members = lambda c: F.array_join(F.slice(C.json_list(F.col(c)), 1, 3), ", ")
     some = lambda label, x, end="": F.when(x.isNotNull() & (x != ""), F.concat(F.lit(label), x, F.lit(end)))
     text = lambda c: F.col(c).cast("string")
-    columns = ["super_category", "l2_style_mood", "l2_occasion", "l2_perceived_quality", "l2_trendiness", "l2_season_fit"]
-    recent = recent_items(txn, k).join(facts.select("article_id", *columns), "article_id", "left")
     item = F.concat_ws(" | ", some("", text("super_category")), some("Style: ", members("l2_style_mood")), some("Occasion: ", members("l2_occasion")), some("Quality: ", text("l2_perceived_quality"), "/5"), some("Trend: ", text("l2_trendiness")), some("Season: ", text("l2_season_fit")))
-    lines = recent.select(user, "place", F.concat(F.col("place").cast("string"), F.lit(". "), item).alias("line"))
-    lines = lines.groupBy(user).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("_items"))
-    out = base.join(types, user, "left").join(lines, user, "left")
-    bought = txn.select(user, "article_id").join(facts, "article_id")
-    patterns = []
-    for c, label in PATTERNS:
-        rows = bought.select(user, F.explode(C.json_list(F.col(c))).alias(c)) if c == "l3_style_lineage" else bought
-        out = out.join(counted_shares(rows, [user], c).withColumnRenamed("shares", f"_{c}"), user, "left")
-        patterns.append(F.when(F.size(f"_{c}") > 0, F.concat(F.lit(f"{label}: "), percents(F.col(f"_{c}"), 5))))
-    weights = bought.groupBy(user).agg(F.sum(F.col("l3_visual_weight").cast("long")).alias("_w"), F.count("l3_visual_weight").alias("_nw"), F.stddev_pop("l3_visual_weight").alias("_sd"))
-    by_category = bought.where("super_category is not null").groupBy(user, "super_category").agg(F.count("*").alias("_nc"))
-    for c in ("l3_slot6", "l3_slot7"):
-        by_category = by_category.join(counted_shares(bought.where("super_category is not null"), [user, "super_category"], c).withColumnRenamed("shares", f"_{c}"), [user, "super_category"], "left")
+    line = F.concat(F.col("place").cast("string"), F.lit(". "), item)
+    # (what, category, value, n, place): a purchase's lines and values, of which each user's are counted; all in the tasks that hold the user
+    entry = lambda what, value, category=None, place=None: F.struct(F.lit(what).alias("what"), (F.lit(None).cast("string") if category is None else category).alias("category"), value.cast("string").alias("value"), (F.lit(0) if place is None else place).cast("int").alias("place"))
+    has, category = F.col("_has"), F.col("super_category")
+    one = [entry("all", F.lit("")), entry("online", F.when(F.col("sales_channel_id") == 2, "")), entry("type", F.col("product_type_name")), entry("item", F.when(F.col("place") <= k, line), place=F.col("place"))]
+    one += [entry("bought", F.when(has, "")), entry("weight", F.when(has, F.col("l3_visual_weight").cast("long"))), entry("category", F.when(has & category.isNotNull(), ""), category)]
+    one += [entry(c, F.when(has & category.isNotNull(), F.col(c)), category) for c in ("l3_slot6", "l3_slot7")]
+    one += [entry(c, F.when(has, F.col(c))) for c, _ in PATTERNS if c != "l3_style_lineage"]
+    lineage = F.transform(F.when(has, C.json_list(F.col("l3_style_lineage"))), lambda v: entry("l3_style_lineage", v))
+    entries = F.concat(F.array(*one), F.coalesce(lineage, F.array().cast("array<struct<what:string,category:string,value:string,place:int>>")))
+    n = recent.select(user, F.explode(F.filter(entries, lambda e: e["value"].isNotNull())).alias("e")).select(user, "e.*").groupBy(user, "what", "category", "value", "place").agg(F.count("*").alias("n"))
+    n = n.withColumn("total", F.sum("n").over(W.partitionBy(user, "what", "category")))
+    listed = n.groupBy(user, "what", "category").agg(F.array_sort(F.collect_list(F.struct("place", (-F.col("n")).alias("minus"), "value", "n", "total"))).alias("x"))
+    # one row of a user: what names a single list, and the lists of its categories
+    of = lambda what: F.max(F.when(F.col("what") == what, F.col("x")))
+    single = ["all", "online", "type", "item", "bought", "weight", *(c for c, _ in PATTERNS)]
+    by = listed.groupBy(user, "category").agg(*[of(w).alias(f"_{w}") for w in [*single, "category", "l3_slot6", "l3_slot7"]])
     named = lambda c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for cat, labels in slots.items() for x in (cat, labels[c])]), F.col("super_category")), F.lit(c[3:].capitalize()))
-    own = F.concat_ws(" | ", F.concat(F.lit("  "), F.col("super_category"), F.lit(" (n="), F.col("_nc").cast("string"), F.lit("):")), *[F.when(F.size(f"_{c}") > 0, F.concat(named(c), F.lit(": "), percents(F.col(f"_{c}"), 3))) for c in ("l3_slot6", "l3_slot7")])
-    categories = by_category.select(user, "super_category", own.alias("line")).groupBy(user).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("super_category", "line"))), lambda x: x["line"]), "\n").alias("_categories"))
-    out = out.join(weights, user, "left").join(categories, user, "left")
+    own = F.concat_ws(" | ", F.concat(F.lit("  "), F.col("super_category"), F.lit(" (n="), F.col("_category")[0]["n"].cast("string"), F.lit("):")), *[F.when(F.size(f"_{c}") > 0, F.concat(named(c), F.lit(": "), percents(F.col(f"_{c}"), 3))) for c in ("l3_slot6", "l3_slot7")])
+    by = by.withColumnRenamed("category", "super_category").withColumn("_line", F.when(F.col("super_category").isNotNull(), F.struct("super_category", own.alias("line"))))
+    out = by.groupBy(user).agg(*[F.max(f"_{w}").alias(f"_{w}") for w in single], F.array_join(F.transform(F.array_sort(F.collect_list("_line")), lambda x: x["line"]), "\n").alias("_categories"))
+    out = out.join(standing.select(user, F.col("diversity").alias("_diversity"), F.col("quintile").cast("double").alias("_quintile")), user, "left")
+    total = lambda f: F.aggregate("_weight", F.lit(0).cast("long"), lambda a, w: a + w["n"] * f(w["value"].cast("long")))
+    # of whole numbers, so that it doesn't depend on the order of rows
+    out = out.withColumns({"_n": F.col("_all")[0]["n"], "_k": F.when(F.col("_type").isNull(), 0).otherwise(F.size("_type")), "_online": F.coalesce(F.col("_online")[0]["n"], F.lit(0)), "_types": F.col("_type"), "_items": F.array_join(F.transform("_item", lambda x: x["value"]), "\n")})
+    out = out.withColumns({"_w": total(lambda w: w), "_w2": total(lambda w: w * w), "_nw": F.col("_weight")[0]["total"]})
+    out = out.withColumns({"_sd": F.sqrt((F.col("_nw") * F.col("_w2") - F.col("_w") * F.col("_w")).cast("double")) / F.col("_nw"), "_categories": F.nullif("_categories", F.lit(""))})
+    patterns = [F.when(F.size(f"_{c}") > 0, F.concat(F.lit(f"{label}: "), percents(F.col(f"_{c}"), 5))) for c, label in PATTERNS]
     weight = F.when(F.col("_nw") > 0, F.concat(F.lit("Visual Weight: mean "), tenths(F.col("_w"), F.col("_nw")), F.lit(", std "), F.format_string("%.1f", F.col("_sd"))))
     message = F.concat_ws("\n", *overview, F.lit("\n--- Recent Items (L2 Attributes) ---"), "_items", F.lit("\n--- Attribute Patterns (L3 Theory-Based) ---"), *patterns, weight, F.when(F.col("_categories").isNotNull(), F.concat(F.lit("Category-Specific:\n"), F.col("_categories"))))
     return out.select(user, message.alias("message"))

@@ -138,3 +138,5 @@ def test_purchases_are_dealt_by_user_once(spark):
     assert abs(got[7].product_type_name["Dress"] - p) < 1e-9 and got[7].l3_color_harmony == {"Neon": 1.0} and abs(got[7].diversity - h) < 1e-9
     assert abs(got[7].avg_price - 1) < 1e-12 and abs(got[7].online_ratio - 2 / 3) < 1e-12
     assert got[8].product_type_name is None and got[8].diversity is None and got[8].online_ratio == 0
+    standing = spark.createDataFrame([(7, 0.918, 4)], "customer_id long, diversity double, quintile int")
+    assert deals(profiles.request_messages(txn, articles, facts, standing, {}, 2)) <= 2
