@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from basketry.operators import factors, ml, nearest, ordering
+from basketry.operators import factors, ml, nearest, ordering, segmentation
 
 
 def frame(spark, m, id="id"):
@@ -140,3 +140,10 @@ def test_purchases_are_dealt_by_user_once(spark):
     assert got[8].product_type_name is None and got[8].diversity is None and got[8].online_ratio == 0
     standing = spark.createDataFrame([(7, 0.918, 4)], "customer_id long, diversity double, quintile int")
     assert deals(profiles.request_messages(txn, articles, facts, standing, {}, 2)) <= 2
+
+
+def test_numbers_of_clusters_are_chosen_on_all_rows(spark):
+    n = 50_400  # above this, silhouettes were taken on some 50,000 rows
+    own = ordering.settled(spark.range(n).toDF("customer_id").select("customer_id", F.array((F.xxhash64("customer_id") % 1000 / 7.0).alias("x"), (F.col("customer_id") % 3 * 90.0)).alias("v")))
+    found, scores = segmentation.clustered(own, "v", [3])
+    assert found.count() == n and scores.first().silhouette == ml.silhouettes(own, "v", [3]).first().silhouette
