@@ -15,6 +15,8 @@ Packs are as large as a task may hold, since what travels is packs times blocks;
 precision holds exactly travel in it. For Euclidean distances blocks are lifted where they are met:
 the product of (q, 1) and (v, -|v|^2 / 2) is largest where the distance is least. The distance is
 taken there too, so no vector travels to its pairs. Ids that a query may not have are left out there.
+A query that asks for no more than whether some known ids are among its k best is done as soon as
+its k-th score is above all of theirs.
 
 Null vectors and null ids take no part; equal products are ordered by id; products are rounded to
 nine digits, as sums in another order differ in the last ones.
@@ -137,21 +139,22 @@ def visits(state: DataFrame, bounds: Bounds, width: int) -> DataFrame:
 
 
 def homes(state: DataFrame, bounds: Bounds) -> DataFrame:
-    """``state`` (user, q, k, skip) with ``home``: the block of greatest bound."""
+    """``state`` (user, q, k, goal, skip) with ``home``: the block of greatest bound."""
 
     def run(batches):
         for batch in batches:
             q = matrix(batch.column(1))
             own = [bounds.of(q[part]).argmax(1) for part in bounds.slices(len(q))]
             at = np.concatenate(own) if own else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bounds.block[at], pa.int64())], ["user", "q", "k", "skip", "home"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bounds.block[at], pa.int64())], ["user", "q", "k", "goal", "skip", "home"])
 
-    return state.mapInArrow(run, "user long, q array<double>, k int, skip array<long>, home long")
+    return state.mapInArrow(run, "user long, q array<double>, k int, goal double, skip array<long>, home long")
 
 
-def needed(state: DataFrame, bounds: Bounds) -> DataFrame:
+def needed(state: DataFrame, bounds: Bounds, before: DataFrame) -> DataFrame:
     """(pack, block, bound): the blocks that some query of a pack may still need, and the greatest
-    bound of these queries. Home blocks were met before."""
+    bound of these queries. ``before``: (pack, block, ...) of the home blocks, which were met, also those
+    of queries that are done by now."""
 
     def run(batches):
         for batch in batches:
@@ -170,7 +173,7 @@ def needed(state: DataFrame, bounds: Bounds) -> DataFrame:
 
     each = state.select("pack", "q", "k", "ids", "scores").mapInArrow(run, "pack long, block long, bound double")
     asked = each.groupBy("pack", "block").agg(F.max("bound").alias("bound"))
-    return asked.join(state.select("pack", F.col("home").alias("block")).distinct(), ["pack", "block"], "left_anti")
+    return asked.join(before, ["pack", "block"], "left_anti")
 
 
 def kth(scores: pa.Array, k: np.ndarray) -> np.ndarray:
@@ -191,7 +194,7 @@ class Pack:
         self.pack, self.user, self.home = (column(c).to_numpy(zero_copy_only=False) for c in ("pack", "user", "home"))
         self.q, self.k = matrix(column("q")), column("k").to_numpy(zero_copy_only=False).astype(np.int64)
         self.single, self.length = self.q.astype(np.float32), np.sqrt((self.q * self.q).sum(1))
-        self.visited = column("visited").to_numpy(zero_copy_only=False).copy()
+        self.visited, self.goal = column("visited").to_numpy(zero_copy_only=False).copy(), column("goal").to_numpy(zero_copy_only=False)
         ids, scores, far, skip = column("ids"), column("scores"), column("far"), column("skip")
         self.skip, self.skip_at = skip.flatten().to_numpy(), np.append(0, np.cumsum(np.diff(skip.offsets.to_numpy())))
         most = max(1, int(self.k.max()))
@@ -222,7 +225,8 @@ class Pack:
     def meet(self, ids: np.ndarray, m: np.ndarray, bounds: Bounds, at: int) -> None:
         """Take what of a block belongs to the best of each query."""
         bar = self.bar()
-        rows = np.flatnonzero(bounds.of(self.q, slice(at, at + 1))[:, 0] >= bar)
+        rows = np.flatnonzero(bar <= self.goal)
+        rows = rows[bounds.of(self.q[rows], slice(at, at + 1))[:, 0] >= bar[rows]]
         self.visited[rows] += 1
         single = np.ascontiguousarray(m.astype(np.float32).T)
         error = (m.shape[1] + 4) * 2.4e-7 * bounds.norm[at] + 1e-30
@@ -272,14 +276,14 @@ class Pack:
         lists.append(pa.ListArray.from_arrays(starts if self.lift else pa.array(np.zeros(len(self.k) + 1), pa.int32()), pa.array(self.far[inside] if self.lift else [], pa.float64())))
         lists.append(pa.ListArray.from_arrays(pa.array(self.skip_at, pa.int32()), pa.array(self.skip, pa.int64())))
         width = pa.array(np.arange(len(self.k) + 1) * self.q.shape[1], pa.int32())
-        cols = [pa.array(self.pack), pa.array(self.user), pa.ListArray.from_arrays(width, pa.array(self.q.ravel())), pa.array(self.k, pa.int32()), pa.array(self.home), pa.array(self.visited, pa.int32()), *lists]
+        cols = [pa.array(self.pack), pa.array(self.user), pa.ListArray.from_arrays(width, pa.array(self.q.ravel())), pa.array(self.k, pa.int32()), pa.array(self.goal), pa.array(self.home), pa.array(self.visited, pa.int32()), *lists]
         whole = pa.RecordBatch.from_arrays(cols, STATE)
         for at in range(0, whole.num_rows, 10_000):
             yield whole.slice(at, 10_000)
 
 
-STATE = ["pack", "user", "q", "k", "home", "visited", "ids", "scores", "far", "skip"]
-STATE_TYPES = "pack long, user long, q array<double>, k int, home long, visited int, ids array<long>, scores array<double>, far array<double>, skip array<long>"
+STATE = ["pack", "user", "q", "k", "goal", "home", "visited", "ids", "scores", "far", "skip"]
+STATE_TYPES = "pack long, user long, q array<double>, k int, goal double, home long, visited int, ids array<long>, scores array<double>, far array<double>, skip array<long>"
 
 
 def met(state: DataFrame, asked: DataFrame, blocks: DataFrame, bounds: Bounds, packs: int, lift: bool = False) -> DataFrame:
@@ -287,7 +291,7 @@ def met(state: DataFrame, asked: DataFrame, blocks: DataFrame, bounds: Bounds, p
     greatest bound first."""
     none = lambda c: F.lit(None).cast(state.schema[c].dataType).alias(c)
     goes = asked.join(blocks.select("block", F.col("ids").alias("ids"), "m"), "block")
-    goes = goes.select("pack", none("user"), none("q"), none("k"), F.col("block").alias("home"), none("visited"), "ids", none("scores"), none("far"), none("skip"), "m", F.lit(1).alias("kind"), (-F.col("bound")).alias("nth"))
+    goes = goes.select("pack", none("user"), none("q"), none("k"), none("goal"), F.col("block").alias("home"), none("visited"), "ids", none("scores"), none("far"), none("skip"), "m", F.lit(1).alias("kind"), (-F.col("bound")).alias("nth"))
     both = state.select(*STATE, F.lit(None).cast(blocks.schema["m"].dataType).alias("m"), F.lit(0).alias("kind"), F.lit(0.0).alias("nth")).unionByName(goes)
     both = both.repartition(packs, "pack").sortWithinPartitions("pack", "kind", "nth", "home").select(*STATE, "m", "kind")
 
@@ -317,15 +321,16 @@ def met(state: DataFrame, asked: DataFrame, blocks: DataFrame, bounds: Bounds, p
     return both.mapInArrow(run, STATE_TYPES)
 
 
-def searched(queries: DataFrame, blocks: DataFrame, k: int, user: str, vector: str, own_k: str | None = None, skip: str | None = None, lift: bool = False) -> tuple[DataFrame, DataFrame]:
+def searched(queries: DataFrame, blocks: DataFrame, k: int, user: str, vector: str, own_k: str | None = None, skip: str | None = None, goal: str | None = None, lift: bool = False) -> tuple[DataFrame, DataFrame]:
     """((user, id, score, place), (user, visited, n_blocks)): the k best of each query, and how
     many blocks it took. ``own_k``: a column with each query's own k; ``skip``: one with the ids
-    that it may not have. ``lift``: the blocks are lifted, queries end in 1, and the first table has
+    that it may not have. ``goal``: one with a score; a query whose k-th score is found to be above it is
+    left out of the first table. ``lift``: the blocks are lifted, queries end in 1, and the first table has
     ``distance``."""
     spark = queries.sparkSession
     many = F.col(own_k) if own_k else F.lit(k)
     out = F.array_sort(F.array_compact(F.coalesce(F.col(skip).cast("array<long>"), F.array().cast("array<long>")))) if skip else F.array().cast("array<long>")
-    state = queries.select(F.col(user).cast("long").alias("user"), F.col(vector).cast("array<double>").alias("q"), many.cast("int").alias("k"), out.alias("skip")).where("user is not null and q is not null")
+    state = queries.select(F.col(user).cast("long").alias("user"), F.col(vector).cast("array<double>").alias("q"), many.cast("int").alias("k"), F.coalesce(F.col(goal).cast("double") if goal else F.lit(None), F.lit(float("inf"))).alias("goal"), out.alias("skip")).where("user is not null and q is not null")
     bounds = Bounds(blocks)
     if not len(bounds.block):
         return spark.createDataFrame([], "user long, id long, score double, place int, distance double").select("user", "id", "score", "place", *["distance"] * lift), state.select("user", F.lit(0).alias("visited"), F.lit(0).alias("n_blocks"))
@@ -338,8 +343,9 @@ def searched(queries: DataFrame, blocks: DataFrame, k: int, user: str, vector: s
         none = lambda kind: F.array().cast(f"array<{kind}>")
         zero = own.withColumns({"visited": F.lit(0), "ids": none("long"), "scores": none("double"), "far": none("double")}).select(*STATE)
         first = settled(zero.select("pack", F.col("home").alias("block")).distinct().withColumn("bound", F.lit(0.0)))
-        state = settled(met(zero, first, blocks, bounds, packs, lift))
-        state = keep(settled(met(state, settled(needed(state, bounds)), blocks, bounds, packs, lift)))
+        open_ = (F.size("ids") < F.col("k")) | F.coalesce(F.try_element_at("scores", F.col("k")) <= F.col("goal"), F.lit(True))
+        state = settled(met(zero, first, blocks, bounds, packs, lift).where(open_))
+        state = keep(settled(met(state, settled(needed(state, bounds, first)), blocks, bounds, packs, lift).where(open_)))
     zipped = F.arrays_zip("ids", "scores", "far") if lift else F.arrays_zip("ids", "scores")
     top = state.select("user", F.posexplode(zipped).alias("place", "x"))
     top = top.select("user", F.col("x.ids").alias("id"), F.col("x.scores").alias("score"), (F.col("place") + 1).alias("place"), *[F.col("x.far").alias("distance")] * lift)

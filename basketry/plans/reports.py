@@ -157,6 +157,6 @@ def retrieval_by_part(spark, sf_dir):
     out = None
     for name, low, n in (("whole", 1, 64), ("first", 1, 32), ("second", 33, 32)):
         v = s.vectors.select("article_id", F.slice("v", low, n).alias("v"))
-        one = metrics.evaluated(analysis.retrieved(analysis.centroids(s.train, v), v, 12), s.val).select(F.lit(name).alias("variant"), "*")
+        one = metrics.evaluated(analysis.retrieved_of(s.val, s.train, v, 12), s.val).select(F.lit(name).alias("variant"), "*")
         out = one if out is None else out.unionByName(one)
     return rounded(out)

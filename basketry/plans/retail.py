@@ -453,9 +453,8 @@ RANKED = """gt AS (SELECT DISTINCT customer_id, article_id FROM val), sz AS (SEL
     each AS (SELECT sz.customer_id, coalesce(ss.ap / sz.most, 0) AS ap, CASE WHEN ss.f IS NULL THEN 0e0 ELSE 1e0 END AS hr, coalesce(ss.dcg / i.v, 0) AS ndcg, coalesce(1e0 / ss.f, 0) AS rr FROM sz LEFT JOIN ss ON sz.customer_id = ss.customer_id JOIN ideal i ON i.most = sz.most)"""
 
 
-def _retrieval(s: Shop) -> tuple[DataFrame, DataFrame]:
-    users = analysis.centroids(s.train, s.vectors)
-    return users, analysis.retrieved(users, s.vectors, 12)
+def _retrieval(s: Shop) -> DataFrame:
+    return analysis.retrieved_of(s.val, s.train, s.vectors, 12)
 
 
 @query(f"""WITH {RETRIEVED}, {RANKED}, b AS (SELECT customer_id, CASE WHEN n = 1 THEN '1' WHEN n < 5 THEN '2-4' WHEN n < 10 THEN '5-9' WHEN n < 20 THEN '10-19' WHEN n < 50 THEN '20-49' ELSE '50+' END AS cohort FROM q)
@@ -463,8 +462,8 @@ def _retrieval(s: Shop) -> tuple[DataFrame, DataFrame]:
 def content_retrieval(spark, sf_dir):
     """Hit rate, NDCG and reciprocal rank by activity bracket; history isn't left out."""
     s = Shop(spark, sf_dir)
-    users, top = _retrieval(s)
-    return metrics.evaluated(top, s.val, cohorts=users.select("customer_id", analysis.bracket(F.col("n")).alias("cohort")))
+    n = analysis.activity(s.train, s.vectors)
+    return metrics.evaluated(_retrieval(s), s.val, cohorts=n.select("customer_id", analysis.bracket(F.col("n")).alias("cohort")))
 
 
 @query(f"""WITH {RETRIEVED}, sold AS (SELECT article_id, count(*) AS n FROM train GROUP BY article_id), tr AS (SELECT DISTINCT customer_id, article_id FROM val),
@@ -474,7 +473,7 @@ def content_retrieval(spark, sf_dir):
 def retrieval_by_popularity(spark, sf_dir):
     """Share of validation purchases found among the twelve retrieved, by item popularity."""
     s = Shop(spark, sf_dir)
-    _, top = _retrieval(s)
+    top = _retrieval(s)
     sold = s.train.groupBy("article_id").agg(F.count("*").alias("n"))
     band = F.when(F.col("n").isNull(), "cold").when(F.col("n") <= 10, "1-10").when(F.col("n") <= 100, "11-100").when(F.col("n") <= 1000, "101-1000").otherwise("1001+")
     truth = s.val.select("customer_id", "article_id").distinct().join(sold, "article_id", "left").withColumn("band", band)

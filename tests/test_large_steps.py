@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from basketry.operators import factors, ml, nearest, ordering, segmentation
+from basketry.operators import analysis, factors, ml, nearest, ordering, segmentation
 
 
 def frame(spark, m, id="id"):
@@ -147,3 +147,21 @@ def test_numbers_of_clusters_are_chosen_on_all_rows(spark):
     own = ordering.settled(spark.range(n).toDF("customer_id").select("customer_id", F.array((F.xxhash64("customer_id") % 1000 / 7.0).alias("x"), (F.col("customer_id") % 3 * 90.0)).alias("v")))
     found, scores = segmentation.clustered(own, "v", [3])
     assert found.count() == n and scores.first().silhouette == ml.silhouettes(own, "v", [3]).first().silhouette
+
+
+def test_search_ends_where_no_wanted_article_can_be_among_the_best(spark):
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(300, 6)) + 4 * rng.integers(0, 5, 300)[:, None]
+    m[200:220] = m[:20]
+    bought = [(u, int(i)) for u in range(400) for i in rng.choice(300, 3)] + [(90, 1), (91, 999)]
+    later = [(u, int(i)) for u in range(400) for i in rng.choice(330, 4)] + [(k, int(i)) for k in range(10) for i in rng.choice(300, 60)] + [(91, 5), (92, 5)]
+    pairs = lambda x: spark.createDataFrame(x, "customer_id long, article_id long")
+    v = frame(spark, m, "article_id")
+    every = analysis.retrieved(analysis.centroids(pairs(bought), v), v, 12, block=16)
+    some = analysis.retrieved_of(pairs(later), pairs(bought), v, 12, block=16)
+    hits = lambda top: {(r.customer_id, r.article_id, r.place) for r in top.collect()} & {(u, i, p) for u, i in later for p in range(1, 13)}
+    assert hits(some) == hits(every) and len(hits(every)) > 10
+    assert {tuple(r) for r in some.collect()} <= {tuple(r) for r in every.collect()}  # no list is cut, no block is met twice
+    assert some.select("customer_id").distinct().count() < 300  # those left are no more than may have a hit
+    n = {r.customer_id: r.n for r in analysis.centroids(pairs(bought), v).collect()}
+    assert {r.customer_id: r.n for r in analysis.activity(pairs(bought), v).collect()} == n
