@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from basketry.operators import analysis, factors, ml, nearest, ordering, segmentation
+from basketry.operators import analysis, candidates, factors, ml, nearest, ordering, segmentation
 
 
 def frame(spark, m, id="id"):
@@ -165,3 +165,28 @@ def test_search_ends_where_no_wanted_article_can_be_among_the_best(spark):
     assert some.select("customer_id").distinct().count() < 300  # those left are no more than may have a hit
     n = {r.customer_id: r.n for r in analysis.centroids(pairs(bought), v).collect()}
     assert {r.customer_id: r.n for r in analysis.activity(pairs(bought), v).collect()} == n
+
+
+def test_a_customer_is_dealt_once_and_products_meet_few_siblings(spark):
+    rng = np.random.default_rng(12)
+    rows = [(int(rng.integers(0, 30)), int(a), int(d)) for a, d in zip(rng.integers(0, 400, 300), rng.integers(0, 6, 300), strict=True)]
+    txn = spark.createDataFrame(rows, "customer_id long, article_id long, d int").selectExpr("customer_id", "article_id", "date_add(DATE '2000-01-01', d) AS t_dat")
+    articles = spark.range(400).selectExpr("id AS article_id", "CASE WHEN id % 7 = 6 THEN NULL ELSE CONCAT('p', id % 7) END AS product_code")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    top = candidates.repurchase(txn, articles, txn, 9)
+    dealt = plan(top)
+    own, last = {}, {}
+    for u, a, d in rows:
+        if a % 7 < 6:
+            own[u, a] = own.get((u, a), 0) + 1
+            last[u, a] = max(last.get((u, a), 0), d)
+    best = {}
+    for (u, a), n in own.items():
+        for b in range(a % 7, 400, 7):
+            x, y = best.get((u, b), (0, 0))
+            best[u, b] = max(x, n if a == b else n / 2), max(y, last[u, a])
+    want = {(u, p + 1, a) for u in {u for u, _ in best} for p, a in enumerate(sorted((a for v, a in best if v == u), key=lambda a: (-best[u, a][0], -best[u, a][1], a))[:9])}
+    assert {(r.customer_id, r.place, r.article_id) for r in top.collect()} == want
+    assert dealt.count("Exchange hashpartitioning") == 1  # siblings are few and broadcast, what is left is dealt by customer
+    sources = [spark.range(20).selectExpr(f"id % {m} AS customer_id", "id AS article_id", "1e0 AS score") for m in (3, 4)]
+    assert plan(candidates.blend(sources, 2)).count("Exchange hashpartitioning") == 1
